@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import byte_bpe, decontam, lang_gru, line_rules, near_dup
+from pagewright.llm import byte_bpe, decontam, html_blocks, lang_gru, line_rules, near_dup, pseudo_lm, quotes, site_quality, toxic_crf
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_blocks.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_gru.identify(_table(spark, sf_dir, "documents"))
 
@@ -30,15 +39,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_rules.apply_line_rules(docs, clean_col=None).drop("text", "source")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_crf.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op3_language, op4_near_duplicates, op5_byte_bpe, op6_decontamination, op9_line_rules]
+    found = [op1_quotation_links, op2_main_text, op3_language, op4_near_duplicates, op5_byte_bpe, op6_decontamination, op7_pseudo_likelihood, op8_site_quality, op9_line_rules, op10_toxicity]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
