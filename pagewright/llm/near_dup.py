@@ -6,10 +6,10 @@ value, so every coordinate of a non-empty set fills, and the share of equal coor
 their Jaccard similarity.
 
 Links: documents with equal sets form one class, whose smallest id stands for it.  Representatives that share a band
-of ``ROWS`` coordinates are candidates.  First each is verified against the smallest id of its buckets (linear in the
-bucket's size); the links found give components.  Buckets that still hold several components are then compared in
-blocks of ``BLOCK`` members by their sketches, only across components, and the pairs that agree are verified too.  Both
-verifications count the intersection of the full shingle sets.  At 85 % similarity the chance that no band of a pair
+of ``ROWS`` coordinates are candidates.  First each is verified against the member with the largest buckets among its
+own (linear in the buckets' sizes); the links found give components.  Buckets that still hold several components are
+then compared in blocks of ``BLOCK`` members, only across components: pairs whose sketches agree are verified, and a
+block gives the links that join its components.  Both verifications count the intersection of the full shingle sets.  At 85 % similarity the chance that no band of a pair
 agrees is (1 - 0.85^5)^25 < 1e-6.
 
 Defined cases: a document without words or text has an empty set, links with nothing and is its own component; fewer
@@ -110,42 +110,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+                common = _common(x, y)
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("fa")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("fb")), "b")
     return checkpointed(joined.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long"))
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of ``members (key, id, component, coords)`` in one bucket, of different components, whose
-    sketches agree.  In each bucket the largest component is only compared with the others; blocks are bounded."""
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Verified links ``(a, b)`` between the components in each bucket of ``members (key, id, component, coords,
+    found)``.  The largest component is only compared with the others; blocks are bounded.  A block compares sketches,
+    then full sets, and gives one link for each two components that it joins, as more would join nothing."""
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     sizes = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"))
     rows = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     # ids are dealt to blocks by hash; a target sits in its own block column, a minor in its own block row
-    target = rows.select("key", F.explode(every).alias("i"), F.col("own").alias("j"), "id", "component", "coords", F.lit(False).alias("minor"))
-    minor = rows.where("component <> major").select("key", F.col("own").alias("i"), F.explode(every).alias("j"), "id", "component", "coords", F.lit(True).alias("minor"))
+    columns = ["id", "component", "coords", "found"]
+    target = rows.select("key", F.explode(every).alias("i"), F.col("own").alias("j"), *columns, F.lit(False).alias("minor"))
+    minor = rows.where("component <> major").select("key", F.col("own").alias("i"), F.explode(every).alias("j"), *columns, F.lit(True).alias("minor"))
     with_minor = rows.where("component <> major").select("key", F.col("own").alias("i")).distinct()
     target = target.join(with_minor, ["key", "i"], "left_semi")
 
     def compare(table: pa.Table) -> pa.Table:
         minor = np.array(table.column("minor").to_pylist(), bool)
-        ids = np.array(table.column("id").to_pylist(), np.int64)
-        comps = np.array(table.column("component").to_pylist(), np.int64)
+        ids, comps = table.column("id").to_pylist(), table.column("component").to_pylist()
         coords = np.frombuffer(b"".join(table.column("coords").to_pylist()), np.uint32).reshape(-1, COORDS)
-        out_a, out_b = [], []
-        t_ids, t_comps, t_coords = ids[~minor], comps[~minor], coords[~minor]
+        found = [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
+        up = {c: c for c in comps}
+
+        def top(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        out = []
+        targets = np.flatnonzero(~minor)
         for k in np.flatnonzero(minor):
-            hit = (t_comps != comps[k]) & ((t_coords == coords[k]).sum(1) >= AGREE)
-            out_a += np.minimum(t_ids[hit], ids[k]).tolist()
-            out_b += np.maximum(t_ids[hit], ids[k]).tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+            agree = (coords[targets] == coords[k]).sum(1)
+            for at in np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]:
+                t = targets[at]
+                one, other = top(comps[k]), top(comps[t])
+                if one != other:
+                    n = _common(found[k], found[t])
+                    if 100 * n >= percent * (len(found[k]) + len(found[t]) - n):
+                        up[one] = other
+                        out.append((min(ids[k], ids[t]), max(ids[k], ids[t])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return target.unionByName(minor).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -164,8 +184,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["key", "id"])
 
     banded = classes.select("id", "coords").mapInArrow(keys, "key long, id long")
-    leaders = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("key", "leader")
-    members = checkpointed(banded.join(leaders, "key"))
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpointed(banded.join(buckets, "key"))
+    # a document whose copies differ from it in other places than from each other sits in their largest buckets
+    weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    weighed = checkpointed(members.join(weight, "id").select("key", "id", "weight"))
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", F.col("id").alias("leader"))).alias("first")).select("key", "first.weight", "first.leader")
     wanted = checkpointed(members.select("id").distinct())
     small = wanted.count() <= BROADCAST_IDS
 
@@ -178,14 +202,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = some.join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
     sets = checkpointed(some.mapInArrow(as_sets, "id long, found binary").where(F.length("found") > 0).groupBy("id").agg(F.first("found").alias("found")))
 
-    star = members.where("id <> leader").groupBy("id").agg(F.min("leader").alias("a")).select("a", F.col("id").alias("b"))
+    led = weighed.select("key", "id").join(leaders, "key").where("id <> leader")
+    star = led.groupBy("id").agg(F.max_by("leader", F.struct("weight", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b"))
     links = _verified(star, sets, percent)
     found = components(links)
     seen = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     seen = checkpointed(seen)
     open_keys = seen.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = seen.join(open_keys, "key", "left_semi").join(classes.select("id", "coords"), "id")
-    more = _verified(checkpointed(_block_pairs(rest)), sets, percent)
+    rest = checkpointed(seen.join(open_keys, "key", "left_semi"))
+    whole = classes.select("id", "coords").join(sets, "id")
+    more = checkpointed(_block_links(rest.join(whole, "id"), percent))
     found = components(links.union(more))
 
     named = classes.join(found, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component"), F.col("id").alias("rep"))
