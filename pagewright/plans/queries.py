@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
-from pagewright.operators import breaks, diff, gate, match, products, refine, render
+from pagewright.operators import breaks, diff, gate, match, products, refine, render, whole
+from pagewright.plans import convert
 from pagewright.plans.tables import CAPTION, MEASURES, NAME, OPTION, TYPED, table
 from pagewright.slicer import slicing
 from pagewright.sources import html as html_source
@@ -400,6 +401,23 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.pages(_parts_as_products(spark, sf_dir))
 
 
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS code, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS n_ads, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 2 END AS n_units, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_brand END AS tags,
+CASE WHEN p_size % 4 = 0 THEN 'NO_BODY_IMAGE' WHEN p_size % 4 = 1 THEN 'PANEL_GEOMETRY,IMAGE_MISSING' ELSE 'PANEL_GEOMETRY' END AS reasons, '옵션=2종' AS specs, p_name || ' is typed here' AS lead FROM part""")
+def converted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch over every part: adverts before the first caption, units with tags, and the gate's reasons."""
+    body = "case when p_size % 4 = 0 then concat('<p>', p_name, ' is typed here</p>') else concat('<p>', p_name, ' is typed here</p><div><img src=\"/ad.png\"></div><ul><li><img src=\"/u1.png\">[1. ', p_brand, '] a caption.</li><li><img src=\"/u2.png\">more text.</li>', case when p_size % 4 = 1 then '<li><img src=\"/lost.png\"></li>' else '' end, '</ul>') end"
+    rows = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) as code", "p_name as name", "p_brand as brand", "p_type as category", f"{body} as body", "array(named_struct('name', 'kind', 'values', array(p_brand, 'other'), 'numbers', array('7', ''))) as options")
+    sizes = spark.createDataFrame([(f"https://shop.example/{n}.png", 300, h) for n, h in (("ad", 100), ("u1", 200), ("u2", 10))], "url string, width int, height int")
+    made = convert.convert(rows, sizes, "https://shop.example/")
+    return made.select("code", F.size("ads").alias("n_ads"), F.size("units").alias("n_units"), F.array_join(F.filter(F.transform("units", lambda u: u["option_tag"]), lambda x: x != ""), ",").alias("tags"), F.array_join("verdict.reasons", ",").alias("reasons"), F.array_join(F.transform("specs", lambda s: F.concat(s["k"], F.lit("="), s["v"], s["u"])), " ").alias("specs"), "lead")
+
+
+@query()
+def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adverts and units of the pictures drawn for every supplier."""
+    return whole.adapted(slicing.units(slicing.drawn(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))))
+
+
 @query()
 def sliced_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tall picture drawn for every supplier, cut into units of a picture and its caption."""

@@ -84,3 +84,25 @@ def coverage(pixels: np.ndarray, sections: list[dict], boxes: list[dict]) -> flo
         covered[max(0, b["y0"] - 1) : b["y1"] + 2, max(0, b["x0"] - 1) : b["x1"] + 2] = True
     total = int(ink.sum())
     return int((ink & covered).sum()) / total if total else 1.0
+
+
+def chip_colour(pixels: np.ndarray, fallback: int) -> int:
+    """Mean of the most saturated quarter among clearly coloured pixels of a 64 x 64 sample; the fallback without 24."""
+    ys, xs = (np.linspace(0, n - 1, min(64, n)).astype(int) for n in pixels.shape[:2])
+    sample = pixels[ys][:, xs].reshape(-1, 3).astype(int)
+    saturation = sample.max(1) - sample.min(1)
+    vivid = sample[saturation > 60]
+    if len(vivid) < 24:
+        return fallback
+    top = vivid[np.argsort(-saturation[saturation > 60], kind="stable")[: max(1, len(vivid) // 4)]]
+    r, g, b = top.mean(0).astype(int).tolist()
+    return r << 16 | g << 8 | b
+
+
+def plate_colour(pixels: np.ndarray) -> int:
+    """The colour round a picture, if nine tenths of its edge agree on one; else white."""
+    edge = np.concatenate([pixels[0], pixels[-1], pixels[:, 0], pixels[:, -1]])
+    middle = np.median(edge, axis=0).astype(np.uint8)
+    same = (np.maximum(edge, middle) - np.minimum(edge, middle) <= 12).all(1).mean() >= 0.9
+    r, g, b = (middle.tolist() if same else [255, 255, 255])
+    return r << 16 | g << 8 | b

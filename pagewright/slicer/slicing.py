@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.lineage import checkpointed
 from pagewright.operators.breaks import natural_breaks, runs
 from pagewright.slicer import pixels as px
+from pagewright.sources.images import png
 
 MIN_SECTION = 24
 BREATH = 8
@@ -71,7 +73,7 @@ def cells(images: DataFrame, found: DataFrame) -> DataFrame:
         keep = {k: r[k] for k in ("image_id", "section", "y0", "y1", "colour", "width")}
         return keep | {"runs": [{"first": int(a) + r["y0"], "last": int(b) + r["y0"]} for a, b in zip(first, last, strict=True)]}
 
-    clear = _map(images.join(each, "image_id"), read, "image_id long; section int; y0 int; y1 int; colour int; width int; runs array<struct<first:int,last:int>>")
+    clear = checkpointed(_map(images.join(each, "image_id"), read, "image_id long; section int; y0 int; y1 int; colour int; width int; runs array<struct<first:int,last:int>>"))
     columns = clear.select("image_id", "section", "y0", "y1", "width", F.posexplode("runs").alias("x", "r"))
     columns = columns.withColumn("open", F.col("r.last") - F.col("r.first") + 1 >= F.greatest(F.lit(BREATH), F.lit(GUTTER_SHARE) * (F.col("y1") - F.col("y0") + 1)))
     keys = ["image_id", "section"]
@@ -117,9 +119,9 @@ def bands(images: DataFrame, found: DataFrame) -> DataFrame:
 
 def units(images: DataFrame) -> DataFrame:
     """``image_id, unit, section, col, x0, x1, y0, y1, n_captions, captions_below, ink`` in reading order."""
-    found = sections(images)
+    found = checkpointed(sections(images))
     keys = ["image_id", "section", "cell", "col"]
-    parts = bands(images, cells(images, found))
+    parts = checkpointed(bands(images, cells(images, found)))
     cut = natural_breaks(parts, keys).drop("ratio")
     floor = natural_breaks(parts.withColumn("h", F.col("y1") - F.col("y0") + 1), ["image_id"], "h").select("image_id", F.coalesce("threshold", F.lit(0)).alias("floor"))
     w = Window.partitionBy(*keys).orderBy("y0")
@@ -143,7 +145,7 @@ def units(images: DataFrame) -> DataFrame:
     fold = """aggregate(all, named_struct('row', 0, 'low', cast(null as int), 'out', cast(array() as array<struct<row:int,x0:int,y0:int,x1:int,y1:int,section:int,col:int,n_captions:bigint>>)), (s, v) ->
       named_struct('row', if(v.y0 <= s.low, s.row, s.row + 1), 'low', if(v.y0 <= s.low, least(s.low, v.y1), v.y1),
         'out', concat(s.out, array(named_struct('row', if(v.y0 <= s.low, s.row, s.row + 1), 'x0', v.x0, 'y0', v.y0, 'x1', v.x1, 'y1', v.y1, 'section', v.section, 'col', v.col, 'n_captions', v.n_captions)))), s -> array_sort(s.out))"""
-    page = page.withColumn("all", F.expr(fold))
+    page = checkpointed(page.withColumn("all", F.expr(fold)))
 
     def measure(r: dict) -> dict:
         return {"image_id": r["image_id"], "ink": px.coverage(px.array_of(r["data"], r["height"], r["width"]), r["sections"], r["all"])}
@@ -153,6 +155,27 @@ def units(images: DataFrame) -> DataFrame:
     return out.select("image_id", "unit", "v.section", "v.col", "v.x0", "v.x1", "v.y0", "v.y1", "v.n_captions", "captions_below", F.round("ink", 6).alias("ink"))
 
 
+def colours(images: DataFrame, boxes: DataFrame, fallback: int = 0x3F8F9B) -> DataFrame:
+    """``image_id, unit, chip, plate, light``: an accent, the ground round the rectangle, and whether that is light."""
+
+    def read(r: dict) -> dict:
+        part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
+        plate = px.plate_colour(part)
+        red, green, blue = px.unpack(plate)
+        return {"image_id": r["image_id"], "unit": r["unit"], "chip": px.chip_colour(part, fallback), "plate": plate, "light": 0.299 * red + 0.587 * green + 0.114 * blue > 170}
+
+    return _map(images.join(boxes, "image_id"), read, "image_id long; unit int; chip int; plate int; light boolean")
+
+
+def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``image_id, unit, png``: the rectangles ``boxes (image_id, unit, x0, y0, x1, y1)`` as PNG files."""
+
+    def cut(r: dict) -> dict:
+        return {"image_id": r["image_id"], "unit": r["unit"], "png": png(px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1])}
+
+    return _map(images.join(boxes.select("image_id", "unit", "x0", "y0", "x1", "y1"), "image_id"), cut, "image_id long; unit int; png binary")
+
+
 def report(found: DataFrame) -> DataFrame:
     """One JSON text for each picture."""
     unit = F.struct("unit", "section", "col", "x0", "y0", "x1", "y1", "n_captions")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import norm_header, parse_option, strip
+from pagewright.lineage import checkpointed
 
 # The header texts by which a field is found, the earlier first.
 FIELDS = {
@@ -110,6 +111,7 @@ def missing_fields(found: DataFrame, columns: DataFrame) -> DataFrame:
 
 def products(found: DataFrame) -> DataFrame:
     """A row for each product with a code or a name: ``path, row``, the fields as strings and ``options``."""
+    found = checkpointed(found)  # read several times below
     columns = header_columns(found)
     heads = columns.select("path", "header_row").distinct()
     option_heads = found.join(heads, "path").where(F.col("row") == F.col("header_row")).where(norm_header(F.col("value")).isin([h for h in OPTIONS]))
