@@ -16,7 +16,7 @@ a null id are scored but not held out; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import texts
 
 FEATURES = 1 << 16
+FORMS = 1 << 22  # places for counting forms when words are tagged
 FIT_DOCS = 6000
 THRESHOLD = 0.7
 STEPS = 80
@@ -44,8 +45,12 @@ def forms(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in range(3, 9) if len(word) > k), "$" + word[-3:]]
 
 
+def hashed(word: str) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(f) for f in forms(word)]
+
+
 def features(word: str) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(f) % FEATURES for f in forms(word)]
+    return [h % FEATURES for h in hashed(word)]
 
 
 class Packed:
@@ -59,28 +64,28 @@ class Packed:
         running = np.searchsorted(-lengths[order], -np.arange(longest), "left")  # with length > t
         self.start = np.concatenate([[0], np.cumsum(running)]).astype(np.int64)
         self.running = running
-        self.owner = np.repeat(np.arange(len(lengths)), lengths)
-        t = np.arange(len(self.owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.place = self.start[t] + rank[self.owner]
+        self.owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        t = np.arange(len(self.owner), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        self.place = (self.start[t] + rank[self.owner]).astype(np.int32)
 
 
 def forward_backward(unary: np.ndarray, links: np.ndarray, packed: Packed) -> tuple[np.ndarray, ...]:
     """P(tag = 1) of each word in text order, then scores and messages (log-odds of tag 1) in packed order.
     unary: score of tag 1 over tag 0 of each word; links[i, j]: score of tag j behind tag i."""
-    u = np.empty(len(unary))
+    u = np.empty(len(unary), unary.dtype)
     u[packed.place] = unary
-    e = np.exp(links)
-    ahead, back = u.copy(), np.zeros(len(u))
+    e = np.exp(links).astype(u.dtype)
+    ahead, back = u.copy(), np.zeros_like(u)
     start, running = packed.start, packed.running
     for t in range(1, len(running)):
         n = running[t]
-        odds = np.exp(np.minimum(ahead[start[t - 1] : start[t - 1] + n], 500))
+        odds = np.exp(np.minimum(ahead[start[t - 1] : start[t - 1] + n], 80))
         ahead[start[t] : start[t] + n] += np.log((e[0, 1] + e[1, 1] * odds) / (e[0, 0] + e[1, 0] * odds))
     for t in range(len(running) - 2, -1, -1):
         n, nxt = running[t + 1], start[t + 1]
-        odds = np.exp(np.minimum(u[nxt : nxt + n] + back[nxt : nxt + n], 500))
+        odds = np.exp(np.minimum(u[nxt : nxt + n] + back[nxt : nxt + n], 80))
         back[start[t] : start[t] + n] = np.log((e[1, 0] + e[1, 1] * odds) / (e[0, 0] + e[0, 1] * odds))
-    p = 1 / (1 + np.exp(-np.clip(ahead + back, -500, 500)))
+    p = 1 / (1 + np.exp(-np.clip(ahead + back, -80, 80)))
     return p[packed.place], u, ahead, back
 
 
@@ -91,8 +96,8 @@ def marginals(unary: np.ndarray, links: np.ndarray, packed: Packed) -> tuple[np.
     start, running = packed.start, packed.running
     for t in range(1, len(running)):
         n = running[t]
-        a = np.clip(ahead[start[t - 1] : start[t - 1] + n], -300, 300)
-        b = np.clip(u[start[t] : start[t] + n] + back[start[t] : start[t] + n], -300, 300)
+        a = np.clip(ahead[start[t - 1] : start[t - 1] + n], -80, 80)
+        b = np.clip(u[start[t] : start[t] + n] + back[start[t] : start[t] + n], -80, 80)
         joint = np.stack([np.full(n, links[0, 0]), links[0, 1] + b, links[1, 0] + a, links[1, 1] + a + b])
         joint -= joint.max(0)
         np.exp(joint, out=joint)
@@ -164,49 +169,56 @@ def fit(docs: list[tuple[str | None, int]], steps: int = STEPS) -> Crf:
     if not len(y) or y.min() == y.max():
         crf.prior = float(y.mean()) if len(y) else 0.0
         return crf
-    many = [words(t) for t, _ in docs]
-    in_toxic, in_clean = Counter(), Counter()
+    number: dict[str, int] = {}
+    many = [np.fromiter((number.setdefault(w, len(number)) for w in words(t)), np.int32) for t, _ in docs]
+    if not number:
+        crf.prior = float(y.mean())
+        return crf
+    hashes, counts = array("Q"), []
+    for w in number:
+        own = hashed(w)
+        hashes.extend(own)
+        counts.append(len(own))
+    n_words, counts = len(number), np.array(counts)
+    del number
+    of_form = np.frombuffer(hashes, np.uint64)
+    form, feature = (of_form % np.uint64(FORMS)).astype(np.int32), (of_form % np.uint64(FEATURES)).astype(np.int32)
+    del hashes, of_form
+    first = np.cumsum(counts) - counts
+    in_toxic, in_clean = np.zeros(FORMS, np.int32), np.zeros(FORMS, np.int32)
     for ws, label in zip(many, y, strict=True):
-        (in_toxic if label else in_clean).update({f for w in set(ws) for f in forms(w)})
+        once = np.unique(ws)
+        at = np.repeat(first[once] - (np.cumsum(counts[once]) - counts[once]), counts[once]) + np.arange(counts[once].sum())
+        (in_toxic if label else in_clean)[np.unique(form[at])] += 1
     n_toxic, n_clean = int(y.sum()), int(len(y) - y.sum())
-
-    def telling(word: str) -> float:
-        """Best log-odds, toxic over clean, of a form found in three toxic documents or more."""
-        best = -9.0
-        for f in forms(word):
-            if in_toxic[f] >= 3:
-                best = max(best, float(np.log(in_toxic[f] / (n_toxic + 1)) - np.log((in_clean[f] + 1) / (n_clean + 1))))
-        return best
-
-    known: dict[str, float] = {}
-    lexicon = sorted({w for ws in many for w in ws})
-    number = {w: i for i, w in enumerate(lexicon)}
-    tags, ids, lengths = [], [], []
+    # how telling a word is: the best log-odds, toxic over clean, of its forms that three toxic documents have
+    odds = np.where(in_toxic >= 3, np.log(np.maximum(in_toxic, 1) / (n_toxic + 1)) - np.log((in_clean + 1) / (n_clean + 1)), -9.0)
+    telling = np.maximum.reduceat(odds[form], first)
+    tags, lengths = [], []
     for ws, label in zip(many, y, strict=True):
-        tag = np.zeros(len(ws), np.int64)
-        if label and ws:
-            scores = np.array([known[w] if w in known else known.setdefault(w, telling(w)) for w in ws])
-            tag = (scores >= max(1.5, min(2.0, scores.max()))).astype(np.int64)
+        tag = np.zeros(len(ws), np.int8)
+        if label and len(ws):
+            scores = telling[ws]
+            tag[scores >= max(1.5, min(2.0, scores.max()))] = 1
             if not tag.any():
                 tag[scores.argmax()] = scores.max() > 0.5
         for i in range(0, len(ws), 128):  # pieces keep the fit's steps short; scoring reads whole chains
             lengths.append(len(ws[i : i + 128]))
         tags.append(tag)
-        ids.append(np.array([number[w] for w in ws], np.int64))
-    tag, word = np.concatenate(tags), np.concatenate(ids)
+    tag, word = np.concatenate(tags), np.concatenate(many)
+    sizes = np.array([len(ws) for ws in many], np.int64)
+    del many, tags, form, odds, telling
     packed = Packed(np.array(lengths, np.int64))
-    of_word = [features(w) for w in lexicon]
-    feature = np.concatenate([np.array(f) for f in of_word])
-    owner = np.repeat(np.arange(len(lexicon)), [len(f) for f in of_word])
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), counts)
     before = packed.owner[1:] == packed.owner[:-1]
     seen = np.zeros((2, 2))
     np.add.at(seen, (tag[:-1][before], tag[1:][before]), 1)
     w, bias, links = np.zeros(FEATURES), -4.0, np.zeros((2, 2))
     mean, square = np.zeros(FEATURES + 5), np.zeros(FEATURES + 5)
     for step in range(1, steps + 1):
-        unary = np.bincount(owner, w[feature], len(lexicon)) + bias
+        unary = (np.bincount(owner, w[feature], n_words) + bias).astype(np.float32)
         p, pairs = marginals(unary[word], links, packed)
-        miss = np.bincount(word, tag - p, len(lexicon))
+        miss = np.bincount(word, tag - p, n_words)
         grad = np.concatenate([np.bincount(feature, miss[owner], FEATURES) - 0.3 * w, [miss.sum()], (seen - pairs).ravel()])
         mean += 0.1 * (grad - mean)
         square += 0.01 * (grad * grad - square)
@@ -215,10 +227,11 @@ def fit(docs: list[tuple[str | None, int]], steps: int = STEPS) -> Crf:
         bias += change[FEATURES]
         links += change[FEATURES + 1 :].reshape(2, 2)
     crf.weights, crf.bias, crf.links = w.astype(np.float32), float(bias), np.clip(links - links[0, 0], -8, 8)
-    whole = Packed(np.array([len(ws) for ws in many], np.int64))
-    unary = np.bincount(owner, crf.weights[feature], len(lexicon)) + crf.bias
+    del packed
+    whole = Packed(sizes)
+    unary = (np.bincount(owner, crf.weights[feature], n_words) + crf.bias).astype(np.float32)
     p = forward_backward(unary[word], crf.links, whole)[0]
-    crf.judge = _logistic(crf.document_features(p, whole, len(many)), y.astype(float), ridge=1.0)
+    crf.judge = _logistic(crf.document_features(p, whole, len(sizes)), y.astype(float), ridge=1.0)
     return crf
 
 
