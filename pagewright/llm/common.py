@@ -1,12 +1,13 @@
-"""Small helpers that several text operators share: words, shingle hashes and checkpoints."""
+"""Small helpers that several text operators share: words, shingle hashes and columns."""
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+
+from pagewright.lineage import checkpointed
+
+__all__ = ["checkpointed", "hash_words", "mix64", "shingles_of", "texts", "words_of"]
 
 MASK = (1 << 64) - 1
 _MULTIPLIERS = np.array(
@@ -59,15 +60,6 @@ def shingles_of(text: str | None, width: int = 5) -> np.ndarray:
     return mix64(out)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; one is made only where none is set."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def texts(column) -> list[str | None]:
     """An Arrow string column as Python strings."""
     return column.to_pylist()
