@@ -91,30 +91,51 @@ def cells(images: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("image_id", "section", "colour", F.inline(F.when(F.col("cut"), split).otherwise(whole))).where("y1 >= y0 and x1 >= x0")
 
 
-def bands(images: DataFrame, found: DataFrame) -> DataFrame:
-    """``image_id, section, cell, col, x0, x1, y0, y1, gap, ruled``: runs of content rows of each cell, the distance to the
-    band above and whether a rule with room on both sides lies between."""
+def islands(images: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, kind, x0, x1, y0, y1`` of the runs of rows of one kind (content, ground, rule) in each rectangle of
+    ``found (keys, x0, x1, y0, y1, colour)``; ``above`` and ``below`` are the heights of neighbouring ground."""
+    kinds = dict(found.dtypes)
 
     def read(r: dict) -> dict:
         part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
         ground = px.unpack(r["colour"])
         first, last = px.extent(part, ground)
-        kinds = px.line_kinds(part, ground)
-        keep = {k: r[k] for k in ("image_id", "section", "cell", "col", "y0", "x0")}
-        return keep | {"rows": [{"kind": int(k), "first": int(a), "last": int(b)} for k, a, b in zip(kinds, first, last, strict=True)]}
+        keep = {k: r[k] for k in (*keys, "y0", "x0")}
+        return keep | {"rows": [{"kind": int(k), "first": int(a), "last": int(b)} for k, a, b in zip(px.line_kinds(part, ground), first, last, strict=True)]}
 
-    rows = _map(images.join(found, "image_id"), read, "image_id long; section int; cell int; col int; y0 int; x0 int; rows array<struct<kind:int,first:int,last:int>>")
-    keys = ["image_id", "section", "cell", "col"]
+    rows = _map(images.join(found, "image_id"), read, "; ".join(f"{k} {kinds[k]}" for k in keys) + "; y0 int; x0 int; rows array<struct<kind:int,first:int,last:int>>")
     lines = rows.select(*keys, "x0", "y0", F.posexplode("rows").alias("i", "r")).select(*keys, (F.col("y0") + F.col("i")).alias("y"), F.col("r.kind").alias("kind"), (F.col("x0") + F.col("r.first")).alias("a"), (F.col("x0") + F.col("r.last")).alias("b"))
     order, own = Window.partitionBy(*keys).orderBy("y"), Window.partitionBy(*keys, "kind").orderBy("y")
-    islands = lines.withColumn("k", F.row_number().over(order) - F.row_number().over(own)).groupBy(*keys, "kind", "k").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("a").alias("x0"), F.max("b").alias("x1"))
+    runs_of = lines.withColumn("k", F.row_number().over(order) - F.row_number().over(own)).groupBy(*keys, "kind", "k").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("a").alias("x0"), F.max("b").alias("x1")).drop("k")
+    w = Window.partitionBy(*keys).orderBy("y0")
+    tall = F.when(F.col("kind") == 1, F.col("y1") - F.col("y0") + 1).otherwise(0)
+    return runs_of.withColumn("tall", tall).withColumn("above", F.coalesce(F.lag("tall").over(w), F.lit(0))).withColumn("below", F.coalesce(F.lead("tall").over(w), F.lit(0))).drop("tall")
+
+
+def bands(images: DataFrame, found: DataFrame) -> DataFrame:
+    """``image_id, section, cell, col, x0, x1, y0, y1, gap, ruled``: runs of content rows of each cell, the distance to the
+    band above and whether a rule with room on both sides lies between.  Runs under 8 rows join the nearer neighbour."""
+    keys = ["image_id", "section", "cell", "col"]
     w = Window.partitionBy(*keys).orderBy("y0")
-    tall = lambda f: F.coalesce(F.when(f("kind") == 1, f("y1") - f("y0") + 1), F.lit(0))
-    around = islands.withColumn("breathes", (F.col("kind") == 2) & (F.least(tall(lambda c: F.lag(c).over(w)), tall(lambda c: F.lead(c).over(w))) >= BREATH))
-    around = around.withColumn("n_ruled", F.sum(F.col("breathes").cast("int")).over(w))
-    content = around.where((F.col("kind") == 0) & (F.col("y1") - F.col("y0") + 1 >= MIN_BAND))
+    around = islands(images, found, keys).withColumn("n_ruled", F.sum(((F.col("kind") == 2) & (F.least("above", "below") >= BREATH)).cast("int")).over(w))
+    content = around.where("kind = 0").withColumn("big", F.col("y1") - F.col("y0") + 1 >= MIN_BAND)
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    big = lambda c: F.when(F.col("big"), F.col(c))
+    near = content.withColumns({"up": F.last(big("y0"), True).over(before), "up_end": F.last(big("y1"), True).over(before), "down": F.first(big("y0"), True).over(after)})
+    home = F.when(F.col("big") | F.coalesce("up", "down").isNull(), F.col("y0")).when(F.col("down").isNull() | (F.col("y0") - F.col("up_end") <= F.col("down") - F.col("y1")), F.coalesce("up", "down")).otherwise(F.col("down"))
+    joined = near.withColumn("home", home).groupBy(*keys, "home").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("n_ruled").alias("n_ruled"))
     gap, ruled = F.col("y0") - F.lag("y1").over(w) - 1, F.col("n_ruled") > F.lag("n_ruled").over(w)
-    return content.select(*keys, "x0", "x1", "y0", "y1", gap.alias("gap"), F.coalesce(ruled, F.lit(False)).alias("ruled"))
+    return joined.select(*keys, "x0", "x1", "y0", "y1", gap.alias("gap"), F.coalesce(ruled, F.lit(False)).alias("ruled"))
+
+
+def advert_blocks(images: DataFrame, regions: DataFrame, least: int = 40) -> DataFrame:
+    """``image_id, block, x0, x1, y0, y1``: the area above the first unit, cut at rules with room on one side at least;
+    blocks lower than ``least`` are left out.  ``regions``: image_id, x0, x1, y0, y1, colour."""
+    w = Window.partitionBy("image_id").orderBy("y0")
+    cut = ((F.col("kind") == 2) & (F.greatest("above", "below") >= BREATH)).cast("int")
+    blocks = islands(images, regions, ["image_id"]).withColumn("block", F.sum(cut).over(w)).where("kind = 0").groupBy("image_id", "block")
+    found = blocks.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    return found.where(F.col("y1") - F.col("y0") + 1 >= least)
 
 
 def units(images: DataFrame) -> DataFrame:
@@ -176,6 +197,20 @@ def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return _map(images.join(boxes.select("image_id", "unit", "x0", "y0", "x1", "y1"), "image_id"), cut, "image_id long; unit int; png binary")
 
 
+def contact_sheets(images: DataFrame, found: DataFrame) -> DataFrame:
+    """``image_id, png``: every picture with its units framed in red."""
+    boxes = found.groupBy("image_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
+
+    def draw(r: dict) -> dict:
+        page = px.array_of(r["data"], r["height"], r["width"]).copy()
+        for b in r["boxes"]:
+            page[b["y0"] : b["y1"] + 1, [b["x0"], b["x1"]]] = (220, 30, 30)
+            page[[b["y0"], b["y1"]], b["x0"] : b["x1"] + 1] = (220, 30, 30)
+        return {"image_id": r["image_id"], "png": png(page)}
+
+    return _map(images.join(boxes, "image_id"), draw, "image_id long; png binary")
+
+
 def report(found: DataFrame) -> DataFrame:
     """One JSON text for each picture."""
     unit = F.struct("unit", "section", "col", "x0", "y0", "x1", "y1", "n_captions")

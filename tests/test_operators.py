@@ -124,6 +124,40 @@ def test_sections_follow_the_ground(spark):
     assert [(s.y0, s.y1) for s in slicing.sections(df).first().sections] == [(0, 149), (150, 299)]
 
 
+def test_adverts_crops_and_colours(spark):
+    page = np.full((200, 80, 3), 255, np.uint8)
+    page[10:60, 10:70], page[70:72], page[80:130, 10:70], page[150:160, 10:70] = (200, 20, 20), 0, (20, 200, 20), (9, 9, 9)
+    page[10:60:3, 10:70] = (180, 30, 30)
+    page[80:130:3, 10:70] = (30, 180, 30)
+    page[100, 12:60] = 7
+    df = spark.createDataFrame([(1, 200, 80, bytearray(page.tobytes()))], "image_id long, height int, width int, data binary")
+    area = spark.createDataFrame([(1, 0, 79, 0, 199, 0xFFFFFF)], "image_id long, x0 int, x1 int, y0 int, y1 int, colour int")
+    blocks = slicing.advert_blocks(df, area).orderBy("y0").collect()
+    assert [(b.y0, b.y1) for b in blocks] == [(10, 59), (80, 159)]
+    boxes = spark.createDataFrame([(1, 0, 10, 10, 69, 59)], "image_id long, unit int, x0 int, y0 int, x1 int, y1 int")
+    tone = slicing.colours(df, boxes).first()
+    assert tone.chip >> 16 > 150 and slicing.crops(df, boxes).first().png[:4] == b"\x89PNG" and slicing.contact_sheets(df, boxes).count() == 1
+
+
+def test_whole_pages(spark):
+    rows = [(1, 0, 5, 5, 90, 40, 0), (1, 1, 5, 50, 40, 90, 1), (1, 2, 50, 50, 90, 90, 0), (1, 3, 95, 52, 99, 88, 0), (2, 0, 0, 0, 9, 9, 0), (2, 1, 0, 20, 9, 29, 0)]
+    slices = spark.createDataFrame(rows, "image_id long, unit int, x0 int, y0 int, x1 int, y1 int, n_captions int")
+    from pagewright.operators import whole
+
+    found = sorted((r.image_id, r.role, r.pos, r.x0, r.x1) for r in whole.adapted(slices).collect())
+    assert found == [(1, "ad", 0, 5, 90), (1, "unit", 1, 5, 40), (1, "unit", 2, 50, 99), (2, "whole", 0, 0, 9)]
+
+
+def test_data_uri(spark):
+    import base64
+
+    from pagewright.functions import text as t
+
+    body = bytes(range(200))
+    got = spark.createDataFrame([("a.PNG", bytearray(body))], "p string, b binary").select(t.data_uri(F.col("p"), F.col("b")).alias("u")).first().u
+    assert got == "data:image/png;base64," + base64.b64encode(body).decode()
+
+
 def test_image_source_round_trip(spark, tmp_path):
     page = slicing.grid_picture(2)
     (tmp_path / "a.png").write_bytes(images.png(page))
