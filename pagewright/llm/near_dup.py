@@ -7,9 +7,10 @@ their Jaccard similarity.
 
 Links: documents with equal sets form one class, whose smallest id stands for it.  Representatives that share a band
 of ``ROWS`` coordinates are candidates.  First each is verified against the member with the largest buckets among its
-own (linear in the buckets' sizes); the links found give components.  Buckets that still hold several components are
-then compared in blocks of ``BLOCK`` members, only across components: pairs whose sketches agree are verified, and a
-block gives the links that join its components.  Both verifications count the intersection of the full shingle sets.  At 85 % similarity the chance that no band of a pair
+own, if their sketches agree (linear in the buckets' sizes); the links found give components.  Buckets that still hold
+several components are then compared in blocks of ``BLOCK`` members, only across components: members with an agreeing
+sketch are found first, then their pairs are verified, and a block gives the links that join its components.  All
+verifications count the intersection of the full shingle sets.  At 85 % similarity the chance that no band of a pair
 agrees is (1 - 0.85^5)^25 < 1e-6.
 
 Defined cases: a document without words or text has an empty set, links with nothing and is its own component; fewer
@@ -124,21 +125,56 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _block_links(members: DataFrame, percent: int) -> DataFrame:
-    """Verified links ``(a, b)`` between the components in each bucket of ``members (key, id, component, coords,
-    found)``.  The largest component is only compared with the others; blocks are bounded.  A block compares sketches,
-    then full sets, and gives one link for each two components that it joins, as more would join nothing."""
+def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sketches agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(texts(batch.column(k))), np.uint32).reshape(-1, COORDS) for k in (2, 3))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= AGREE))
+
+    side = lambda c: classes.select(F.col("id").alias(c), F.col("coords").alias(f"c{c}"))
+    return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long"))
+
+
+def _blocks(members: DataFrame, columns: list[str]) -> DataFrame:
+    """``members (key, id, component, columns)`` dealt to blocks (key, i, j) of bounded size, so that each member outside
+    its bucket's largest component (``minor``) meets every other member of the bucket in one block."""
     per = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     sizes = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"))
     rows = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # ids are dealt to blocks by hash; a target sits in its own block column, a minor in its own block row
-    columns = ["id", "component", "coords", "found"]
+    # a target sits in its own block column, a minor in its own block row
+    columns = ["id", "component", *columns]
     target = rows.select("key", F.explode(every).alias("i"), F.col("own").alias("j"), *columns, F.lit(False).alias("minor"))
     minor = rows.where("component <> major").select("key", F.col("own").alias("i"), F.explode(every).alias("j"), *columns, F.lit(True).alias("minor"))
     with_minor = rows.where("component <> major").select("key", F.col("own").alias("i")).distinct()
-    target = target.join(with_minor, ["key", "i"], "left_semi")
+    return target.join(with_minor, ["key", "i"], "left_semi").unionByName(minor)
+
+
+def _open_members(members: DataFrame) -> DataFrame:
+    """``key, id`` of the members whose sketch agrees with one of another component in their bucket."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        minor = np.array(table.column("minor").to_pylist(), bool)
+        ids, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("id", "component"))
+        coords = np.frombuffer(b"".join(table.column("coords").to_pylist()), np.uint32).reshape(-1, COORDS)
+        found, targets = np.zeros(len(ids), bool), np.flatnonzero(~minor)
+        for k in np.flatnonzero(minor):
+            hit = targets[(comps[targets] != comps[k]) & ((coords[targets] == coords[k]).sum(1) >= AGREE)]
+            found[hit] = True
+            found[k] |= len(hit) > 0
+        out = np.unique(ids[found])
+        return pa.table({"key": pa.array([table.column("key")[0].as_py()] * len(out), pa.int64()), "id": pa.array(out)})
+
+    return checkpointed(_blocks(members, ["coords"]).groupBy("key", "i", "j").applyInArrow(compare, "key long, id long").distinct())
+
+
+def _block_links(members: DataFrame, percent: int) -> DataFrame:
+    """Verified links ``(a, b)`` between the components in each bucket of ``members (key, id, component, coords,
+    found)``.  A block compares sketches, then full sets, and gives one link for each two components that it joins, as
+    more would join nothing."""
 
     def compare(table: pa.Table) -> pa.Table:
         minor = np.array(table.column("minor").to_pylist(), bool)
@@ -167,7 +203,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
                         out.append((min(ids[k], ids[t]), max(ids[k], ids[t])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    return target.unionByName(minor).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return checkpointed(_blocks(members, ["coords", "found"]).groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -190,28 +226,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight = members.groupBy("id").agg(F.sum("n").alias("weight"))
     weighed = checkpointed(members.join(weight, "id").select("key", "id", "weight"))
     leaders = weighed.groupBy("key").agg(F.max(F.struct("weight", F.col("id").alias("leader"))).alias("first")).select("key", "first.weight", "first.leader")
-    wanted = checkpointed(members.select("id").distinct())
-    small = wanted.count() <= BROADCAST_IDS
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingles_of(text)).tobytes() for text in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "found"])
 
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    some = some.join(F.broadcast(wanted) if small else wanted, "id", "left_semi")
-    sets = checkpointed(some.mapInArrow(as_sets, "id long, found binary").where(F.length("found") > 0).groupBy("id").agg(F.first("found").alias("found")))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Full sets of some representatives; few ids are sent to the tasks, many joined by shuffle."""
+        small = ids.count() <= BROADCAST_IDS
+        some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if small else ids, "id", "left_semi")
+        return checkpointed(some.mapInArrow(as_sets, "id long, found binary").where(F.length("found") > 0).groupBy("id").agg(F.min("found").alias("found")))
 
     led = weighed.select("key", "id").join(leaders, "key").where("id <> leader")
     star = led.groupBy("id").agg(F.max_by("leader", F.struct("weight", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    star = _agreeing(star, classes)
+    ids = checkpointed(star.select(F.col("a").alias("id")).union(star.select("b")).distinct())
+    sets = sets_of(ids)
     links = _verified(star, sets, percent)
     found = components(links)
-    seen = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    seen = checkpointed(seen)
+    seen = checkpointed(weighed.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     open_keys = seen.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = checkpointed(seen.join(open_keys, "key", "left_semi"))
-    whole = classes.select("id", "coords").join(sets, "id")
-    more = checkpointed(_block_links(rest.join(whole, "id"), percent))
+    close = _open_members(rest.join(classes.select("id", "coords"), "id"))
+    sets = sets.union(sets_of(checkpointed(close.select("id").distinct().join(ids, "id", "left_anti"))))
+    left = rest.join(close, ["key", "id"], "left_semi").join(classes.select("id", "coords"), "id").join(sets, "id")
+    more = _block_links(left, percent)
     found = components(links.union(more))
 
     named = classes.join(found, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component"), F.col("id").alias("rep"))
