@@ -3,6 +3,10 @@
 Quality rules remove lines above the limits and reject failing documents; language ID rejects documents without a
 recognisable language; one document of each near-duplicate group stays; documents that hold a benchmark item go; what
 is left is encoded.  All stages but the last return the columns of ``documents``.
+
+Defined cases: a null text fails the rules; rows with one id are one document to the stages that reject by id (language,
+near-duplicates, contamination), and a row without an id cannot be rejected by them; columns beyond those of
+``documents`` are handed on up to the last stage; empty tables give empty results.
 """
 
 from __future__ import annotations
