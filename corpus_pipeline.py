@@ -1,6 +1,6 @@
 """A corpus in five stages, each written as Parquet and read again as the next one's documents.
 
-Quality rules remove lines above the limits and reject failing documents; language ID rejects documents without a
+Quality rules remove lines that at least ``LINE_DOCS`` distinct documents hold and reject failing documents; language ID rejects documents without a
 recognisable language; one document of each near-duplicate group stays; documents that hold a benchmark item go; what
 is left is encoded.  All stages but the last return the columns of ``documents``.
 
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pagewright.llm import byte_bpe, decontam, lang_gru, line_rules, near_dup
 
 MIN_LANGUAGE_SCORE = 0.5
+LINE_DOCS = 8  # distinct documents that may not all hold a line, on one host or on all hosts together
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = line_rules.apply_line_rules(docs, clean_col="_clean").where("kept")
+    judged = line_rules.apply_line_rules(docs, min_docs=LINE_DOCS, share=0.0, all_docs=LINE_DOCS, clean_col="_clean").where("kept")
     values = {"text": F.col("_clean"), "n_chars": F.when(F.col("n_removed_lines") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))}
     return judged.select(*(values.get(c, F.col(c)).alias(c) for c in docs.columns))
 

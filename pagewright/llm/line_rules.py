@@ -3,14 +3,17 @@
 Lines are normalised (ASCII lower case, white space to one space) and hashed with their host.  For each host the
 distinct documents that hold a line are counted, where documents with the same text count once, so exact copies do not
 turn a clean document into boilerplate.  A line is above the limit if at least ``min_docs`` documents and more than
-``share`` of the host's documents hold it.  Such lines are removed, and a document is rejected if it fails the base
+``share`` of the host's documents hold it; a share of 0 leaves the absolute limit alone, which doesn't rise with the
+host.  With ``all_docs``, a line that at least so many distinct documents of all hosts together hold is above the limit
+on every host.  ``op9_line_rules`` keeps the share of its SQL; the pipeline uses the absolute limits.  Such lines are removed, and a document is rejected if it fails the base
 rules, has fewer than ``min_words`` words left or lost more than half of its words.
 
 Defined cases: a null text counts as empty and fails; a null host is the host ``''``; rows with one id are separate
 rows; an empty table gives an empty result; other columns pass through untouched.
 
 Plan: one pass emits a row per document and distinct line; the distinct count runs in two steps (first on host, line
-and text, then on host and line with map-side sums), so a line that every document holds stays one row per task.  The
+and text, then on host and line with map-side sums), so a line that every document holds stays one row per task.  The count over all hosts runs
+in the same two steps, on rows of one host more.  The
 lines above the limits are sent to the tasks while they are at most ``broadcast_lines``; beyond that they are joined by
 key.
 """
@@ -29,6 +32,8 @@ from pagewright.llm.common import checkpointed, texts
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+ALL_SEED = 1
+ALL_HOSTS = 0  # the host key of the count over all hosts
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed_lines long, n_removed_words long"
 
 
@@ -36,6 +41,10 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def _key(data: bytes, seed: int = 0) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(data, seed))
+
+
 def _lines(host: str | None, text: str) -> list[tuple[int, int]]:
     """(key, words) of each line; key 0 and no words for a blank line."""
     salt = (host or "").encode("utf-8", "replace") + b"\0"
@@ -46,6 +55,11 @@ def _lines(host: str | None, text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _shared_lines(text: str) -> list[int]:
+    """Key of each line on all hosts together, 0 for a blank line; the seed keeps it apart from the hosts' keys."""
+    return [_key(b" ".join(words), ALL_SEED) if (words := line.split()) else 0 for line in text.encode("utf-8", "replace").lower().split(b"\n")]
+
+
 def repeated_words(words: list[bytes], width: int = 5) -> int:
     """Words inside windows of ``width`` words that occur twice or more in the list, the first included."""
     n = len(words) - width + 1
@@ -89,7 +103,9 @@ def _base(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = 8, share: float = 0.05, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def frequent_lines(
+    docs: DataFrame, min_docs: int = 8, share: float = 0.05, text_col: str = "text", host_col: str = "source", all_docs: int | None = None
+) -> DataFrame:
     """``line_key, n_docs`` of the lines above the limits."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,29 +119,37 @@ def frequent_lines(docs: DataFrame, min_docs: int = 8, share: float = 0.05, text
                 hosts += [home] * len(found)
                 owners += [own] * len(found)
                 keys += found
+                if all_docs is not None:
+                    shared = set(_shared_lines(text or "")) - {0}
+                    hosts += [ALL_HOSTS] * len(shared)
+                    owners += [own] * len(shared)
+                    keys += shared
             yield pa.record_batch([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(owners, pa.int64())], ["host_key", "line_key", "text_key"])
 
     rows = docs.select(F.col(host_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(emit, "host_key long, line_key long, text_key long")
     counted = rows.groupBy("host_key", "line_key", "text_key").agg(F.lit(1).alias("one")).groupBy("host_key", "line_key").agg(F.sum("one").alias("n_docs"))
     # The lines that reach min_docs are few; host totals are the rows of key 0.
-    held = checkpointed(counted.where((F.col("line_key") == 0) | (F.col("n_docs") >= min_docs)))
+    least = F.when(F.col("host_key") == ALL_HOSTS, F.lit(all_docs)).otherwise(F.lit(min_docs))
+    held = checkpointed(counted.where((F.col("line_key") == 0) | (F.col("n_docs") >= least)))
     totals = held.where("line_key = 0").select("host_key", F.col("n_docs").alias("host_docs"))
-    return held.where("line_key <> 0").join(totals, "host_key").where(F.col("n_docs") > F.lit(share) * F.col("host_docs")).select("line_key", "n_docs")
+    above = held.where("line_key <> 0").join(totals, "host_key").where(F.col("n_docs") > F.lit(share) * F.col("host_docs")).select("line_key", "n_docs")
+    return above if all_docs is None else above.union(held.where(F.col("host_key") == ALL_HOSTS).select("line_key", "n_docs"))
 
 
 def apply_line_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 8, share: float = 0.05,
     min_words: int = 10, keep_share: float = 0.5, broadcast_lines: int = 500_000, clean_col: str | None = "clean_text",
+    all_docs: int | None = None,
 ) -> DataFrame:
     """``docs`` with the rule counts, ``base_failed``, ``kept`` and, unless ``clean_col`` is None, the text without
     the removed lines."""
     spark = docs.sparkSession
-    frequent = checkpointed(frequent_lines(docs, min_docs, share, text_col, host_col))
+    frequent = checkpointed(frequent_lines(docs, min_docs, share, text_col, host_col, all_docs))
     if frequent.count() <= broadcast_lines:
         keys = spark.sparkContext.broadcast(frozenset(r[0] for r in frequent.select("line_key").collect()))
         source, sent = docs.withColumn("_removed", F.lit(None).cast("array<int>")), keys
     else:
-        source, sent = _joined(docs, frequent, text_col, host_col), None
+        source, sent = _joined(docs, frequent, text_col, host_col, all_docs is not None), None
     names = source.columns
     at_text, at_host, at_removed = names.index(text_col), names.index(host_col), names.index("_removed")
     tail = STATS + (f", `{clean_col}` string" if clean_col else "")
@@ -137,6 +161,8 @@ def apply_line_rules(
             for host, text, removed in zip(texts(batch.column(at_host)), texts(batch.column(at_text)), gone, strict=True):
                 lines = _lines(host, text or "")
                 out = set(removed or ()) if sent is None else {i for i, (key, words) in enumerate(lines) if words and key in sent.value}
+                if sent is not None and all_docs is not None:
+                    out |= {i for i, key in enumerate(_shared_lines(text or "")) if key and key in sent.value}
                 rows.append((*_base(text or ""), len(out), sum(lines[i][1] for i in out)))
                 if clean_col:
                     cleaned.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in out) if out else text)
@@ -151,15 +177,18 @@ def apply_line_rules(
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (rest >= min_words) & (rest >= F.lit(keep_share) * F.col("n_words")))
 
 
-def _joined(docs: DataFrame, frequent: DataFrame, text_col: str, host_col: str) -> DataFrame:
+def _joined(docs: DataFrame, frequent: DataFrame, text_col: str, host_col: str, shared: bool = False) -> DataFrame:
     """``docs`` with the numbers of their frequent lines, by a join on the line's key instead of a sent table."""
     marked = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(row, i, key) for row, host, text in zip(*(texts(batch.column(k)) for k in range(3)), strict=True) for i, (key, words) in enumerate(_lines(host, text or "")) if words]
+            rows = list(zip(*(texts(batch.column(k)) for k in range(3)), strict=True))
+            out = [(row, i, key) for row, host, text in rows for i, (key, words) in enumerate(_lines(host, text or "")) if words]
+            if shared:
+                out += [(row, i, key) for row, _, text in rows for i, key in enumerate(_shared_lines(text or "")) if key]
             yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["_row", "_line", "line_key"])
 
     lines = marked.select("_row", F.col(host_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(emit, "_row long, _line int, line_key long")
-    hits = lines.join(frequent, "line_key").groupBy("_row").agg(F.collect_list("_line").alias("_removed"))
+    hits = lines.join(frequent, "line_key").groupBy("_row").agg(F.collect_set("_line").alias("_removed"))
     return marked.join(hits, "_row", "left").drop("_row")
