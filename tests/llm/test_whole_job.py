@@ -1,7 +1,12 @@
 """Cases in which an operator or a stage once did less than the whole job."""
 
+from collections import Counter
+
+import numpy as np
+
 import corpus_pipeline
-from pagewright.llm import line_rules
+from pagewright.llm import line_rules, pseudo_lm
+from pagewright.llm.common import hash_words, words_of
 from tests.conftest import DATA
 
 
@@ -17,3 +22,23 @@ def test_shared_lines_of_large_hosts_and_over_hosts_go(spark):
     assert gone == {*range(12), *range(1000, 1009)} and all("\n" not in kept[i] for i in gone)
     ways = [line_rules.apply_line_rules(docs, share=0.0, all_docs=8, broadcast_lines=n).select("doc_id", "clean_text", "n_removed_lines").collect() for n in (500_000, -1)]
     assert sorted(ways[0]) == sorted(ways[1]) and sum(r.n_removed_lines for r in ways[0]) == len(gone)
+
+
+def test_each_word_is_scored_by_its_own_count(spark):
+    """All words sent, some joined, all joined: the same scores, those of plain counts."""
+    rows = [(i, " ".join(["often"] * 50 + [f"w{i % 40}", f"x{i % 7}", f"only{i}"])) for i in range(90)] + [(90, None), (90, "often"), (None, "w1 w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    flat, n = pseudo_lm.fit(docs), Counter(w for _, t in rows for w in words_of(t))
+    classes = lambda words: pseudo_lm._codes(hash_words(words))[0]
+    mass = 1 + np.bincount(classes(list(n)), np.array(list(n.values())) + 1, pseudo_lm.CLASSES)
+    want = []
+    for i, t in rows:
+        words = words_of(t)
+        _, probs = pseudo_lm.forward(flat, pseudo_lm.windows([pseudo_lm._codes(hash_words(words))[1]]))
+        want.append((str(i), len(words), round(sum(np.log(probs[k, c] * (n[w] + 1) / mass[c]) for k, (w, c) in enumerate(zip(words, classes(words), strict=True))), 3)))
+    for sent_words in (1 << 19, 60, 0):
+        counts = pseudo_lm.corpus_counts(docs, sent_words=sent_words)
+        assert (counts.rare is None) == (sent_words > 60) and len(counts.sent[0]) <= sent_words and counts.words.count() == len(n)
+        found = [(str(r.doc_id), r.n_words, round(r.pll, 3)) for r in pseudo_lm.score(docs, flat, counts).collect()]
+        assert [x[:2] for x in sorted(found)] == [x[:2] for x in sorted(want)]
+        assert np.allclose([x[2] for x in sorted(found)], [x[2] for x in sorted(want)], atol=0.01)
