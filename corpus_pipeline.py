@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pagewright.llm import byte_bpe, decontam, lang_gru, line_rules, near_dup
 
 MIN_LANGUAGE_SCORE = 0.5
+NEAR_PERCENT = 80  # of the union of two documents' shingles of five words
 LINE_DOCS = 8  # distinct documents that may not all hold a line, on one host or on all hosts together
 
 
@@ -41,7 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dup.near_duplicates(docs).where("not kept"))
+    return _only(docs, near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

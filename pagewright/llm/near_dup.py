@@ -11,7 +11,7 @@ own, if their sketches agree (linear in the buckets' sizes); the links found giv
 several components are then compared in blocks of ``BLOCK`` members, only across components: members with an agreeing
 sketch are found first, then their pairs are verified, and a block gives the links that join its components.  All
 verifications count the intersection of the full shingle sets.  At 85 % similarity the chance that no band of a pair
-agrees is (1 - 0.85^5)^25 < 1e-6.
+agrees is (1 - 0.85^5)^25 < 1e-6, at 80 % (1 - 0.8^5)^25 < 5e-5.  Pairs below 80 % are banded too thinly for lower limits.
 
 Defined cases: a document without words or text has an empty set, links with nothing and is its own component; fewer
 words than a shingle make one shingle; rows with the same id are one document and get the component of that id; a null
@@ -36,7 +36,7 @@ from pagewright.llm.common import checkpointed, mix64, shingles_of, texts
 COORDS = 128
 ROWS = 5
 BANDS = COORDS // ROWS
-AGREE = 90
+SIGMAS = 4.6  # deviations that the sketch test lies below the mean of a pair right at the limit
 BLOCK = 256
 BROADCAST_IDS = 1_000_000
 _ROUND_SALTS = mix64(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -59,6 +59,13 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return mix64(best).astype(np.uint32)
 
 
+def agreeing(percent: int) -> int:
+    """Equal coordinates that the sketch test asks for: ``SIGMAS`` below the mean at the limit, so that a pair there is
+    lost with a chance below 1e-5 (normal approximation)."""
+    j = percent / 100
+    return max(0, int(COORDS * j - SIGMAS * (COORDS * j * (1 - j)) ** 0.5))
+
+
 def _bands(coordinates: np.ndarray) -> np.ndarray:
     key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(coordinates), 0)
     parts = coordinates[:, : BANDS * ROWS].reshape(len(coordinates), BANDS, ROWS).astype(np.uint64)
@@ -125,13 +132,13 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
     """The pairs ``(a, b)`` whose sketches agree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(texts(batch.column(k))), np.uint32).reshape(-1, COORDS) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= AGREE))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= agree))
 
     side = lambda c: classes.select(F.col("id").alias(c), F.col("coords").alias(f"c{c}"))
     return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long"))
@@ -153,7 +160,7 @@ def _blocks(members: DataFrame, columns: list[str]) -> DataFrame:
     return target.join(with_minor, ["key", "i"], "left_semi").unionByName(minor)
 
 
-def _open_members(members: DataFrame) -> DataFrame:
+def _open_members(members: DataFrame, least: int) -> DataFrame:
     """``key, id`` of the members whose sketch agrees with one of another component in their bucket."""
 
     def compare(table: pa.Table) -> pa.Table:
@@ -162,7 +169,7 @@ def _open_members(members: DataFrame) -> DataFrame:
         coords = np.frombuffer(b"".join(table.column("coords").to_pylist()), np.uint32).reshape(-1, COORDS)
         found, targets = np.zeros(len(ids), bool), np.flatnonzero(~minor)
         for k in np.flatnonzero(minor):
-            hit = targets[(comps[targets] != comps[k]) & ((coords[targets] == coords[k]).sum(1) >= AGREE)]
+            hit = targets[(comps[targets] != comps[k]) & ((coords[targets] == coords[k]).sum(1) >= least)]
             found[hit] = True
             found[k] |= len(hit) > 0
         out = np.unique(ids[found])
@@ -175,6 +182,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     """Verified links ``(a, b)`` between the components in each bucket of ``members (key, id, component, coords,
     found)``.  A block compares sketches, then full sets, and gives one link for each two components that it joins, as
     more would join nothing."""
+    least = agreeing(percent)
 
     def compare(table: pa.Table) -> pa.Table:
         minor = np.array(table.column("minor").to_pylist(), bool)
@@ -193,7 +201,7 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
         targets = np.flatnonzero(~minor)
         for k in np.flatnonzero(minor):
             agree = (coords[targets] == coords[k]).sum(1)
-            for at in np.argsort(-agree, kind="stable")[: int((agree >= AGREE).sum())]:
+            for at in np.argsort(-agree, kind="stable")[: int((agree >= least).sum())]:
                 t = targets[at]
                 one, other = top(comps[k]), top(comps[t])
                 if one != other:
@@ -240,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     led = weighed.select("key", "id").join(leaders, "key").where("id <> leader")
     star = led.groupBy("id").agg(F.max_by("leader", F.struct("weight", "leader")).alias("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    star = _agreeing(star, classes)
+    star = _agreeing(star, classes, agreeing(percent))
     ids = checkpointed(star.select(F.col("a").alias("id")).union(star.select("b")).distinct())
     sets = sets_of(ids)
     links = _verified(star, sets, percent)
@@ -248,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = checkpointed(weighed.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     open_keys = seen.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     rest = checkpointed(seen.join(open_keys, "key", "left_semi"))
-    close = _open_members(rest.join(classes.select("id", "coords"), "id"))
+    close = _open_members(rest.join(classes.select("id", "coords"), "id"), agreeing(percent))
     sets = sets.union(sets_of(checkpointed(close.select("id").distinct().join(ids, "id", "left_anti"))))
     left = rest.join(close, ["key", "id"], "left_semi").join(classes.select("id", "coords"), "id").join(sets, "id")
     more = _block_links(left, percent)

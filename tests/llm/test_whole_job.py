@@ -1,11 +1,12 @@
 """Cases in which an operator or a stage once did less than the whole job."""
 
+import random
 from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
-from pagewright.llm import line_rules, pseudo_lm
+from pagewright.llm import line_rules, near_dup, pseudo_lm
 from pagewright.llm.common import hash_words, words_of
 from tests.conftest import DATA
 
@@ -42,3 +43,23 @@ def test_each_word_is_scored_by_its_own_count(spark):
         found = [(str(r.doc_id), r.n_words, round(r.pll, 3)) for r in pseudo_lm.score(docs, flat, counts).collect()]
         assert [x[:2] for x in sorted(found)] == [x[:2] for x in sorted(want)]
         assert np.allclose([x[2] for x in sorted(found)], [x[2] for x in sorted(want)], atol=0.01)
+
+
+def test_pairs_from_the_limit_up_are_near_duplicates(spark):
+    """Pairs round both limits against brute force; those from 0.80 up to 0.85 are one document to the pipeline."""
+    r = random.Random(31)
+    rows, share = [], {}
+    for pair in range(400):
+        text = [f"p{pair}w{k}" for k in range(204)]
+        copy, cut = list(text), r.randrange(12, 26)
+        copy[-cut:] = [f"p{pair}n{k}" for k in range(cut)]
+        sets = [{tuple(t[i : i + 5]) for i in range(200)} for t in (text, copy)]
+        share[2 * pair + 1] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * pair, " ".join(text)), (2 * pair + 1, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85):
+        want = {i for i, x in share.items() if 100 * x >= percent}
+        assert want and {x.doc_id for x in near_dup.near_duplicates(docs, percent=percent).where("not kept").collect()} == want
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, DATA).collect()}
+    assert kept == {i for i, _ in rows} - {i for i, x in share.items() if x >= 0.8}
+    assert near_dup.agreeing(85) == 90 and near_dup.agreeing(80) < 85
