@@ -11,12 +11,12 @@ near-duplicates, contamination), and a row without an id cannot be rejected by t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.lineage import Scratch, shared_folder
 from pagewright.llm import byte_bpe, decontam, lang_gru, line_rules, near_dup
 
 MIN_LANGUAGE_SCORE = 0.5
@@ -31,9 +31,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _only(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``rejected``; a short list is sent to the tasks, a long one is joined by shuffle."""
-    ids = near_dup.checkpointed(rejected.select("doc_id"))
-    return docs.join(F.broadcast(ids) if ids.count() <= near_dup.BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the ids of ``rejected``, a written table: by its size the optimizer sends it or joins by shuffle."""
+    ids = Scratch(docs.sparkSession).keep(rejected.select("doc_id").where("doc_id is not null").distinct())
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +66,7 @@ ORACLE_SQL = None  # the language model is not expressible in SQL; tests hold ea
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the stages' tables lie below ``spark.checkpoint.dir``."""
-    context = spark.sparkContext
-    top = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    top = f"{top}/pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
