@@ -63,3 +63,14 @@ def test_pairs_from_the_limit_up_are_near_duplicates(spark):
     kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, DATA).collect()}
     assert kept == {i for i, _ in rows} - {i for i, x in share.items() if x >= 0.8}
     assert near_dup.agreeing(85) == 90 and near_dup.agreeing(80) < 85
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    """Links of both texts of a repeated id count, and its rows share one component, the empty one too."""
+    r = random.Random(4)
+    a, b = ([f"{x}{r.randrange(10**6)}" for _ in range(100)] for x in "ab")
+    near = lambda t: " ".join([*t[:-3], "other", *t[-2:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (3, ""), (4, ""), (5, "one two"), (5, "one two")]
+    for order in (rows, rows[::-1]):
+        found = near_dup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((x.doc_id, x.component_id, x.kept) for x in found) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (5, 5, True)]
