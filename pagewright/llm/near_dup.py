@@ -317,7 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = same.join(same.groupBy("id").agg(F.min("cls").alias("a")), "id").where("a <> cls").select("a", F.col("cls").alias("b"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return keep(_sets(texts_of, coords.select("cls", "id", "set_key").join(ids, "cls", "left_semi")))
+        needed = keep(coords.select("cls", "id", "set_key").join(ids, "cls", "left_semi"))  # its size decides how texts meet it
+        return keep(_sets(texts_of, needed))
 
     paired = keep(star.select(F.col("a").alias("cls")).union(star.select("b")).distinct())
     sets = sets_of(paired)
