@@ -2,10 +2,14 @@
 
 Markup is stripped into lines, one for each block.  Lines inside menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments count as empty, and link text adds nothing to a line's length.  Lengths are
-summed over sliding windows of ``WINDOW`` lines; a region starts where the sum surges above the threshold and ends at
-the dive, where a whole window is empty.  A page that marks its article confines the lines to that element, and there
-the surge and the dive are the element's first and last text.  Without a marked article the region with the most text
-is kept, and any other with at least a quarter of it.
+summed over sliding windows of ``WINDOW`` lines; a region starts where the sum surges above ``SURGE`` and ends at the
+dive, where a whole window is empty.  All regions are kept.
+
+Articles that a page marks weigh its lines, if the distribution bears them out: if their own lines surge, or are half of
+the page's text, a line inside counts ``SURGE`` more, so that it surges by itself, and a line outside counts nothing.
+Otherwise (a marked teaser, say) the marks are passed over.  Without marks, text that lies in the same element as the
+regions, or in an element between them and the body, is kept with them, however short and far off it is.  If no window
+of a page surges, every line with text counts.
 
 Defined cases: null and empty html give ''; cut-off pages, unclosed elements and pages without a text line are read as
 far as they go; pages of any length are read whole; repeated rows give repeated results; an empty table gives an empty
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,8 @@ WINDOW = 3
 SURGE = 80
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    # a quote opens a value only behind "="; one that is never closed is a plain character
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -63,20 +69,28 @@ def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
     return bool(words & _NOISE_WORDS)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
-    """Lines in page order: text, length without links, noise, number of the marked element it is in (-1: none), and
-    whether that is an article."""
-    out: list[tuple[str, int, bool, int, bool]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, noise, marked element, article
+class Line(NamedTuple):
+    text: str
+    length: int  # without links
+    noise: bool
+    element: int  # number of the marked element that it is in, -1: none
+    article: bool  # whether that is an article
+    path: tuple[int, ...]  # numbers of the elements round it, but for html and body
+
+
+def lines_of(page: str) -> list[Line]:
+    """Lines in page order."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, noise, marked element, article, number (0: html and body)
     pieces: list[str] = []
-    linked, links, marked, at = 0, 0, 0, 0
+    linked, links, marked, at, numbered = 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            _, noise, element, article = stack[-1] if stack else ("", False, -1, False)
-            out.append((text, max(0, len(text) - linked), noise, element, article))
+            _, noise, element, article, _ = stack[-1] if stack else ("", False, -1, False, 0)
+            out.append(Line(text, max(0, len(text) - linked), noise, element, article, tuple(x[4] for x in stack if x[4])))
         pieces.clear()
         linked = 0
 
@@ -121,7 +135,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
                     close(len(stack) - 1)
                 if stack and stack[-1][0] == tag and tag in _OPEN_ENDED:
                     close(len(stack) - 1)
-            noise, element, article = stack[-1][1:] if stack else (False, -1, False)
+            noise, element, article = stack[-1][1:4] if stack else (False, -1, False)
             own = _is_noise(tag, m[4] or "", element >= 0)
             if tag in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", m[4] or ""):
                 if not (own or noise) and not article:
@@ -129,7 +143,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
             if own and not noise and not block:
                 flush()
             if own or block and tag not in _OPEN_ENDED:
-                stack.append((tag, noise or own, element, article))
+                numbered += 1
+                stack.append((tag, noise or own, element, article, 0 if tag in ("html", "body") else numbered))
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
     flush()
@@ -150,22 +165,28 @@ def regions(lengths: list[int], threshold: float, window: int = WINDOW) -> list[
     return out + ([(start, n)] if start is not None else [])
 
 
+def weighed(lines: list[Line]) -> tuple[list[int], frozenset[int]]:
+    """The lines' lengths in the distribution, and the marked elements that it bears out."""
+    plain = [0 if x.noise else x.length for x in lines]
+    articles = any(x.article and not x.noise for x in lines)
+    marked = frozenset(x.element for x in lines if x.element >= 0 and not x.noise and (x.article or not articles))
+    inside = [n if x.element in marked else 0 for x, n in zip(lines, plain, strict=True)]
+    if not marked or not (regions(inside, SURGE) or 2 * sum(inside) >= sum(plain)):
+        return plain, frozenset()
+    return [n + SURGE + 1 if x.element in marked and not x.noise else 0 for x, n in zip(lines, plain, strict=True)], marked
+
+
 def main_text(page: str | None) -> str:
     lines = lines_of(page) if page else []
-    weight: dict[int, int] = {}
-    articles = {x[3] for x in lines if x[4] and not x[2]}
-    for _, length, noise, element, _ in lines:
-        if element >= 0 and not noise and (not articles or element in articles):
-            weight[element] = weight.get(element, 0) + length + 1
-    marked = bool(weight)
-    if marked:
-        best = max(weight, key=lambda e: (weight[e], -e))
-        lines = [x for x in lines if x[3] == best]
-    lengths = [0 if noise else len(text) if marked else length for text, length, noise, _, _ in lines]
-    found = regions(lengths, 0 if marked else SURGE) or regions([0 if x[2] else len(x[0]) for x in lines], 0)
-    mass = [sum(lengths[a:b]) for a, b in found]
-    keep = [r for r, m in zip(found, mass, strict=True) if marked or 4 * m >= max(mass)]
-    return " ".join(lines[i][0] for a, b in keep for i in range(a, b) if not lines[i][2])
+    lengths, marked = weighed(lines)
+    found = regions(lengths, SURGE) or regions([0 if x.noise else len(x.text) for x in lines], 0)
+    keep = {i for first, dive in found for i in range(first, dive) if not lines[i].noise and (not marked or lines[i].element in marked)}
+    if keep and not marked:
+        paths = [lines[i].path for i in keep]
+        shared = next((k for k in range(min(map(len, paths)), 0, -1) if len({x[:k] for x in paths}) == 1), 0)
+        near, owners = paths[0][:shared], set(paths)
+        keep |= {i for i, x in enumerate(lines) if x.length and not x.noise and (x.path[:shared] == near if shared else x.path in owners)}
+    return " ".join(lines[i].text for i in sorted(keep))
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "main_text") -> DataFrame:
