@@ -5,11 +5,13 @@ distinct documents that hold a line are counted, where documents with the same t
 turn a clean document into boilerplate.  A line is above the limit if at least ``min_docs`` documents and more than
 ``share`` of the host's documents hold it; a share of 0 leaves the absolute limit alone, which doesn't rise with the
 host.  With ``all_docs``, a line that at least so many distinct documents of all hosts together hold is above the limit
-on every host.  ``op9_line_rules`` keeps the share of its SQL; the pipeline uses the absolute limits.  Such lines are removed, and a document is rejected if it fails the base
-rules, has fewer than ``min_words`` words left or lost more than half of its words.
+on every host.  ``op9_line_rules`` and the pipeline use the absolute limits ``LINE_DOCS``, on a host and over all hosts.
+Such lines are removed, and a document is rejected if it fails the base rules, has fewer than ``min_words`` words left or
+lost more than half of its words.
 
 Defined cases: a null text counts as empty and fails; a null host is the host ``''``; rows with one id are separate
-rows; an empty table gives an empty result; other columns pass through untouched.
+rows; texts of any length are read whole; an empty table gives an empty result; other columns pass through untouched, but
+those that share a name with the results are replaced by them.
 
 Plan: one pass emits a row per document and distinct line; the distinct count runs in two steps (first on host, line
 and text, then on host and line with map-side sums), so a line that every document holds stays one row per task.  The count over all hosts runs
@@ -32,11 +34,21 @@ from pagewright.llm.common import checkpointed, texts
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+LINE_DOCS = 8  # distinct documents that may not all hold a line, on one host or on all hosts together
 ALL_SEED = 1
 ALL_HOSTS = 0  # the host key of the count over all hosts
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_removed_lines long, n_removed_words long"
 
 
+RESULTS = [*(x.split()[0] for x in STATS.split(", ")), "base_failed", "kept"]
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
@@ -144,14 +156,15 @@ def apply_line_rules(
     """``docs`` with the rule counts, ``base_failed``, ``kept`` and, unless ``clean_col`` is None, the text without
     the removed lines."""
     spark = docs.sparkSession
+    docs = docs.drop(*(set(RESULTS) | {clean_col} if clean_col else set(RESULTS)) - {id_col, text_col, host_col})
     frequent = checkpointed(frequent_lines(docs, min_docs, share, text_col, host_col, all_docs))
     if frequent.count() <= broadcast_lines:
         keys = spark.sparkContext.broadcast(frozenset(r[0] for r in frequent.select("line_key").collect()))
-        source, sent = docs.withColumn("_removed", F.lit(None).cast("array<int>")), keys
+        source, sent = docs.withColumn(_free("_removed", docs.columns), F.lit(None).cast("array<int>")), keys
     else:
         source, sent = _joined(docs, frequent, text_col, host_col, all_docs is not None), None
-    names = source.columns
-    at_text, at_host, at_removed = names.index(text_col), names.index(host_col), names.index("_removed")
+    names = docs.columns
+    at_text, at_host, at_removed = names.index(text_col), names.index(host_col), len(names)  # the removed lines come last
     tail = STATS + (f", `{clean_col}` string" if clean_col else "")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +179,9 @@ def apply_line_rules(
                 rows.append((*_base(text or ""), len(out), sum(lines[i][1] for i in out)))
                 if clean_col:
                     cleaned.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in out) if out else text)
-            arrays = [batch.column(i) for i, n in enumerate(names) if n != "_removed"]
+            arrays = [batch.column(i) for i in range(len(names))]
             arrays += [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 7)]
-            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(cleaned, pa.string())] if clean_col else []), names=[n for n in names if n != "_removed"] + [x.strip().split()[0].strip("`") for x in tail.split(",")])
+            yield pa.RecordBatch.from_arrays(arrays + ([pa.array(cleaned, pa.string())] if clean_col else []), names=names + [x.strip().split()[0].strip("`") for x in tail.split(",")])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     counted = source.mapInArrow(judge, f"{fields}, {tail}")
@@ -179,7 +192,8 @@ def apply_line_rules(
 
 def _joined(docs: DataFrame, frequent: DataFrame, text_col: str, host_col: str, shared: bool = False) -> DataFrame:
     """``docs`` with the numbers of their frequent lines, by a join on the line's key instead of a sent table."""
-    marked = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    row = _free("_row", docs.columns)
+    marked = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,8 +201,9 @@ def _joined(docs: DataFrame, frequent: DataFrame, text_col: str, host_col: str,
             out = [(row, i, key) for row, host, text in rows for i, (key, words) in enumerate(_lines(host, text or "")) if words]
             if shared:
                 out += [(row, i, key) for row, _, text in rows for i, key in enumerate(_shared_lines(text or "")) if key]
-            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["_row", "_line", "line_key"])
+            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["row", "line", "line_key"])
 
-    lines = marked.select("_row", F.col(host_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(emit, "_row long, _line int, line_key long")
-    hits = lines.join(frequent, "line_key").groupBy("_row").agg(F.collect_set("_line").alias("_removed"))
-    return marked.join(hits, "_row", "left").drop("_row")
+    lines = marked.select(row, F.col(host_col).alias("h"), F.col(text_col).alias("t")).mapInArrow(emit, "row long, line int, line_key long")
+    removed = _free("_removed", docs.columns)
+    hits = lines.join(frequent.select("line_key"), "line_key").groupBy(F.col("row").alias(row)).agg(F.collect_set("line").alias(removed))
+    return marked.join(hits, row, "left").select(*docs.columns, removed)

@@ -49,7 +49,8 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return line_rules.apply_line_rules(docs, clean_col=None).drop("text", "source")
+    judged = line_rules.apply_line_rules(docs, min_docs=line_rules.LINE_DOCS, share=0.0, all_docs=line_rules.LINE_DOCS, clean_col=None)
+    return judged.drop("text", "source")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,8 +100,8 @@ words AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS w FROM docs),
 lines AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
 norm AS (SELECT r, host, text, line, i, regexp_extract_all({_LOWER.replace("text", "line")}, '{_WORD}') AS w FROM lines WHERE regexp_matches(line, '{_WORD}')),
 freq AS (
-  SELECT host, k FROM (SELECT host, array_to_string(w, ' ') AS k, count(DISTINCT text) AS n FROM norm GROUP BY ALL)
-  JOIN (SELECT host, count(DISTINCT text) AS total FROM docs GROUP BY host) USING (host) WHERE n >= 8 AND n > 0.05 * total),
+  SELECT host, k FROM (SELECT host, array_to_string(w, ' ') AS k, count(DISTINCT text) AS n FROM norm GROUP BY ALL) WHERE n >= 8
+  UNION SELECT h.host, k FROM (SELECT array_to_string(w, ' ') AS k, count(DISTINCT text) AS n FROM norm GROUP BY ALL), (SELECT DISTINCT host FROM docs) h WHERE n >= 8),
 gone AS (SELECT r, count(*) AS n_removed_lines, sum(len(w)) AS n_removed_words FROM norm JOIN freq ON norm.host = freq.host AND array_to_string(w, ' ') = k GROUP BY r),
 dup AS (SELECT r, sum(n - 1) AS n_dup_lines FROM (SELECT r, line, count(*) AS n FROM norm GROUP BY r, line) GROUP BY r),
 win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
