@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LEAF_BYTES = 16
+LEAF_BYTES = 1  # strings that the tree does not halve; longer leaves are merged directly
 NEVER = 1 << 40
 WIDE_SPACE = re.compile(r" \s|\s ")
-_CACHE_PIECES = 500_000
+_CACHE_PIECES = 100_000  # about 20 MB each for pieces and for chunks
+_CACHE_PAIRS = 200_000  # about 30 MB
 _LOADED: dict[tuple[str, str], Ranks] = {}
 
 
@@ -56,8 +57,9 @@ class _Spaced(dict):
 class Ranks(dict):
     """Piece of text -> packed ids, filled as pieces come and emptied when full."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, leaf: int = LEAF_BYTES):
         super().__init__()
+        self.leaf = leaf
         with open(path, "rb") as lines:
             self.id_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = [b""] * (max(self.id_of.values()) + 1)
@@ -116,7 +118,7 @@ class Ranks(dict):
     def is_stable(self, a: int, b: int) -> bool:
         known = self.stable.get((a, b))
         if known is None:
-            if len(self.stable) >= 1_000_000:
+            if len(self.stable) >= _CACHE_PAIRS:
                 self.stable.clear()
             known = self.stable[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
@@ -140,7 +142,7 @@ class Ranks(dict):
         whole = self.id_of.get(data)
         if whole is not None:
             return [whole]
-        if len(data) <= LEAF_BYTES:
+        if len(data) <= self.leaf:
             return self.merged(data)
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))

@@ -2,32 +2,31 @@
 
 A text is cut into windows of ``WINDOW`` bytes; the network reads each window in both directions, labels every byte
 with a distribution over the languages, and the document's probabilities are the mean over all its bytes.  The network
-is fitted with numpy on the driver by backpropagation through time (Adam), on a bounded sample: the ``FIT_DOCS``
-labelled documents of least id hash, ``FIT_WINDOWS`` windows of each, spread over its whole text.
+is fitted with numpy on the driver by backpropagation through time (Adam), on a bounded sample: of each language the
+``FIT_DOCS`` labelled documents of least id hash, so rare languages are learned too, and ``FIT_WINDOWS`` windows of each
+document, spread over its whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a text is read whole at any length; with
-no labelled row at all every row is ``und``; rows with a null id are predicted but never fitted on; an empty table gives
+no labelled row at all every row is ``und``; rows with a null id are predicted, are not held out and never fitted on; an empty table gives
 an empty result; columns that share a name with the results are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import texts
 
 WINDOW = 48
 HIDDEN = 8
-FIT_DOCS = 3000
+FIT_DOCS = 750  # of each language
 FIT_WINDOWS = 6
 EPOCHS = 5
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -160,7 +159,7 @@ def fit(samples: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 5, bat
 
 
 def predict(model: Tagger, many: list[str | None], group: int = 1024) -> tuple[list[str], list[float]]:
-    read = [bool(t) and _LETTER.search(t) is not None for t in many]
+    read = [bool(t) and any(map(str.isalpha, t)) for t in many]
     at = [i for i, ok in enumerate(read) if ok] if model.languages else []
     label, score = ["und"] * len(many), [0.0] * len(many)
     if not at:
@@ -181,16 +180,18 @@ def predict(model: Tagger, many: list[str | None], group: int = 1024) -> tuple[l
 
 
 def held_out(id_col: str):
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, fit_windows: int = FIT_WINDOWS) -> list[tuple[str, str]]:
-    """The bounded sample to fit on: ids are chosen first, so texts of other rows are not moved."""
+    """The bounded sample to fit on: ids are chosen first, so texts of other rows are not moved, and the limit of each
+    language is taken within tasks before any shuffle."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), held_out(id_col).alias("out"))
     rows = rows.where("id is not null and lang is not null and text is not null and not out")
-    chosen = F.broadcast(rows.select("id").orderBy(F.xxhash64("id"), "id").limit(fit_docs))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    chosen = rows.select("id", "lang").withColumn("place", place).where(F.col("place") <= fit_docs).select("id", "lang")
     at = F.transform(F.sequence(F.lit(0), F.lit(fit_windows - 1)), lambda i: F.expr("text").substr(F.lit(1) + F.pmod(F.xxhash64("id", i), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int"), F.lit(WINDOW)))
-    return [(r.lang, part) for r in rows.join(chosen, "id", "left_semi").select("id", "lang", at.alias("parts")).orderBy(F.xxhash64("id"), "lang", "parts").limit(fit_docs).collect() for part in r.parts if part.strip()]
+    return [(r.lang, part) for r in rows.join(F.broadcast(chosen), ["id", "lang"], "left_semi").select("id", "lang", at.alias("parts")).dropDuplicates(["id", "lang"]).orderBy(F.xxhash64("id"), "lang").collect() for part in r.parts if part.strip()]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Tagger | None = None) -> DataFrame:

@@ -5,10 +5,11 @@ Every message is parsed into its own text and its quoted passages with their lev
 case, words only, one space) and hashed, as whole blocks, paragraphs and lines, and joined to the latest earlier message
 of the conversation whose own text has the same passage.  A message answers the message that most of its level-1
 quotation comes from (by characters; the later one on a tie).  Replies give each message a root and a depth, and
-``reply_order`` sorts a conversation by root, depth and turn, so an answer always follows what it answers.
+``reply_order``, the array of root, depth and turn, sorts a conversation so that an answer always follows what it answers.
+Whole messages, their paragraphs and their lines are matched; a quoted part of a line links to nothing.
 
 Defined cases: a null or empty text has no passages; a message without a linked quotation is a root; rows with a null
-conversation or turn link with nothing and are kept; several rows with one conversation and turn are each kept and share
+conversation or turn link with nothing and are kept; texts of any length are read whole; several rows with one conversation and turn are each kept and share
 their links; a passage that many messages hold meets only its latest earlier holder; an empty table gives an empty
 result; columns that share a name with the results are not read.
 
@@ -124,5 +125,5 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     kind = dict(base.dtypes)["conv"]
     out = base.mapInArrow(clean, f"conv {kind}, turn long, role string, clean_text string, n_quotes long").join(linked, ["conv", "turn"], "left")
     root, depth = F.coalesce("root_turn", "turn"), F.coalesce("depth", F.lit(0).cast("long"))
-    order = F.concat_ws("/", *(F.lpad(c.cast("string"), 12, "0") for c in (root, depth, F.col("turn"))))
+    order = F.array(root, depth, F.col("turn"))
     return out.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "clean_text", "n_quotes", "parent_turn", "quoted", root.alias("root_turn"), depth.alias("depth"), order.alias("reply_order"))

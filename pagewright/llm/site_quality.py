@@ -3,12 +3,13 @@
 A logistic classifier over statistics of the text (fitted in numpy on at most ``FIT_DOCS`` labelled documents of least id
 hash) gives each document's own evidence.  Labels are grouped by host and by path below the host; the between-group
 variance, estimated by moments from grouped sums, sets the strength of a beta prior, so a host with few labels shrinks to
-the global rate and a path with few labels to its host.  The log-odds of the document move by the log-odds of its path's
-posterior against the global rate.
+the global rate and a path with few labels to its host.  A labelled document's own label is left out of the sums that
+judge it.  The log-odds of the document move by the log-odds of its path's posterior against the global rate.
 
 Defined cases: a null or empty text is scored from its zero statistics; a source without a label gets the prior; a null
-source is the host ''; a source ``host/path...`` is split at its first slash; an id with several labels counts with their
-mean; without labels, or with one kind only, the classifier is the constant share; a null id is scored; an empty table
+source is the host ''; a source ``host/path...`` is split at its first slash, and all behind it is the path; an id with
+several labels counts with their mean; repeated rows count as often as they occur; columns that share a name with the
+results are not read; texts of any length are read whole; without labels, or with one kind only, the classifier is the constant share; a null id is scored; an empty table
 gives an empty result.
 
 Plan: labels meet only the documents' ids and sources.  Sums by path and host are pre-aggregated; the site table is sent
@@ -85,7 +86,7 @@ class Classifier:
 
 def _site(source_col: str) -> list:
     source = F.coalesce(F.col(source_col), F.lit(""))
-    return [F.substring_index(source, "/", 1).alias("host"), F.when(F.instr(source, "/") > 0, F.expr(f"substring_index(substring(coalesce(`{source_col}`, ''), instr(`{source_col}`, '/') + 1), '/', 1)")).otherwise("").alias("path")]
+    return [F.substring_index(source, "/", 1).alias("host"), F.when(F.instr(source, "/") > 0, F.expr(f"substring(`{source_col}`, instr(`{source_col}`, '/') + 1)")).otherwise("").alias("path")]
 
 
 def _strength(groups: DataFrame, own: str, above: str) -> float:
@@ -101,18 +102,17 @@ def _strength(groups: DataFrame, own: str, above: str) -> float:
     return float(np.clip(rate / between - 1, 1.0, 1000.0)) if between > 0 else 1000.0
 
 
-def site_posteriors(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """``host, path, site_rate`` from rows (host, path, label), and the global rate."""
+def site_sums(labelled: DataFrame) -> tuple[DataFrame, DataFrame, tuple[float, float, float]]:
+    """Of rows (host, path, label): label sums by path (host, path, n, s) and by host (host, host_n, host_s), and the
+    global rate with the prior strengths of hosts and of paths."""
     paths = checkpointed(labelled.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("label").alias("s")))
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s")))
+    total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_s").alias("s")).first()
     rate = float((total.s + 1) / (total.n + 2)) if total.n else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("own", F.col("s") / F.col("n")).withColumn("above", F.lit(rate))
-    k = _strength(hosts, "own", "above")
-    hosts = hosts.select("host", ((F.col("s") + k * rate) / (F.col("n") + k)).alias("host_rate"))
-    below = paths.join(hosts, "host").withColumn("own", F.col("s") / F.col("n"))
-    k = _strength(below, "own", "host_rate")
-    found = below.select("host", "path", "host_rate", ((F.col("s") + k * F.col("host_rate")) / (F.col("n") + k)).alias("site_rate"))
-    return checkpointed(found), rate
+    k_host = _strength(hosts.select(F.col("host_n").alias("n"), (F.col("host_s") / F.col("host_n")).alias("own"), F.lit(rate).alias("above")), "own", "above")
+    above = (F.col("host_s") + k_host * rate) / (F.col("host_n") + k_host)
+    below = paths.join(hosts, "host").select("n", (F.col("s") / F.col("n")).alias("own"), above.alias("above"))
+    return paths, hosts, (rate, k_host, _strength(below, "own", "above"))
 
 
 def quality(
@@ -132,7 +132,7 @@ def quality(
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label")
     fitted = sample.mapInArrow(measure, "x array<double>, label double").orderBy(F.xxhash64("x")).limit(fit_docs).collect()
     model = spark.sparkContext.broadcast(Classifier([r.x for r in fitted], [round(r.label) for r in fitted]))
-    sites, rate = site_posteriors(docs.select(F.col(id_col).alias("id"), *_site(source_col)).join(known, "id"))
+    paths, hosts, (rate, k_host, k_path) = site_sums(docs.select(F.col(id_col).alias("id"), *_site(source_col)).join(known, "id"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,12 +141,14 @@ def quality(
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col), *_site(source_col), F.col(text_col)).mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, doc_evidence double")
-    hosts = sites.groupBy("host").agg(F.first("host_rate").alias("host_rate"))
-    sites = sites.select("host", "path", "site_rate")
-    if sites.count() <= BROADCAST_SITES:
-        sites, hosts = F.broadcast(sites), F.broadcast(hosts)
-    joined = scored.join(hosts, "host", "left").join(sites, ["host", "path"], "left")
-    site = F.coalesce("site_rate", "host_rate", F.lit(rate))
+    if paths.count() <= BROADCAST_SITES:
+        paths, hosts = F.broadcast(paths), F.broadcast(hosts)
+    joined = scored.join(hosts, "host", "left").join(paths, ["host", "path"], "left").join(known.withColumnRenamed("id", id_col), id_col, "left")
+    # a labelled document is judged by its site's other labels
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    own_n, own_s = F.col("label").isNotNull().cast("int"), zero("label")
+    host = (zero("host_s") - own_s + k_host * rate) / (zero("host_n") - own_n + k_host)
+    site = (zero("s") - own_s + k_path * host) / (zero("n") - own_n + k_path)
 
     def logit(c):
         c = F.least(F.greatest(c, F.lit(1e-9)), F.lit(1 - 1e-9))

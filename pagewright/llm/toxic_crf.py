@@ -7,10 +7,12 @@ gradient steps on the likelihood, whose gradients come from forward-backward mar
 marginals of all words are exact over its whole chain; their sum, maximum and count of likely words go through a
 logistic function fitted on the labelled documents and give the score.  Runs of likely words are returned with offsets.
 
-Fitted on at most ``FIT_DOCS`` labelled documents of least id hash outside the held-out third.  Defined cases: an empty
+Fitted on at most ``FIT_DOCS`` labelled documents of least id hash outside the held-out third, and of these on as many as
+fit into ``FIT_BYTES`` of text; a document that alone exceeds the room left is passed over.  Defined cases: an empty
 or null text is scored like a text without toxic words, with no spans; if no labels or only one kind are there, every
-score is the share of label 1 (0 without labels); an id with several labels counts as toxic if one of them is; rows with
-a null id are scored but not held out; an empty table gives an empty result.
+score is the share of label 1 (0 without labels); an id with several labels counts as toxic if one of them is; repeated
+rows are scored alike and one of them is fitted on; rows with a null id are scored but not held out; texts of any length
+are read whole; an empty table gives an empty result; columns that share a name with the results are not read.
 """
 
 from __future__ import annotations
@@ -31,14 +33,19 @@ from pagewright.llm.common import texts
 FEATURES = 1 << 16
 FORMS = 1 << 22  # places for counting forms when words are tagged
 FIT_DOCS = 6000
+FIT_BYTES = 24_000_000  # of text that the driver reads to fit
 THRESHOLD = 0.7
 STEPS = 80
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 100_000  # about 15 MB
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Words in lower case, cut in the text as it is: a letter whose lower case is longer must not shift or split them."""
+    if not text:
+        return []
+    low = text.lower()
+    return _WORD.findall(low) if len(low) == len(text) else [w.lower() for w in _WORD.findall(text)]
 
 
 def forms(word: str) -> list[str]:
@@ -239,13 +246,21 @@ def held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS) -> list[tuple[str, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_docs: int = FIT_DOCS, fit_bytes: int = FIT_BYTES) -> list[tuple[str, int]]:
     """The bounded sample to fit on, chosen by id before any text is read."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(fit_docs)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return [(r.text, r.label) for r in rows.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(fit_docs).collect()]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sizes = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.max(F.octet_length("text")).alias("size"), F.min(F.xxhash64("text")).alias("which"))
+    room, some = fit_bytes, []
+    for r in sizes.orderBy(F.xxhash64("id"), "id").collect():
+        if (r["size"] or 0) <= room:
+            room -= r["size"] or 0
+            some.append((r.id, r.label, r.which))
+    some = docs.sparkSession.createDataFrame(some, f"id {docs.schema[id_col].dataType.simpleString()}, label int, which long")
+    found = rows.join(F.broadcast(some), "id").where(F.xxhash64("text") == F.col("which")).dropDuplicates(["id"])
+    return [(r.text, r.label) for r in found.orderBy(F.xxhash64("id"), "id").collect()]
 
 
 def tag(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", span_at: float = 0.5) -> DataFrame:
@@ -266,7 +281,8 @@ def tag(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text
                 for doc in np.unique(packed.owner[hot]).tolist():
                     first = int(np.searchsorted(packed.owner, doc))
                     likely = p[first : first + len(many[doc])] >= span_at
-                    places = list(_WORD.finditer(source[doc].lower()))
+                    low = source[doc].lower()
+                    places = list(_WORD.finditer(low if len(low) == len(source[doc]) else source[doc]))
                     run_start = None
                     for i, yes in enumerate([*likely.tolist(), False]):
                         if yes and run_start is None:

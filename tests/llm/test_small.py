@@ -133,7 +133,7 @@ def test_chain_marginals():
 
 def test_windows_of_masked_words():
     got = pseudo_lm.windows([np.array([1, 2, 3]), np.array([], int), np.array([7])])
-    pad = pseudo_lm.CONTEXT
+    pad = pseudo_lm._PAD
     assert got.tolist() == [[pad, pad, 2, 3], [pad, 1, 3, pad], [1, 2, pad, pad], [pad, pad, pad, pad]]
 
 
@@ -141,3 +141,91 @@ def test_quotes_are_parsed():
     text = "Yes.\n\nOn Monday A wrote:\n> one\n> On Sunday B wrote:\n>> two\n> three\nNo."
     assert quotes.parse(text) == ("Yes.\n\nNo.", [(1, "one"), (2, "two"), (1, "three")])
     assert quotes.parse(None) == ("", []) and quotes.parse("> > a\n>b") == ("", [(2, "a"), (1, "b")])
+
+
+def test_network_gradients():
+    r = np.random.default_rng(4)
+    flat = pseudo_lm.start_parameters(r.integers(0, 50, pseudo_lm.CLASSES)).astype(np.float64)
+    window, wanted = r.integers(0, pseudo_lm.SLOTS + 2, (9, 4)), r.integers(0, pseudo_lm.CLASSES, 9)
+    loss = lambda: -np.log(pseudo_lm.forward(flat, window)[2][np.arange(9), wanted]).mean()
+    grad = pseudo_lm.gradients(flat, window, wanted)
+    first = 0
+    for shape in pseudo_lm._SHAPES:
+        size = int(np.prod(shape))
+        at = first + int(np.abs(grad[first : first + size]).argmax())
+        first += size
+        keep, ends = flat[at], []
+        for step in (1e-5, -1e-5):
+            flat[at] = keep + step
+            ends.append(loss())
+        flat[at] = keep
+        assert abs((ends[0] - ends[1]) / 2e-5 - grad[at]) < 1e-6 + 1e-4 * abs(grad[at])
+
+
+def test_tree_over_every_piece_and_odd_white_space():
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    own, r = byte_bpe.ranks(path), random.Random(8)
+    assert own.leaf == 1
+    pieces = {"".join(r.choice("etaoinshrdlu ") for _ in range(r.randrange(2, 30))) for _ in range(3000)} | {"x" * 500, "the" * 90}
+    for piece in pieces:
+        data = piece.encode()
+        half = len(data) // 2
+        assert own.join(own.encode_bytes(data[:half]), own.encode_bytes(data[half:])) == library._core_bpe.encode_single_piece(data)
+    for _ in range(4000):
+        text = "".join(r.choice([" ", "  ", "\n", "\t", "\xa0", "\u2003", "\x1c", "\x85", "a", "B1", "'s", ".", "é"]) for _ in range(r.randrange(1, 9)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_pooling_is_the_mean_over_all_bytes():
+    r = np.random.default_rng(6)
+    model = lang_gru.Tagger(["a", "b", "c"])
+    model.out = r.standard_normal(model.out.shape).astype(np.float32)
+    many = ["short", None, "²½ Ⅷ ①", "", "l" * 200 + " mixed text é" * 9, "x"]
+    label, score = lang_gru.predict(model, many, group=2)
+    assert label[1] == label[3] == "und" and lang_gru.predict(model, ["²½ ①", "_9_", "ª"])[0][:2] == ["und", "und"]
+    for i in (0, 4, 5):
+        data, total = many[i].encode(), np.zeros(3)
+        for at in range(0, len(data), lang_gru.WINDOW):
+            part = data[at : at + lang_gru.WINDOW].ljust(lang_gru.WINDOW, b"\0")
+            probs = model.tag(np.frombuffer(part, np.uint8)[:, None])
+            total += probs[: len(data) - at, :, 0].sum(0)
+        total /= len(data)
+        assert label[i] == "abc"[int(total.argmax())] and abs(score[i] - total.max()) < 1e-5
+
+
+def test_regions_against_plain_windows():
+    r = random.Random(5)
+    for _ in range(300):
+        lengths = [r.choice([0, 0, 0, 10, 30, 50, 90]) for _ in range(r.randrange(0, 25))]
+        want, start = [], None
+        for i in range(len(lengths)):
+            total = sum(lengths[i : i + html_blocks.WINDOW])
+            if start is None and total > 80 and lengths[i]:
+                start = i
+            elif start is not None and total == 0:
+                want.append((start, i))
+                start = None
+        assert html_blocks.regions(lengths, 80) == want + ([(start, len(lengths))] if start is not None else [])
+
+
+def test_pages_whose_marks_do_not_decide():
+    long, noise = "many plain words in a row make a long line of the text " * 3, "<div class='ad'>buy</div>" * 4
+    text = html_blocks.main_text
+    assert text("<article><p title=don't>Hello there</p><p>it's fine</p></article>") == "Hello there it's fine"
+    assert text('<p title="abc>Hello') == "Hello" and text("<p a='x>y' b=\"1>2\">t") == "t"
+    # a marked teaser isn't the main text; a page of several marked articles has all of them
+    assert text(f"<article><a href=x>More</a></article><div><h1>Head</h1><p>{long}</p></div>") == f"Head {long.strip()}"
+    assert text(f"<main><article><p>{long}</p></article>{noise}<article><p>{long}</p><p>End.</p></article></main>") == f"{long.strip()} {long.strip()} End."
+    # short text of the element that holds the main text stays, however far off
+    assert text(f"<div><p>Start.</p>{noise}<p>{long}</p>{noise}<p>End.</p></div><div><p>Other</p></div>") == f"Start. {long.strip()} End."
+    assert text(f"<div><section><p>{long}</p></section>{noise}<section><p>{long}</p></section><section><p>Short</p></section></div>").endswith("Short")
+    assert text("<article>" + "<p>Hi.</p><div class='ad'>x</div>" * 3 + "</article><p>outside") == "Hi. Hi. Hi."
+    assert len(text("<div><p>" + "word " * 400_000 + "</p></div>")) == 5 * 400_000 - 1
+
+
+def test_words_keep_their_places():
+    text = "İİİ you IDIOT"
+    assert toxic_crf.words(text)[-2:] == ["you", "idiot"] and len(toxic_crf.words(text)) == 3
+    assert toxic_crf.words(None) == toxic_crf.words("") == []

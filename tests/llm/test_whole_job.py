@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pagewright.llm import line_rules, near_dup, pseudo_lm
+from pagewright.llm import line_rules, near_dup, pseudo_lm, quotes, site_quality, toxic_crf
 from pagewright.llm.common import hash_words, words_of
 from tests.conftest import DATA
 
@@ -26,23 +28,51 @@ def test_shared_lines_of_large_hosts_and_over_hosts_go(spark):
 
 
 def test_each_word_is_scored_by_its_own_count(spark):
-    """All words sent, some joined, all joined: the same scores, those of plain counts."""
-    rows = [(i, " ".join(["often"] * 50 + [f"w{i % 40}", f"x{i % 7}", f"only{i}"])) for i in range(90)] + [(90, None), (90, "often"), (None, "w1 w1")]
+    """All words sent, some joined, all joined: the same scores, those of plain counts outside the document."""
+    rows = [(i, " ".join(["often"] * 50 + [f"w{i % 40}", f"x{i % 4}", f"only{i}"])) for i in range(90)] + [(90, None), (90, "often"), (None, "w1 w1"), (91, "twice here too"), (92, "twice here too")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    flat, n = pseudo_lm.fit(docs), Counter(w for _, t in rows for w in words_of(t))
-    classes = lambda words: pseudo_lm._codes(hash_words(words))[0]
-    mass = 1 + np.bincount(classes(list(n)), np.array(list(n.values())) + 1, pseudo_lm.CLASSES)
+    words, n = pseudo_lm.corpus_words(docs), Counter(w for _, t in rows for w in words_of(t))
+    flat = pseudo_lm.fit(docs, words)
+    hashes = hash_words(list(n))
+    classes, context = words.codes(hashes)
+    assert words.words.count() == len(n) and (context < pseudo_lm.SLOTS).sum() >= 4 and set(classes[context == pseudo_lm._OTHER]) == {pseudo_lm.CLASSES - 1}
+    count = np.array(list(n.values()))
+    mass = np.log([count[classes == c].sum() + pseudo_lm.ALPHA * ((classes == c).sum() + 1) for c in range(pseudo_lm.CLASSES)])
+    assert np.allclose(words.log_mass, mass)
     want = []
     for i, t in rows:
-        words = words_of(t)
-        _, probs = pseudo_lm.forward(flat, pseudo_lm.windows([pseudo_lm._codes(hash_words(words))[1]]))
-        want.append((str(i), len(words), round(sum(np.log(probs[k, c] * (n[w] + 1) / mass[c]) for k, (w, c) in enumerate(zip(words, classes(words), strict=True))), 3)))
+        own = words_of(t)
+        wanted, context = words.codes(hash_words(own))
+        probs = pseudo_lm.forward(flat, pseudo_lm.windows([context]))[2]
+        logs = [np.log(probs[k, c]) + np.log(n[w] - own.count(w) + pseudo_lm.ALPHA) - mass[c] for k, (w, c) in enumerate(zip(own, wanted, strict=True))]
+        want.append((str(i), len(own), sum(n[w] == own.count(w) for w in own), sum(logs)))
     for sent_words in (1 << 19, 60, 0):
-        counts = pseudo_lm.corpus_counts(docs, sent_words=sent_words)
-        assert (counts.rare is None) == (sent_words > 60) and len(counts.sent[0]) <= sent_words and counts.words.count() == len(n)
-        found = [(str(r.doc_id), r.n_words, round(r.pll, 3)) for r in pseudo_lm.score(docs, flat, counts).collect()]
-        assert [x[:2] for x in sorted(found)] == [x[:2] for x in sorted(want)]
-        assert np.allclose([x[2] for x in sorted(found)], [x[2] for x in sorted(want)], atol=0.01)
+        some = pseudo_lm.corpus_words(docs, sent_words=sent_words)
+        assert (some.rare is None) == (sent_words > 60) and len(some.sent[0]) <= sent_words
+        found = [(str(r.doc_id), r.n_words, r.n_unseen, r.pll) for r in pseudo_lm.score(docs, flat, some).collect()]
+        assert [x[:3] for x in sorted(found)] == [x[:3] for x in sorted(want)]
+        assert np.allclose([x[3] for x in sorted(found)], [x[3] for x in sorted(want)], atol=0.01)
+    assert {x[0]: x[2] for x in want}["91"] == 0 and {x[0]: x[2] for x in want}["5"] == 1
+
+
+def test_the_network_learns_from_contexts(spark):
+    """Documents left out of the fit: contexts beat the class shares, and the text beats its shuffled words."""
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet").where("text is not null").select("doc_id", "text")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    words = pseudo_lm.corpus_words(docs)
+    flat = pseudo_lm.fit(docs.where(~out), words)
+    own, free, mixed, n, r = 0.0, 0.0, 0.0, 0, np.random.default_rng(1)
+    share = np.log(words.class_words / words.class_words.sum() + 1e-30)
+    for row in docs.where(out).collect():
+        hashes = hash_words(words_of(row.text))
+        if len(hashes) > 20:
+            for k, given in enumerate((hashes, r.permutation(hashes))):
+                wanted, context = words.codes(given)
+                logs = np.log(pseudo_lm.forward(flat, pseudo_lm.windows([context]))[2][np.arange(len(given)), wanted]).sum()
+                own, mixed = (own + logs, mixed) if k == 0 else (own, mixed + logs)
+            free += share[wanted].sum()
+            n += len(hashes)
+    assert own / n > free / n + 0.1 and own / n > mixed / n + 0.01
 
 
 def test_pairs_from_the_limit_up_are_near_duplicates(spark):
@@ -74,3 +104,89 @@ def test_texts_of_one_id_are_one_document(spark):
     for order in (rows, rows[::-1]):
         found = near_dup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
         assert sorted((x.doc_id, x.component_id, x.kept) for x in found) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (5, 5, True)]
+
+
+def test_names_that_clash_with_results(spark):
+    """Columns of the results' names are replaced by the operator, and handed on by the pipeline's stage."""
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(i, f"{text} {i}\nsame line", "s", "en", 3, 7, 8, "c", "r") for i in range(9)], "doc_id long, text string, source string, lang string, n_chars long, n_words long, _removed long, kept string, row string")
+    for lines in (500_000, -1):
+        found = line_rules.apply_line_rules(docs, share=0.0, broadcast_lines=lines).collect()
+        assert {(r.n_words, r.kept, r._removed, r.row, r.n_removed_lines) for r in found} == {(33, True, 8, "r", 1)}
+    handed = corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert handed.columns == docs.columns and {(r.n_words, r._removed, r.kept, r.n_chars) for r in handed.collect()} == {(7, 8, "c", len(text) + 2)}
+
+
+def test_threads_against_plain_search(spark):
+    """Generated threads with nested, partial and repeated quotations, ties of turns and large turns."""
+    r = random.Random(17)
+    rows = []
+    for conv in range(12):
+        base, said = r.choice([0, -5, 1_700_000_000_000]), []
+        for k in range(25):
+            turn = base + k - (k % 7 == 6)
+            own = "\n".join(f"line {conv % 3} {r.randrange(30)} of {k}" if r.random() < 0.7 else f"common {r.randrange(3)}" for _ in range(r.randrange(1, 4)))
+            quoted = ""
+            if said and r.random() < 0.7:
+                picked = r.choice(said).split("\n")
+                quoted = "\n".join("> " + x if not x.startswith(">") else ">" + x for x in picked[: r.randrange(1, len(picked) + 1)]) + "\n"
+            said.append(quoted + own)
+            rows.append((conv, turn, "u", said[-1].upper() if r.random() < 0.1 else said[-1]))
+    found = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    parsed = [(c, t, *quotes.parse(x)) for c, t, _, x in rows]
+    parent = {}
+    for c, t, _, quoted in parsed:
+        for level, body in quoted:
+            for key, size in quotes.passages(body).items():
+                if level == 1:
+                    holders = [u for d, u, own, _ in parsed if d == c and u < t and key in quotes.passages(own)]
+                    if holders:
+                        score = parent.setdefault((c, t), Counter())
+                        score[max(holders)] += size
+    best = {at: max(score, key=lambda u: (score[u], u)) for at, score in parent.items()}
+
+    def chain(c, t):
+        return chain(c, best[c, t]) + [t] if (c, t) in best else [t]
+
+    assert best and len(found) == len(rows)
+    for x in found:
+        path = chain(x.conv_id, x.turn)
+        assert (x.parent_turn, x.root_turn, x.depth) == (best.get((x.conv_id, x.turn)), path[0], len(path) - 1)
+        assert x.reply_order == [path[0], len(path) - 1, x.turn]
+
+
+def test_posteriors_without_the_own_label_against_plain_sums(spark):
+    r = random.Random(3)
+    rows = [(i, "plain words", f"h{i % 5}/a/{i % 3}" if i % 4 else f"h{i % 5}") for i in range(300)]
+    labels = {i: int(r.random() < 0.2 + 0.15 * (i % 5)) for i in range(200)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    found = {x.doc_id: x.site_rate for x in site_quality.quality(docs, known).collect()}
+    split = {i: (s.split("/", 1) + [""])[:2] for i, _, s in rows}
+    sited = docs.join(known, "doc_id").select(*site_quality._site("source"), F.col("quality").cast("double").alias("label"))
+    assert {x.path for x in sited.collect()} == {"", "a/0", "a/1", "a/2"}
+    rate, k_host, k_path = site_quality.site_sums(sited)[2]
+    for i, (host, path) in split.items():
+        others = [(split[j], y) for j, y in labels.items() if j != i]
+        in_host, in_path = [y for (h, _), y in others if h == host], [y for (h, p), y in others if (h, p) == (host, path)]
+        above = (sum(in_host) + k_host * rate) / (len(in_host) + k_host)
+        assert abs(found[i] - (sum(in_path) + k_path * above) / (len(in_path) + k_path)) < 1e-9
+
+
+def test_quality_of_documents_without_labels(spark):
+    """Half of the labels are kept from the operator and judged by it."""
+    docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    own = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    judged = site_quality.quality(docs, labels.where(own)).join(labels.where(~own), "doc_id").select("score", "quality").collect()
+    pairs = [(a.score > b.score) + 0.5 * (a.score == b.score) for a in judged if a.quality for b in judged if not b.quality]
+    assert sum(pairs) / len(pairs) > 0.85
+
+
+def test_spans_behind_letters_that_grow_in_lower_case(spark):
+    docs = spark.createDataFrame([(i, ("İİİ you IDIOT and Scum, " if i % 2 else "İ you dear and good, ") + f"word{i} goes on") for i in range(200)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    for fit_bytes in (10**7, 4000):
+        crf = toxic_crf.fit(toxic_crf.labelled(docs, labels, fit_bytes=fit_bytes))
+        row = {x.doc_id: x for x in toxic_crf.tag(docs, crf).join(docs, "doc_id").collect()}[1]
+        assert row.predicted == 1 and "IDIOT" in row.text[row.spans[0].start : row.spans[-1].end].split()
+    assert sum(len(t.encode()) for t, _ in toxic_crf.labelled(docs, labels, fit_bytes=4000)) <= 4000
