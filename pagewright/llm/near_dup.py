@@ -48,6 +48,7 @@ BANDS = COORDS // ROWS
 SIGMAS = 4.6  # deviations that the sketch test lies below the mean of a pair right at the limit
 BLOCK = 256
 SALTS = 64  # parts that the members of one star are dealt to
+SENT_IDS = 250_000  # ids that may be sent to the tasks, about 20 MB
 _ROUND_SALTS = mix64(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -87,7 +88,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, n_shingles, set_key, coords`` of every row; key and coordinates are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             sizes, keys, coords = [], [], []
             for text in texts(batch.column(1)):
                 found = np.unique(shingles_of(text))
@@ -278,7 +279,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``cls, found`` of the classes ``needed (cls, id, set_key)``, from the texts of ``docs (id, text)``."""
+    """``cls, found`` of the classes ``needed (cls, id, set_key)``, from the texts of ``docs (id, text)``.  Up to ``SENT_IDS``
+    ids are sent to the texts; beyond, both are shuffled by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,6 +288,8 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
             own = pa.array([xxhash.xxh3_128_digest(f) == key for f, key in zip(found, texts(batch.column(1)), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["cls", "found"]).filter(own)
 
+    if needed.count() <= SENT_IDS:
+        needed = F.broadcast(needed)
     rows = docs.join(needed, "id").select("cls", "set_key", "text").mapInArrow(run, "cls long, found binary")
     return rows.groupBy("cls").agg(F.first("found").alias("found"))
 

@@ -166,8 +166,7 @@ def test_tree_over_every_piece_and_odd_white_space():
     path = public_tokenizers.path(byte_bpe.VOCABULARY)
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    own, r = byte_bpe.ranks(path), random.Random(8)
-    assert own.leaf == 1
+    own, r = byte_bpe.Ranks(path, public_tokenizers.PATTERN, leaf=1), random.Random(8)
     pieces = {"".join(r.choice("etaoinshrdlu ") for _ in range(r.randrange(2, 30))) for _ in range(3000)} | {"x" * 500, "the" * 90}
     for piece in pieces:
         data = piece.encode()
