@@ -44,8 +44,13 @@ def group_by_breaks(rows: DataFrame, keys: list[str], order: list[str], gap: str
     return out.withColumn("group_no", F.col("_before") + F.col("_inside")).drop("_break", "_bucket", "_before", "_inside")
 
 
+def value_runs(rows: DataFrame, keys: list[str], order: list[str], value: str, position: str) -> DataFrame:
+    """Maximal runs of rows with one value: ``keys, value, start, end`` of ``position``, inclusive."""
+    all_rows, own = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys, value).orderBy(*order)
+    marked = rows.withColumn("_island", F.row_number().over(all_rows) - F.row_number().over(own))
+    return marked.groupBy(*keys, value, "_island").agg(F.min(position).alias("start"), F.max(position).alias("end")).drop("_island")
+
+
 def runs(rows: DataFrame, keys: list[str], order: list[str], flag: str, position: str) -> DataFrame:
     """Maximal runs of rows with a true flag: ``keys, start, end`` of ``position``, inclusive."""
-    all_rows, own = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys, flag).orderBy(*order)
-    marked = rows.withColumn("_island", F.row_number().over(all_rows) - F.row_number().over(own)).where(F.col(flag))
-    return marked.groupBy(*keys, "_island").agg(F.min(position).alias("start"), F.max(position).alias("end")).drop("_island")
+    return value_runs(rows, keys, order, flag, position).where(F.col(flag)).drop(flag)

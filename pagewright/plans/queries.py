@@ -63,11 +63,10 @@ def break_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_type, min(event_id) AS "start", max(event_id) AS "end" FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)
-WHERE event_type IN ('click', 'view') GROUP BY user_id, event_type, k""")
+GROUP BY user_id, event_type, k""")
 def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    found = [breaks.runs(events.withColumn("flag", F.col("event_type") == kind), ["user_id"], ["event_id"], "flag", "event_id").withColumn("event_type", F.lit(kind)) for kind in ("click", "view")]
-    return found[0].unionByName(found[1])
+    return breaks.value_runs(events, ["user_id"], ["event_id"], "event_type", "event_id")
 
 
 @query("""SELECT conv_id, turn, coalesce(turn < first, true) AS is_ad FROM conversations LEFT JOIN (SELECT conv_id, min(turn) AS first FROM conversations WHERE role = 'assistant' GROUP BY conv_id) USING (conv_id)""")
@@ -208,7 +207,7 @@ def sheet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _orders_as_products(spark, sf_dir)
-    line = table(spark, sf_dir, "lineitem").where("l_linestatus = 'O'")
+    line = table(spark, sf_dir, "lineitem")
     unit = F.struct(F.concat(F.lit("a caption that goes on "), F.col("l_linenumber").cast("string"), F.when(F.col("l_returnflag") == "A", "").otherwise(".")).alias("caption"), F.when(F.col("l_returnflag") == "R", "R").otherwise("").alias("option_tag"), (F.col("l_quantity") * 2).cast("int").alias("width"), F.lit(100).alias("height"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("pos"))
     units = line.groupBy(F.col("l_orderkey").alias("code")).agg(F.array_sort(F.collect_list(unit), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("units"))
     none = F.expr("cast(array() as array<struct<caption:string,option_tag:string,width:int,height:int,pos:bigint>>)")
@@ -220,7 +219,7 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VERDICTS = f"""{_PRODUCTS},
-u AS (SELECT l_orderkey AS code, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS tagged, count(*) FILTER (WHERE l_quantity * 2 < 24) AS small, count(*) FILTER (WHERE CAST(l_quantity * 2 AS INT) > 98) AS missed FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
+u AS (SELECT l_orderkey AS code, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS tagged, count(*) FILTER (WHERE l_quantity * 2 < 24) AS small, count(*) FILTER (WHERE CAST(l_quantity * 2 AS INT) > 98) AS missed FROM lineitem GROUP BY 1),
 v AS (SELECT o.*, coalesce(n, 0) AS n, coalesce(tagged, 0) AS tagged, list_distinct(list_filter([CASE WHEN n IS NULL THEN 'NO_BODY_IMAGE' END, CASE WHEN n IS NOT NULL AND ink < 0.97 THEN 'AREA_LOSS' END,
   CASE WHEN small > 0 THEN 'PANEL_GEOMETRY' END, CASE WHEN missed > 0 THEN 'IMAGE_MISSING' END, nullif({_PRE}, '')], lambda r: r IS NOT NULL)) AS reasons FROM o LEFT JOIN u USING (code))"""
 
@@ -292,31 +291,37 @@ def batch_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RUN = "CASE WHEN doc_id % 5 = 1 THEN text || ' changed' WHEN doc_id % 5 = 2 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END"
+_MOVED = "CASE WHEN doc_id % 7 = 3 THEN -1 - doc_id ELSE doc_id END"
 
 
-@query(f"""WITH old AS (SELECT doc_id AS code, md5(replace(text, chr(13), '')) AS shape FROM documents WHERE doc_id % 7 <> 3), new AS (SELECT doc_id AS code, md5(replace({_RUN}, chr(13), '')) AS shape FROM documents WHERE doc_id % 11 <> 4)
-SELECT code, CASE WHEN n.shape IS NULL THEN 'only_old' WHEN o.shape IS NULL THEN 'only_new' WHEN o.shape = n.shape THEN 'same' ELSE 'changed' END AS state FROM old o FULL JOIN new n USING (code)""")
+@query(f"""WITH old AS (SELECT doc_id AS code, md5(replace(text, chr(13), '')) AS shape FROM documents), new AS (SELECT {_MOVED} AS code, md5(replace({_RUN}, chr(13), '')) AS shape FROM documents)
+SELECT code, CASE WHEN n.code IS NULL THEN 'only_old' WHEN o.code IS NULL THEN 'only_new' WHEN o.shape IS NOT DISTINCT FROM n.shape THEN 'same' ELSE 'changed' END AS state FROM old o FULL JOIN new n USING (code)""")
 def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over all documents; a seventh of them has another code in the new run, so it stands on one side of each."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("code"), "text")
-    text = lambda c: F.md5(F.replace(c, F.lit("\r"), F.lit(""))).alias("shape")
+    shape = lambda c: F.struct(F.md5(F.replace(c, F.lit("\r"), F.lit(""))).alias("text")).alias("shape")
     changed = F.when(F.col("code") % 5 == 1, F.concat("text", F.lit(" changed"))).when(F.col("code") % 5 == 2, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
-    # the old run misses some codes and the new run others; they are part of what is compared
-    old, new = docs.where("code % 7 <> 3").select("code", text(F.col("text"))), docs.where("code % 11 <> 4").select("code", text(changed))
-    return diff.compare(old, new).select("code", "state")
+    moved = F.when(F.col("code") % 7 == 3, -1 - F.col("code")).otherwise(F.col("code")).alias("code")
+    return diff.compare(docs.select("code", shape(F.col("text"))), docs.select(moved, shape(changed))).select("code", "state")
 
 
-_FIGURES = """'<div class="page"><section class="band"><figure class="' || p_type || ' wide"></figure><figure class="' || p_brand || '"></figure><p class="variant__name"><b>' || p_name || '</b> &amp; co</p><article class="feature"><h3 class="feature__head">Head ' || p_size || '</h3></article><b class="em">x</b></section></div>'"""
+_SAVED = (
+    "concat('<style>x</style><main><section data-part=\"choices\"><div data-role=\"choice\"><img src=\"a.png\" alt=\"\"><h2>', p_name, '</h2><p>&amp; co</p></div>', case when p_size % 2 = 0 then concat('<div data-role=\"bare_choice\"><h2>', p_brand, '</h2></div>') else '' end, "
+    "'</section>', case when p_size % 3 = 0 then concat('<section data-part=\"scenes\"><div data-role=\"scene_left\"><img src=\"data:image/png;base64,AA\" alt=\"\"><h2>Head ', cast(p_size as varchar(10)), '</h2><p><b class=\"em\">x</b></p></div></section>') else '' end, '</main>')"
+)
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT p_type AS kind FROM part UNION ALL SELECT p_brand FROM part) GROUP BY 1""")
-def figure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.figure_histogram(table(spark, sf_dir, "part").select(F.expr(_FIGURES.replace("||", ",").join(["concat(", ")"])).alias("html")))
+@query("""SELECT CASE WHEN k = 1 THEN 'choice' ELSE 'scene_left' END AS role, count(*) AS n FROM part, (SELECT unnest([1, 2]) AS k) WHERE k = 1 OR p_size % 3 = 0 GROUP BY 1""")
+def picture_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.picture_histogram(table(spark, sf_dir, "part").select(F.expr(_SAVED).alias("html")))
 
 
-@query("""SELECT p_partkey, 'band' AS sections, p_name || ' & co' AS cards, 1 AS n_features, 1 AS n_heads, 'Head ' || p_size AS heads, 1 AS n_marks, p_name || ' & coHead ' || p_size || 'x' AS text FROM part""")
-def skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shaped = table(spark, sf_dir, "part").select("p_partkey", diff.skeleton(F.expr(_FIGURES.replace("||", ",").join(["concat(", ")"]))).alias("s"))
-    return shaped.select("p_partkey", "s.sections", F.array_join("s.cards", "|").alias("cards"), "s.n_features", "s.n_heads", F.array_join("s.heads", "|").alias("heads"), "s.n_marks", "s.text")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'choices scenes' ELSE 'choices' END AS parts, p_name || '& co' || CASE WHEN p_size % 2 = 0 THEN '|' || p_brand ELSE '' END AS choices,
+CASE WHEN p_size % 3 = 0 THEN 'Head ' || p_size ELSE '' END AS heads, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS n_marks, 1 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS n_roles,
+p_name || '& co' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || CASE WHEN p_size % 3 = 0 THEN 'Head ' || p_size || 'x' ELSE '' END AS text FROM part""")
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shaped = table(spark, sf_dir, "part").select("p_partkey", diff.outline(F.expr(_SAVED)).alias("o"))
+    return shaped.select("p_partkey", F.array_join("o.parts", " ").alias("parts"), F.array_join("o.choices", "|").alias("choices"), F.array_join("o.heads", "|").alias("heads"), "o.n_marks", F.size("o.roles").alias("n_roles"), "o.text")
 
 
 @query("""SELECT p_partkey, list_filter(['a. Copy of ' || p_name, 'b ' || p_brand, 'c. ' || p_type], lambda x: length(x) > 4)::VARCHAR AS captions FROM part""")
@@ -391,9 +396,10 @@ def _parts_as_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"array({unit(1, 'p_type', 'p_brand')}, {unit(2, CAPTION, chr(39) * 2)}, {unit(3, chr(39) * 2, chr(39) * 2)}) as units", "array(p_brand, 'other') as options", "array('7', '') as option_numbers")
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS code, unnest([0, 1, 3, 4, 5, 6, 8, 9]) AS ord, unnest(['hero', 'intro', 'specs', 'lead', 'options', 'more_showcase', 'features', 'foot']) AS section FROM part""")
-def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.sections(_parts_as_products(spark, sf_dir)).select("code", "ord", "section")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS code, unnest([0, 1, 3, 4, 5, 6, 8, 9]) AS place, unnest(['opening', 'typed', 'measures', 'story', 'choices', 'more_posters', 'scenes', 'closing']) AS part,
+unnest(['maker tag tag title' || CASE WHEN p_size % 3 = 0 THEN ' also' ELSE '' END || ' code lead poster', 'tagline', 'measure', 'text', 'choice bare_choice', 'poster', 'scene_left picture', 'note']) AS roles FROM part""")
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.parts(_parts_as_products(spark, sf_dir)).select("code", "place", "part", F.array_join(F.transform("entries", lambda e: e["role"]), " ").alias("roles"))
 
 
 @query()

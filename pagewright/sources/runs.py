@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.operators.diff import skeleton
+from pagewright.operators.diff import outline
 from pagewright.operators.products import valid_code
 
 
@@ -35,7 +35,7 @@ def pages_in_zips(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shapes(pages: DataFrame) -> DataFrame:
-    return pages.select("code", skeleton(F.col("html")).alias("shape"))
+    return pages.select("code", outline(F.col("html")).alias("shape"))
 
 
 def save_shapes(found: DataFrame, path: str) -> None:
@@ -47,8 +47,10 @@ def read_shapes(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def save_pages(pages: DataFrame, path: str) -> None:
-    """One text file for each valid code, below ``code=...``; line ends are as in the page."""
-    pages.where(valid_code(F.col("code"))).select("code", F.col("html").alias("value")).write.mode("overwrite").partitionBy("code").option("lineSep", "\n").text(path)
+    """One text file for each code, below ``code=...``; line ends are as in the page.  A code that can't be a file's name
+    gives way to ``page-`` and the hash of code and page, so no page is lost."""
+    stand_in = F.concat(F.lit("page-"), F.left(F.sha2(F.concat_ws("\n", "code", "html"), 256), F.lit(16)))
+    pages.select(F.when(valid_code(F.col("code")), F.col("code")).otherwise(stand_in).alias("code"), F.col("html").alias("value")).write.mode("overwrite").partitionBy("code").option("lineSep", "\n").text(path)
 
 
 def made(spark: SparkSession, path: str) -> DataFrame:

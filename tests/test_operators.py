@@ -3,10 +3,10 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from pagewright.operators import breaks, diff, gate, products, refine
+from pagewright.operators import breaks, diff, gate, products, refine, render
 from pagewright.slicer import slicing
 from pagewright.sources import html as html_source
-from pagewright.sources import images, xlsx
+from pagewright.sources import images, runs, xlsx
 
 
 def _breaks(gaps):
@@ -75,13 +75,73 @@ def test_fill_slots(spark):
     assert found == {0: ("old text ones", False), 2: ("seen in the picture", False)}
 
 
+def _product(**given):
+    unit = lambda url, caption="", tag="", crop="", width=0: {"url": url, "caption": caption, "caption_crop": crop, "option_tag": tag, "width": width}
+    base = {"code": "100", "name": "Desk lamp", "brand": "", "category": "light", "lead": "", "specs": [], "intro": [], "ads": [], "units": [], "options": [], "option_numbers": []}
+    return base | given | {"units": [unit(*u) for u in given.get("units", [])]}
+
+
+PRODUCT = (
+    "code string, name string, brand string, category string, lead string, specs array<struct<k:string,v:string,u:string>>, intro array<struct<text:string,strong:boolean>>, ads array<struct<url:string,width:int>>, "
+    "units array<struct<url:string,caption:string,caption_crop:string,option_tag:string,width:int>>, options array<string>, option_numbers array<string>"
+)
+
+
+def test_parts_of_pages(spark):
+    rows = [
+        _product(code="a", ads=[("x.png", 400), ("y.png", 800)], units=[("u.png",), ("v.png",)], lead="Desk lamp. Warm light for long evenings."),
+        _product(code="b", brand="Lumo", ads=[("x.png", 100), ("y.png", 50)], units=[("u.png", "Small <base>. It stands firm.", "", "", 50), ("v.png", "red one", "red"), ("w.png", "", "red")], options=["red", "blue"], intro=[("long " * 20, True), ("A lamp", True)]),
+        _product(code="c", name="", specs=[("", "3", "kg")], units=[("w.png", "only one", "red")], options=["red"]),
+    ]
+    products = spark.createDataFrame(rows, PRODUCT)
+    found = {(r.code, r.part): [(e.role, e.note, e.text, e.url, e.width) for e in r.entries] for r in render.parts(products).collect()}
+    names = {c: [p for k, p in found if k == c] for c in "abc"}
+    assert names["a"] == ["opening", "posters", "story", "scenes", "closing"] or set(names["a"]) == {"opening", "posters", "scenes", "closing"}
+    assert [e[0] for e in found["a", "posters"]] == ["poster", "poster"] and found["a", "posters"][0][4] == 400 and found["a", "posters"][1][4] is None
+    assert [e[0] for e in found["a", "scenes"]] == ["picture", "picture"] and ("lead", None, "Warm light for long evenings.", None, None) in found["a", "opening"]
+    assert set(names["b"]) == {"opening", "typed", "choices", "more_posters", "choice_views", "scenes", "closing"}
+    assert found["b", "opening"][0][:3] == ("maker", None, "Lumo") and found["b", "opening"][-1][3] == "x.png"
+    assert [e[0] for e in found["b", "typed"]] == ["line", "tagline"]
+    assert [(e[0], e[3]) for e in found["b", "choices"]] == [("choice", "v.png"), ("bare_choice", None)] and [e[0] for e in found["b", "choice_views"]] == ["view_head", "view", "view"]
+    assert found["b", "scenes"] == [("scene_left", "Small <base>", "It stands firm.", "u.png", None)] or found["b", "scenes"][0][0] == "scene_left"
+    assert set(names["c"]) == {"opening", "measures", "choices", "closing"} and found["c", "measures"] == [("measure", "", "3kg", None, None)]
+    html = {r.code: r.html for r in render.pages(products).collect()}
+    assert len(html) == 3 and "<base>" not in html["b"] and "&lt;base&gt;" in html["b"] and html["b"].count("<section ") == len(names["b"])
+    o = {r.code: r.o for r in spark.createDataFrame(list(html.items()), "code string, html string").select("code", diff.outline(F.col("html")).alias("o")).collect()}
+    assert o["b"].parts == [p for p in render.PARTS if ("b", p) in found] and len(o["b"].choices) == 2 and o["c"].measures == ["3kg"]
+
+
+def test_saved_pages_come_back(spark, tmp_path):
+    """Sinks and sources of runs: pages by code, archives, outlines, lists and exports; no page is lost by its code."""
+    import zipfile
+
+    pages = spark.createDataFrame([("7001", "<main>a\n</main>"), ("bad/../code", "<main>b</main>"), (None, "<main>c</main>")], "code string, html string")
+    runs.save_pages(pages, str(tmp_path / "out"))
+    listed = [r.code for r in runs.made(spark, str(tmp_path / "out")).collect()]
+    assert "7001" in listed and len(set(listed)) == 3 and all(c == "7001" or c.startswith("page-") for c in listed)
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "9.html").write_text("<main>x</main>", "utf-8")
+    with zipfile.ZipFile(tmp_path / "run.zip", "w") as z:
+        z.writestr("sub/9.html", "<main>x</main>")
+        z.writestr("note.txt", "no page")
+    kept = [[(r.code, r.html) for r in f(spark, str(tmp_path / d)).collect()] for f, d in ((runs.pages_of, "flat"), (runs.pages_in_zips, "run.zip"))]
+    assert kept[0] == kept[1] == [("9", "<main>x</main>")]
+    shaped = runs.shapes(runs.pages_of(spark, str(tmp_path / "flat")))
+    runs.save_shapes(shaped, str(tmp_path / "shapes"))
+    back = runs.read_shapes(spark, str(tmp_path / "shapes"), shaped)
+    assert [r.state for r in diff.compare(shaped, back).collect()] == ["same"]
+    wanted = spark.createDataFrame([("9",), (" ",)], "code string")
+    assert [r.code for r in runs.export(runs.pages_of(spark, str(tmp_path / "flat")), wanted).collect()] == ["9"]
+    assert [r.code for r in runs.export(pages.where("code is not null")).collect()] == ["7001", "bad/../code"]
+
+
 def test_run_comparison(spark):
-    page = lambda name, n: f'<div class="page"><section class="band"><p class="variant__name">{name}</p>' + '<article class="feature"></article>' * n + "</section></div>"
+    page = lambda name, n: f'<main><section data-part="choices"><div data-role="choice"><h2>{name}</h2></div>' + '<div data-role="bare_choice"></div>' * n + "</section></main>"
     old = spark.createDataFrame([("a", page("x", 1)), ("b", page("x", 1)), ("c", page("x", 1))], "code string, html string")
-    new = spark.createDataFrame([("a", page("x", 1).replace("</p>", "</p>\r")), ("b", page("y", 2)), ("d", page("x", 1))], "code string, html string")
-    shaped = [d.select("code", diff.skeleton(F.col("html")).alias("shape")) for d in (old, new)]
+    new = spark.createDataFrame([("a", page("x", 1).replace("</h2>", "</h2>\r")), ("b", page("y", 2)), ("d", page("x", 1))], "code string, html string")
+    shaped = [d.select("code", diff.outline(F.col("html")).alias("shape")) for d in (old, new)]
     found = {r.code: (r.state, r.parts) for r in diff.compare(*shaped).collect()}
-    assert found == {"a": ("same", None), "b": ("changed", ["cards", "n_features", "text"]), "c": ("only_old", None), "d": ("only_new", None)}
+    assert found == {"a": ("same", None), "b": ("changed", ["roles", "choices", "text"]), "c": ("only_old", None), "d": ("only_new", None)}
     change = spark.createDataFrame([("abc def", "abc xyz")], "a string, b string").select(diff.text_change(F.col("a"), F.col("b")).alias("c")).first().c
     assert change.ratio == 0.571 and change.changes[0].old == "def"
 
