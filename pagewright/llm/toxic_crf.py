@@ -37,7 +37,7 @@ FIT_BYTES = 24_000_000  # of text that the driver reads to fit
 THRESHOLD = 0.7
 STEPS = 80
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 100_000  # about 15 MB
+_CACHE_WORDS = 250_000  # about 40 MB
 
 
 def words(text: str | None) -> list[str]:
