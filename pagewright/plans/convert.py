@@ -6,16 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import guess_specs, has_caption
-from pagewright.operators import gate, render
+from pagewright.lineage import checkpointed
+from pagewright.operators import gate, render, whole
 from pagewright.operators.match import tag_unit
+from pagewright.slicer import slicing
 from pagewright.sources import html
 
 
-def convert(rows: DataFrame, sizes: DataFrame | None = None, base: str = "https://localhost/") -> DataFrame:
+UNITS = "array<struct<url:string,caption:string,caption_crop:string,option_tag:string,width:int,height:int>>"
+
+
+def taken_apart(images: DataFrame, least_ad: int = slicing.LEAST_AD) -> DataFrame:
+    """``picture, ads, units, ink`` of tall pictures ``images (url, image_id, height, width, data)``, each once.  A part
+    is named by the picture's URL and its rectangle (``#xywh=``), which ``slicing.crops`` cuts out."""
+    pixels = images.select("image_id", "height", "width", "data")
+    slices = checkpointed(slicing.units(pixels))
+    boxes = whole.adapted(pixels, slices, least_ad).join(images.select("image_id", "url"), "image_id")
+    size = lambda a, b: F.col(b) - F.col(a) + 1
+    part = lambda k: F.concat("url", F.lit("#xywh="), F.concat_ws(",", f"{k}x0", f"{k}y0", size(f"{k}x0", f"{k}x1"), size(f"{k}y0", f"{k}y1")))
+    crop = F.when(F.col("cx0").isNotNull(), part("c")).otherwise("")
+    unit = F.struct("pos", part("").alias("url"), crop.alias("crop"), size("x0", "x1").alias("width"), size("y0", "y1").alias("height"))
+    every = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, unit)))
+    ink = slices.groupBy("image_id").agg(F.max("ink").alias("ink"))
+    found = boxes.groupBy("image_id", F.col("url").alias("picture")).agg(every("ad").alias("ads"), every("unit").alias("units")).join(ink, "image_id", "left")
+    ads = F.transform("ads", lambda a: F.struct(a["url"].alias("url"), a["width"].alias("width")))
+    units = F.transform("units", lambda u: F.struct(u["url"].alias("url"), F.lit("").alias("caption"), u["crop"].alias("caption_crop"), F.lit("").alias("option_tag"), u["width"].alias("width"), u["height"].alias("height")))
+    return found.select("picture", ads.alias("cut_ads"), units.alias("cut_units"), "ink")
+
+
+def convert(rows: DataFrame, sizes: DataFrame | None = None, base: str = "https://localhost/", images: DataFrame | None = None, least_ad: int = slicing.LEAST_AD) -> DataFrame:
     """``rows`` (code, name, brand, category, body, options) with ads, units, specs, lead, intro and verdict.
 
     ``sizes`` (url, width, height) are the pictures that could be read: pieces without one are reported as missing, and
-    only the others decide where the adverts end.  The pre-gate runs on the sheet alone, before pictures are joined."""
+    only the others decide where the adverts end.  ``images`` (url, image_id, height, width, data; each URL and id once)
+    holds pixels: a product of one picture that is among them is taken apart by slicing.  The pre-gate runs on the sheet alone, before pictures are joined."""
     c = F.col
     flat = lambda name: F.flatten(F.transform("options", lambda o: o[name]))
     found = html.bodies(rows, "body", base).withColumns({"option_names": flat("values"), "option_numbers": flat("numbers")})
@@ -38,8 +62,15 @@ def convert(rows: DataFrame, sizes: DataFrame | None = None, base: str = "https:
         tagged = tag_unit(p["caption"], c("option_names"))
         return F.struct(p["url"].alias("url"), tagged["caption"].alias("caption"), F.lit("").alias("caption_crop"), tagged["option_tag"].alias("option_tag"), p["width"].alias("width"), p["height"].alias("height"))
 
-    found = found.withColumn("units", F.transform(F.filter("got", lambda p: p["pos"] >= c("first")), unit)).withColumn("units", F.coalesce("units", F.expr("cast(array() as array<struct<url:string,caption:string,caption_crop:string,option_tag:string,width:int,height:int>>)")))
-    post = gate.post_check(c("units"), F.size("ads"), F.lit(None).cast("double"), F.size("option_names"))
+    found = found.withColumn("units", F.transform(F.filter("got", lambda p: p["pos"] >= c("first")), unit)).withColumn("units", F.coalesce("units", F.expr(f"cast(array() as {UNITS})")))
+    if images is None:
+        found = found.withColumn("ink", F.lit(None).cast("double"))
+    else:
+        found = found.withColumn("picture", F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))["url"]))
+        own = checkpointed(images.join(found.select(c("picture").alias("url")).distinct(), "url", "left_semi"))
+        cut = c("cut_units").isNotNull()
+        found = found.join(taken_apart(own, least_ad), "picture", "left").withColumns({"ads": F.when(cut, c("cut_ads")).otherwise(c("ads")), "units": F.when(cut, c("cut_units")).otherwise(c("units"))})
+    post = gate.post_check(c("units"), F.size("ads"), c("ink"), F.size("option_names"))
     early = F.size("pieces") == 0
     verdict = F.when(early, F.struct(F.lit(False).alias("ok"), c("pre.reasons").alias("reasons"), c("pre.notes").alias("notes"))).otherwise(gate.verdict(c("pre"), post, c("missed")))
     lead = F.array_join(F.transform("lead_blocks", lambda b: b["text"]), " ")

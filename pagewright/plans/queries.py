@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
+from pagewright.lineage import checkpointed
 from pagewright.operators import breaks, diff, gate, match, products, refine, render, whole
 from pagewright.plans import convert
 from pagewright.plans.tables import CAPTION, MEASURES, NAME, OPTION, TYPED, table
@@ -418,16 +419,44 @@ def converted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("code", F.size("ads").alias("n_ads"), F.size("units").alias("n_units"), F.array_join(F.filter(F.transform("units", lambda u: u["option_tag"]), lambda x: x != ""), ",").alias("tags"), F.array_join("verdict.reasons", ",").alias("reasons"), F.array_join(F.transform("specs", lambda s: F.concat(s["k"], F.lit("="), s["v"], s["u"])), " ").alias("specs"), "lead")
 
 
-@query()
+# a drawn picture: one wide picture, then rows of two pictures of 40 rows, each with a caption of 10 rows
+_DRAWN = """u AS (SELECT s_suppkey AS image_id, s_nationkey % 2 = 0 AS below, unnest(range(0, 5 + 2 * (s_nationkey % 3))) AS unit FROM supplier),
+b AS (SELECT *, CASE WHEN unit = 0 THEN 8 WHEN unit % 2 = 1 THEN 6 ELSE 68 END AS x0, CASE WHEN unit = 0 THEN 111 WHEN unit % 2 = 1 THEN 51 ELSE 113 END AS x1, CASE WHEN unit = 0 THEN 6 ELSE 70 + 74 * ((unit - 1) // 2) END AS y0 FROM u)"""
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slicing.drawn(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS code, 1 AS n_ads, CAST(4 + 2 * (s_nationkey % 3) AS INTEGER) AS n_units, CAST(4 + 2 * (s_nationkey % 3) AS INTEGER) AS n_crops,
+'https://shop.example/' || s_suppkey || '.png#xywh=' || CASE WHEN s_nationkey % 2 = 0 THEN '6,70,46,40' ELSE '6,84,46,40' END AS first_unit,
+'https://shop.example/' || s_suppkey || '.png#xywh=' || CASE WHEN s_nationkey % 2 = 0 THEN '6,114,46,10' ELSE '6,70,46,10' END AS first_crop FROM supplier""")
+def converted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch over products whose page is one drawn picture: adverts, units and captions taken out of its pixels."""
+    suppliers = table(spark, sf_dir, "supplier")
+    body = "concat('<p>', s_name, '</p><img src=\"/', s_suppkey, '.png\">')"
+    rows = suppliers.selectExpr("cast(s_suppkey as string) as code", "s_name as name", "'' as brand", "'' as category", f"{body} as body", "cast(array() as array<struct<name:string,values:array<string>,numbers:array<string>>>) as options")
+    images = checkpointed(_drawn(spark, sf_dir).withColumn("url", F.concat(F.lit("https://shop.example/"), "image_id", F.lit(".png"))))
+    made = convert.convert(rows, images.select("url", "width", "height"), "https://shop.example/", images, least_ad=20)
+    crops = F.filter(F.transform("units", lambda u: u["caption_crop"]), lambda u: u != "")
+    return made.select("code", F.size("ads").alias("n_ads"), F.size("units").alias("n_units"), F.size(crops).alias("n_crops"), F.get("units", F.lit(0))["url"].alias("first_unit"), F.get(crops, F.lit(0)).alias("first_crop"))
+
+
+@query(f"""WITH {_DRAWN} SELECT CAST(image_id AS BIGINT) AS image_id, CASE WHEN unit = 0 THEN 'ad' ELSE 'unit' END AS role, CAST(CASE WHEN unit = 0 THEN 0 ELSE unit - 1 END AS INTEGER) AS pos, CAST(x0 AS INTEGER) AS x0, CAST(x1 AS INTEGER) AS x1,
+CAST(CASE WHEN unit = 0 OR below THEN y0 ELSE y0 + 14 END AS INTEGER) AS y0, CAST(CASE WHEN unit = 0 THEN 39 WHEN below THEN y0 + 39 ELSE y0 + 53 END AS INTEGER) AS y1, CAST(CASE WHEN unit > 0 THEN x0 END AS INTEGER) AS cx0,
+CAST(CASE WHEN unit > 0 THEN x1 END AS INTEGER) AS cx1, CAST(CASE WHEN unit = 0 THEN NULL WHEN below THEN y0 + 44 ELSE y0 END AS INTEGER) AS cy0, CAST(CASE WHEN unit = 0 THEN NULL WHEN below THEN y0 + 53 ELSE y0 + 9 END AS INTEGER) AS cy1 FROM b""")
 def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adverts and units of the pictures drawn for every supplier."""
-    return whole.adapted(slicing.units(slicing.drawn(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))))
+    """Adverts, units and captions of the pictures drawn for every supplier."""
+    # lower blocks than the usual 40 rows count here, as the drawn advert has 34
+    images = checkpointed(_drawn(spark, sf_dir))
+    return whole.adapted(images, slicing.units(images), least_ad=20)
 
 
-@query()
+@query(f"""WITH {_DRAWN} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(unit AS INTEGER) AS unit, 0 AS section, CAST(CASE WHEN unit = 0 THEN 0 ELSE (unit - 1) % 2 END AS INTEGER) AS col, CAST(x0 AS INTEGER) AS x0, CAST(x1 AS INTEGER) AS x1,
+CAST(y0 AS INTEGER) AS y0, CAST(CASE WHEN unit = 0 THEN 39 ELSE y0 + 53 END AS INTEGER) AS y1, CAST(CASE WHEN unit = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_captions, below AS captions_below, CAST(1 AS DOUBLE) AS ink FROM b""")
 def sliced_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tall picture drawn for every supplier, cut into units of a picture and its caption."""
-    return slicing.units(slicing.drawn(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")))
+    return slicing.units(_drawn(spark, sf_dir)).drop("parts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,6 +24,7 @@ MIN_SECTION = 24
 BREATH = 8
 GUTTER_SHARE = 0.5
 MIN_BAND = 8
+LEAST_AD = 40
 
 
 def _map(df: DataFrame, f, schema: str) -> DataFrame:
@@ -114,21 +115,28 @@ def islands(images: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
 
 def bands(images: DataFrame, found: DataFrame) -> DataFrame:
     """``image_id, section, cell, col, x0, x1, y0, y1, gap, ruled``: runs of content rows of each cell, the distance to the
-    band above and whether a rule with room on both sides lies between.  Runs under 8 rows join the nearer neighbour."""
+    band above and whether a rule with room on both sides lies between.  The first run under 8 rows joins its nearer
+    neighbour (the one above on a tie), again and again; one pass does it, as all runs above the first low one are high."""
     keys = ["image_id", "section", "cell", "col"]
     w = Window.partitionBy(*keys).orderBy("y0")
     around = islands(images, found, keys).withColumn("n_ruled", F.sum(((F.col("kind") == 2) & (F.least("above", "below") >= BREATH)).cast("int")).over(w))
-    content = around.where("kind = 0").withColumn("big", F.col("y1") - F.col("y0") + 1 >= MIN_BAND)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    big = lambda c: F.when(F.col("big"), F.col(c))
-    near = content.withColumns({"up": F.last(big("y0"), True).over(before), "up_end": F.last(big("y1"), True).over(before), "down": F.first(big("y0"), True).over(after)})
-    home = F.when(F.col("big") | F.coalesce("up", "down").isNull(), F.col("y0")).when(F.col("down").isNull() | (F.col("y0") - F.col("up_end") <= F.col("down") - F.col("y1")), F.coalesce("up", "down")).otherwise(F.col("down"))
-    joined = near.withColumn("home", home).groupBy(*keys, "home").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.max("n_ruled").alias("n_ruled"))
+    run = "struct<y0:int,y1:int,x0:int,x1:int,n_ruled:bigint>"
+    union = "named_struct('y0', least({a}.y0, {b}.y0), 'y1', greatest({a}.y1, {b}.y1), 'x0', least({a}.x0, {b}.x0), 'x1', greatest({a}.x1, {b}.x1), 'n_ruled', greatest({a}.n_ruled, {b}.n_ruled))"
+    low = f"s.cur.y1 - s.cur.y0 + 1 < {MIN_BAND}"
+    up = "concat(slice(s.done, 1, size(s.done) - 1), array(" + union.format(a="element_at(s.done, -1)", b="s.cur") + "))"
+    fold = f"""aggregate(rows, named_struct('done', cast(array() as array<{run}>), 'cur', cast(null as {run})), (s, n) -> case
+      when s.cur is null then named_struct('done', s.done, 'cur', n)
+      when not ({low}) then named_struct('done', concat(s.done, array(s.cur)), 'cur', n)
+      when size(s.done) > 0 and s.cur.y0 - element_at(s.done, -1).y1 <= n.y0 - s.cur.y1 then named_struct('done', {up}, 'cur', n)
+      else named_struct('done', s.done, 'cur', {union.format(a="s.cur", b="n")}) end,
+      s -> case when s.cur is null then s.done when {low} and size(s.done) > 0 then {up} else concat(s.done, array(s.cur)) end)"""
+    rows = around.where("kind = 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y0", "y1", "x0", "x1", "n_ruled"))).alias("rows"))
+    joined = rows.select(*keys, F.inline(F.expr(fold)))
     gap, ruled = F.col("y0") - F.lag("y1").over(w) - 1, F.col("n_ruled") > F.lag("n_ruled").over(w)
     return joined.select(*keys, "x0", "x1", "y0", "y1", gap.alias("gap"), F.coalesce(ruled, F.lit(False)).alias("ruled"))
 
 
-def advert_blocks(images: DataFrame, regions: DataFrame, least: int = 40) -> DataFrame:
+def advert_blocks(images: DataFrame, regions: DataFrame, least: int = LEAST_AD) -> DataFrame:
     """``image_id, block, x0, x1, y0, y1``: the area above the first unit, cut at rules with room on one side at least;
     blocks lower than ``least`` are left out.  ``regions``: image_id, x0, x1, y0, y1, colour."""
     w = Window.partitionBy("image_id").orderBy("y0")
@@ -138,8 +146,22 @@ def advert_blocks(images: DataFrame, regions: DataFrame, least: int = 40) -> Dat
     return found.where(F.col("y1") - F.col("y0") + 1 >= least)
 
 
+def caption_sides(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``image_id, captions_below``, one side for a page.  Captions inside groups with a picture decide; if as many are
+    above as below, the groups of captions at the ends of their cells (there is a picture on one side only); then those
+    between two pictures, by the nearer one; below if nothing decides.  ``groups``: keys, g, y0, y1, pictured, inside."""
+    w = Window.partitionBy(*keys).orderBy("g")
+    over, under, bare = F.col("y0") - F.lag("y1").over(w), F.lead("y0").over(w) - F.col("y1"), F.col("pictured") == 0
+    seen = groups.select("image_id", "inside", bare.alias("bare"), over.alias("over"), under.alias("under"))
+    end = F.when(F.col("bare"), F.when(F.col("under").isNull() & F.col("over").isNotNull(), 1).when(F.col("over").isNull() & F.col("under").isNotNull(), -1))
+    nearer = F.when(F.col("bare"), F.signum(F.col("under") - F.col("over")))
+    votes = seen.groupBy("image_id").agg(F.coalesce(F.sum("inside"), F.lit(0)).alias("a"), F.coalesce(F.sum(end), F.lit(0)).alias("b"), F.coalesce(F.sum(nearer), F.lit(0)).alias("c"))
+    return votes.select("image_id", F.when(F.col("a") != 0, F.col("a") > 0).when(F.col("b") != 0, F.col("b") > 0).otherwise(F.col("c") >= 0).alias("captions_below"))
+
+
 def units(images: DataFrame) -> DataFrame:
-    """``image_id, unit, section, col, x0, x1, y0, y1, n_captions, captions_below, ink`` in reading order."""
+    """``image_id, unit, section, col, x0, x1, y0, y1, n_captions, captions_below, ink, parts`` in reading order.
+    ``parts`` are the unit's bands from above (y0, y1, x0, x1)."""
     found = checkpointed(sections(images))
     keys = ["image_id", "section", "cell", "col"]
     parts = checkpointed(bands(images, cells(images, found)))
@@ -148,32 +170,33 @@ def units(images: DataFrame) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("y0")
     opens = F.coalesce((F.col("gap") > F.col("threshold")) | F.col("ruled"), F.lit(False)).cast("int")
     grouped = parts.join(cut, keys, "left").join(floor, "image_id").withColumn("g", F.sum(opens).over(w))
-    area = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
-    picture = F.max_by(F.struct("y0", "y1"), F.struct(area, -F.col("y0")))
-    groups = grouped.groupBy(*keys, "g", "floor").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), picture.alias("p"), F.max(F.col("y1") - F.col("y0") + 1).alias("tallest"), F.count("*").alias("n"))
-    above, below = (F.count_if((F.col("n") > 1) & c) for c in (F.col("p.y0") > F.col("y0"), F.col("p.y1") < F.col("y1")))
-    side = groups.groupBy("image_id").agg((below >= above).alias("captions_below"))
-    voted = groups.join(side, "image_id").withColumn("pictured", (F.col("tallest") > F.col("floor")).cast("int"))
+    tall, in_group = F.col("y1") - F.col("y0") + 1 > F.col("floor"), Window.partitionBy(*keys, "g")
+    grouped = grouped.withColumns({"first": F.min(F.when(tall, F.col("y0"))).over(in_group), "last": F.max(F.when(tall, F.col("y1"))).over(in_group)})
+    groups = grouped.groupBy(*keys, "g").agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.collect_list(F.struct("y0", "y1", "x0", "x1")).alias("parts"), F.max(tall.cast("int")).alias("pictured"),
+        F.count("*").alias("n"), (F.count_if(F.col("y0") > F.col("last")) - F.count_if(F.col("y1") < F.col("first"))).alias("inside"))
+    voted = groups.join(caption_sides(groups, keys), "image_id")
     # a group without a picture goes to the picture before it, or after it where captions stand above
     down, up = Window.partitionBy(*keys).orderBy("g"), Window.partitionBy(*keys).orderBy(F.desc("g"))
     before, after = F.sum("pictured").over(down), F.sum("pictured").over(up)
     total = F.sum("pictured").over(Window.partitionBy(*keys))
     number = F.when(total == 0, 0).when(F.col("captions_below"), F.greatest(before, F.lit(1))).otherwise(total - F.greatest(after, F.lit(1)) + 1)
-    merged = voted.withColumn("u", number).groupBy(*keys, "u", "captions_below").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), (F.sum("n") - 1).alias("n_captions"))
-    # reading order: a unit that starts below the least end of the row begins the next row
-    one = F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1", "section", "col", "n_captions")))
+    merged = voted.withColumn("u", number).groupBy(*keys, "u", "captions_below").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), (F.sum("n") - 1).alias("n_captions"), F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"))
+    # reading order: a unit that starts below the least end of the row begins the next row; as later units start lower
+    # still, only the last row can take one
+    one = F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1", "section", "col", "n_captions", "parts")))
     page = merged.groupBy("image_id", "captions_below").agg(one.alias("all"))
-    fold = """aggregate(all, named_struct('row', 0, 'low', cast(null as int), 'out', cast(array() as array<struct<row:int,x0:int,y0:int,x1:int,y1:int,section:int,col:int,n_captions:bigint>>)), (s, v) ->
+    fold = """aggregate(all, named_struct('row', 0, 'low', cast(null as int), 'out', cast(array() as array<struct<row:int,x0:int,y0:int,x1:int,y1:int,section:int,col:int,n_captions:bigint,parts:array<struct<y0:int,y1:int,x0:int,x1:int>>>>)), (s, v) ->
       named_struct('row', if(v.y0 <= s.low, s.row, s.row + 1), 'low', if(v.y0 <= s.low, least(s.low, v.y1), v.y1),
-        'out', concat(s.out, array(named_struct('row', if(v.y0 <= s.low, s.row, s.row + 1), 'x0', v.x0, 'y0', v.y0, 'x1', v.x1, 'y1', v.y1, 'section', v.section, 'col', v.col, 'n_captions', v.n_captions)))), s -> array_sort(s.out))"""
+        'out', concat(s.out, array(named_struct('row', if(v.y0 <= s.low, s.row, s.row + 1), 'x0', v.x0, 'y0', v.y0, 'x1', v.x1, 'y1', v.y1, 'section', v.section, 'col', v.col, 'n_captions', v.n_captions, 'parts', v.parts)))), s -> array_sort(s.out))"""
     page = checkpointed(page.withColumn("all", F.expr(fold)))
 
     def measure(r: dict) -> dict:
         return {"image_id": r["image_id"], "ink": px.coverage(px.array_of(r["data"], r["height"], r["width"]), r["sections"], r["all"])}
 
-    ink = _map(images.join(found.select("image_id", "sections"), "image_id").join(page.select("image_id", "all"), "image_id"), measure, "image_id long; ink double")
+    ink = _map(images.join(found.select("image_id", "sections"), "image_id").join(page.select("image_id", F.transform("all", lambda v: F.struct(*(v[c].alias(c) for c in ("x0", "y0", "x1", "y1")))).alias("all")), "image_id"), measure, "image_id long; ink double")
     out = page.select("image_id", "captions_below", F.posexplode("all").alias("unit", "v")).join(ink, "image_id")
-    return out.select("image_id", "unit", "v.section", "v.col", "v.x0", "v.x1", "v.y0", "v.y1", "v.n_captions", "captions_below", F.round("ink", 6).alias("ink"))
+    return out.select("image_id", "unit", "v.section", "v.col", "v.x0", "v.x1", "v.y0", "v.y1", "v.n_captions", "captions_below", F.round("ink", 6).alias("ink"), "v.parts")
 
 
 def colours(images: DataFrame, boxes: DataFrame, fallback: int = 0x3F8F9B) -> DataFrame:
@@ -188,11 +211,13 @@ def colours(images: DataFrame, boxes: DataFrame, fallback: int = 0x3F8F9B) -> Da
     return _map(images.join(boxes, "image_id"), read, "image_id long; unit int; chip int; plate int; light boolean")
 
 
-def crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``image_id, unit, png``: the rectangles ``boxes (image_id, unit, x0, y0, x1, y1)`` as PNG files."""
+def crops(images: DataFrame, boxes: DataFrame, scale: int = 1) -> DataFrame:
+    """``image_id, unit, png``: the rectangles ``boxes (image_id, unit, x0, y0, x1, y1)`` as PNG files, each pixel
+    ``scale`` times as wide and high (captions are easier to read at 3)."""
 
     def cut(r: dict) -> dict:
-        return {"image_id": r["image_id"], "unit": r["unit"], "png": png(px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1])}
+        part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
+        return {"image_id": r["image_id"], "unit": r["unit"], "png": png(part.repeat(scale, 0).repeat(scale, 1))}
 
     return _map(images.join(boxes.select("image_id", "unit", "x0", "y0", "x1", "y1"), "image_id"), cut, "image_id long; unit int; png binary")
 
@@ -217,8 +242,8 @@ def report(found: DataFrame) -> DataFrame:
     return found.groupBy("image_id", "ink").agg(F.array_sort(F.collect_list(unit)).alias("units")).select("image_id", F.to_json(F.struct("image_id", "ink", "units")).alias("json"))
 
 
-def grid_picture(rows: int, width: int = 120, seed: int = 0) -> np.ndarray:
-    """Two columns of pictures with captions below them, under one wide picture, on white."""
+def grid_picture(rows: int, width: int = 120, seed: int = 0, above: bool = False) -> np.ndarray:
+    """Two columns of pictures with captions below (or above) them, under one wide picture, on white."""
     rng = np.random.default_rng(seed)
     page = np.full((70 + rows * 74, width, 3), 255, np.uint8)
 
@@ -230,17 +255,19 @@ def grid_picture(rows: int, width: int = 120, seed: int = 0) -> np.ndarray:
     for i in range(rows):
         top = 70 + i * 74
         for x0, x1 in ((6, half - 8), (half + 8, width - 6)):
-            picture(top, top + 40, x0, x1)
-            picture(top + 44, top + 54, x0 + 4, x1 - 4)
+            at = top + 14 * above
+            picture(at, at + 40, x0, x1)
+            at = top + 44 * (not above)
+            picture(at, at + 10, x0 + 4, x1 - 4)
     return page
 
 
 def drawn(keys: DataFrame) -> DataFrame:
-    """Pictures for rows (id, n): ``grid_picture`` with 2 + n % 3 rows."""
+    """Pictures for rows (id, n): ``grid_picture`` with 2 + n % 3 rows, captions above if n is odd."""
     id_col, n_col = keys.columns
 
     def draw(r: dict) -> dict:
-        page = grid_picture(2 + r["n"] % 3, seed=r["image_id"])
+        page = grid_picture(2 + r["n"] % 3, seed=r["image_id"], above=r["n"] % 2 == 1)
         return {"image_id": r["image_id"], "height": page.shape[0], "width": page.shape[1], "data": page.tobytes()}
 
     named = keys.select(F.col(id_col).cast("long").alias("image_id"), F.col(n_col).cast("int").alias("n"))

@@ -200,12 +200,83 @@ def test_adverts_crops_and_colours(spark):
 
 
 def test_whole_pages(spark):
-    rows = [(1, 0, 5, 5, 90, 40, 0), (1, 1, 5, 50, 40, 90, 1), (1, 2, 50, 50, 90, 90, 0), (1, 3, 95, 52, 99, 88, 0), (2, 0, 0, 0, 9, 9, 0), (2, 1, 0, 20, 9, 29, 0)]
-    slices = spark.createDataFrame(rows, "image_id long, unit int, x0 int, y0 int, x1 int, y1 int, n_captions int")
+    """Adverts, neighbours without captions in one row, scraps that are part of a picture or its caption, pages of adverts."""
     from pagewright.operators import whole
 
-    found = sorted((r.image_id, r.role, r.pos, r.x0, r.x1) for r in whole.adapted(slices).collect())
-    assert found == [(1, "ad", 0, 5, 90), (1, "unit", 1, 5, 40), (1, "unit", 2, 50, 99), (2, "whole", 0, 0, 9)]
+    page = np.full((100, 100, 3), 255, np.uint8)
+    page[5:45, 5:91] = np.random.default_rng(3).integers(0, 200, (40, 86, 3))
+    box = lambda x0, y0, x1, y1: (x0, y0, x1, y1, [(y0, y1, x0, x1)])
+    rows = [
+        (1, 0, *box(5, 5, 90, 44)), (1, 1, 5, 50, 40, 90, [(50, 80, 5, 40), (84, 90, 9, 30)]), (1, 2, *box(50, 50, 90, 90)), (1, 3, *box(95, 52, 99, 88)), (2, 0, *box(5, 5, 90, 44)), (2, 1, *box(0, 50, 9, 69)),
+        (3, 0, 10, 50, 60, 99, [(50, 90, 10, 60), (95, 99, 15, 40)]), (3, 1, *box(62, 60, 66, 65)), (3, 2, *box(80, 60, 90, 65)),
+    ]
+    slices = spark.createDataFrame(rows, "image_id long, unit int, x0 int, y0 int, x1 int, y1 int, parts array<struct<y0:int,y1:int,x0:int,x1:int>>")
+    pages = spark.createDataFrame([(i, 100, 100, bytearray(page.tobytes())) for i in (1, 2, 3)], "image_id long, height int, width int, data binary")
+    found = sorted(tuple(r) for r in whole.adapted(pages, slices).select("image_id", "role", "pos", "x0", "y0", "x1", "y1", F.array("cx0", "cy0", "cx1", "cy1")).collect())
+    none = [None] * 4
+    ad = ("ad", 0, 5, 5, 90, 44, none)
+    assert found == [(1, *ad), (1, "unit", 0, 5, 50, 40, 80, [5, 84, 40, 90]), (1, "unit", 1, 50, 50, 99, 90, none), (2, *ad), (3, *ad), (3, "unit", 0, 10, 50, 66, 90, [15, 60, 90, 99])]
+
+
+def test_headings_are_no_part_of_a_picture(spark):
+    from pagewright.operators import whole
+
+    parts = [(0, 9, 0, 99), (20, 79, 0, 99), (84, 93, 10, 60)]
+    slices = spark.createDataFrame([(1, 0, parts), (1, 1, parts[1:]), (2, 0, parts[:2])], "image_id long, unit int, parts array<struct<y0:int,y1:int,x0:int,x1:int>>")
+    found = {(r.image_id, r.unit): ([p.y0 for p in r.art], [p.y0 for p in r.caps]) for r in whole.split_parts(slices).collect()}
+    assert found == {(1, 0): ([20], [84]), (1, 1): ([20], [84]), (2, 0): ([20], [0])}
+
+
+def test_side_of_captions_against_plain_version(spark):
+    """Inside, then at the ends, then between; the first that isn't even decides."""
+    r = random.Random(8)
+    pages = [[[(r.random() < 0.4, r.choice([-1, 0, 0, 1]), r.randrange(1, 9)) for _ in range(r.randrange(1, 6))] for _ in range(r.randrange(1, 4))] for _ in range(60)]
+    rows, wanted = [], {}
+    for k, cells in enumerate(pages):
+        votes = [0, 0, 0]
+        for j, groups in enumerate(cells):
+            at, made = 0, []
+            for pictured, inside, gap in groups:
+                made.append((at + gap, at + gap + 5, pictured, inside))
+                at = made[-1][1]
+            for i, (y0, y1, pictured, inside) in enumerate(made):
+                rows.append((k, 0, j, 0, i, y0, y1, int(pictured), inside if pictured else None))
+                if pictured:
+                    votes[0] += inside
+                elif 0 < i < len(made) - 1:
+                    up, down = y0 - made[i - 1][1], made[i + 1][0] - y1
+                    votes[2] += (up < down) - (down < up)
+                elif len(made) > 1:
+                    votes[1] += 1 if i else -1
+        wanted[k] = next((v > 0 for v in votes if v), True)
+    keys = ["image_id", "section", "cell", "col"]
+    found = slicing.caption_sides(spark.createDataFrame(rows, "image_id long, section int, cell int, col int, g int, y0 int, y1 int, pictured int, inside int"), keys)
+    assert {x.image_id: x.captions_below for x in found.collect()} == wanted and len(set(wanted.values())) == 2
+
+
+def test_low_bands_against_plain_version(spark):
+    """The first band under 8 rows joins its nearer neighbour until none is left."""
+    r = np.random.default_rng(11)
+    rows, cells, wanted = [], [], {}
+    for k in range(25):
+        page, at, runs_of = np.full((260, 30, 3), 255, np.uint8), 3, []
+        while at < 235:
+            end = at + int(r.choice([2, 3, 5, 7, 12]))
+            page[at:end] = r.integers(0, 200, (end - at, 30, 3))
+            runs_of.append([at, end - 1])
+            at = end + int(r.choice([2, 3, 4, 9]))
+        rows.append((k, 260, 30, bytearray(page.tobytes())))
+        cells.append((k, 0, 0, 0, 0, 29, 0, 259, 0xFFFFFF))
+        while len(runs_of) > 1 and (low := [i for i, (a, b) in enumerate(runs_of) if b - a + 1 < 8]):
+            i = low[0]
+            up, down = (runs_of[i][0] - runs_of[i - 1][1] if i else 999), (runs_of[i + 1][0] - runs_of[i][1] if i + 1 < len(runs_of) else 999)
+            j = i - 1 if up <= down else i + 1
+            runs_of[j] = [min(runs_of[i][0], runs_of[j][0]), max(runs_of[i][1], runs_of[j][1])]
+            del runs_of[i]
+        wanted[k] = [tuple(x) for x in runs_of]
+    images_ = spark.createDataFrame(rows, "image_id long, height int, width int, data binary")
+    found = slicing.bands(images_, spark.createDataFrame(cells, "image_id long, section int, cell int, col int, x0 int, x1 int, y0 int, y1 int, colour int")).collect()
+    assert {k: sorted((b.y0, b.y1) for b in found if b.image_id == k) for k in wanted} == wanted
 
 
 def test_data_uri(spark):
