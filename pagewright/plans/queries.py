@@ -425,7 +425,9 @@ b AS (SELECT *, CASE WHEN unit = 0 THEN 8 WHEN unit % 2 = 1 THEN 6 ELSE 68 END A
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slicing.drawn(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
+    # few small rows become large pictures, so they are spread first, and drawn once
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    return checkpointed(slicing.drawn(rows))
 
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS code, 1 AS n_ads, CAST(4 + 2 * (s_nationkey % 3) AS INTEGER) AS n_units, CAST(4 + 2 * (s_nationkey % 3) AS INTEGER) AS n_crops,
@@ -436,7 +438,7 @@ def converted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     body = "concat('<p>', s_name, '</p><img src=\"/', s_suppkey, '.png\">')"
     rows = suppliers.selectExpr("cast(s_suppkey as string) as code", "s_name as name", "'' as brand", "'' as category", f"{body} as body", "cast(array() as array<struct<name:string,values:array<string>,numbers:array<string>>>) as options")
-    images = checkpointed(_drawn(spark, sf_dir).withColumn("url", F.concat(F.lit("https://shop.example/"), "image_id", F.lit(".png"))))
+    images = _drawn(spark, sf_dir).withColumn("url", F.concat(F.lit("https://shop.example/"), "image_id", F.lit(".png")))
     made = convert.convert(rows, images.select("url", "width", "height"), "https://shop.example/", images, least_ad=20)
     crops = F.filter(F.transform("units", lambda u: u["caption_crop"]), lambda u: u != "")
     return made.select("code", F.size("ads").alias("n_ads"), F.size("units").alias("n_units"), F.size(crops).alias("n_crops"), F.get("units", F.lit(0))["url"].alias("first_unit"), F.get(crops, F.lit(0)).alias("first_crop"))
@@ -448,7 +450,7 @@ CAST(CASE WHEN unit > 0 THEN x1 END AS INTEGER) AS cx1, CAST(CASE WHEN unit = 0
 def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adverts, units and captions of the pictures drawn for every supplier."""
     # lower blocks than the usual 40 rows count here, as the drawn advert has 34
-    images = checkpointed(_drawn(spark, sf_dir))
+    images = _drawn(spark, sf_dir)
     return whole.adapted(images, slicing.units(images), least_ad=20)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.lineage import checkpointed
-from pagewright.operators.breaks import natural_breaks, runs
+from pagewright.operators.breaks import natural_breaks
 from pagewright.slicer import pixels as px
 from pagewright.sources.images import png
 
@@ -30,11 +30,13 @@ LEAST_AD = 40
 def _map(df: DataFrame, f, schema: str) -> DataFrame:
     """f(row) -> rows, over Arrow batches; schema names the results."""
     names = [x.strip().split()[0] for x in schema.split(";")]
+    step = 1 if "binary" in schema else 64
 
     def run(batches: Iterator[pa.RecordBatch], types=None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                rows = [f(r) for r in batch.slice(i, 1).to_pylist()]
+            for i in range(0, batch.num_rows, step):
+                # pictures are large, so one at a time is turned into Python values
+                rows = [f(r) for j in range(i, min(i + step, batch.num_rows)) for r in batch.slice(j, 1).to_pylist()]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,18 +74,17 @@ def cells(images: DataFrame, found: DataFrame) -> DataFrame:
         part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1]
         first, last = px.free_runs(part, px.unpack(r["colour"]))
         keep = {k: r[k] for k in ("image_id", "section", "y0", "y1", "colour", "width")}
-        return keep | {"runs": [{"first": int(a) + r["y0"], "last": int(b) + r["y0"]} for a, b in zip(first, last, strict=True)]}
+        wide = np.flatnonzero(last - first + 1 >= max(BREATH, GUTTER_SHARE * len(part)))
+        return keep | {"open": [{"x": x, "first": a + r["y0"], "last": b + r["y0"]} for x, a, b in zip(wide.tolist(), first[wide].tolist(), last[wide].tolist(), strict=True)]}
 
-    clear = checkpointed(_map(images.join(each, "image_id"), read, "image_id long; section int; y0 int; y1 int; colour int; width int; runs array<struct<first:int,last:int>>"))
-    columns = clear.select("image_id", "section", "y0", "y1", "width", F.posexplode("runs").alias("x", "r"))
-    columns = columns.withColumn("open", F.col("r.last") - F.col("r.first") + 1 >= F.greatest(F.lit(BREATH), F.lit(GUTTER_SHARE) * (F.col("y1") - F.col("y0") + 1)))
+    clear = checkpointed(_map(images.join(each, "image_id"), read, "image_id long; section int; y0 int; y1 int; colour int; width int; open array<struct<x:int,first:int,last:int>>"))
     keys = ["image_id", "section"]
-    strips = runs(columns, keys, ["x"], "open", "x")
-    width = clear.select(*keys, "width")
-    inner = strips.join(width, keys).where((F.col("start") > 0) & (F.col("end") < F.col("width") - 1) & (F.col("end") - F.col("start") >= 1))
-    voted = columns.where("open").join(inner, keys).where("x between start and end").groupBy(*keys, "start", "end").agg(F.mode("r.first", True).alias("top"), F.mode("r.last", True).alias("bottom"))
+    # open columns in a row have one difference of place and number
+    columns = clear.select(*keys, "width", F.inline("open")).withColumn("strip", F.col("x") - F.row_number().over(Window.partitionBy(*keys).orderBy("x")))
+    strips = columns.groupBy(*keys, "width", "strip").agg(F.min("x").alias("start"), F.max("x").alias("end"), F.mode("first", True).alias("top"), F.mode("last", True).alias("bottom"))
+    voted = strips.where((F.col("start") > 0) & (F.col("end") < F.col("width") - 1) & (F.col("end") - F.col("start") >= 1))
     gutters = voted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("g"), F.max("top").alias("top"), F.min("bottom").alias("bottom"))
-    joined = clear.drop("runs").join(gutters, keys, "left").withColumn("cut", F.coalesce(F.col("bottom") - F.col("top") >= BREATH, F.lit(False)))
+    joined = clear.drop("open").join(gutters, keys, "left").withColumn("cut", F.coalesce(F.col("bottom") - F.col("top") >= BREATH, F.lit(False)))
     row = lambda cell, col, x0, x1, y0, y1: F.struct(cell.alias("cell"), col.alias("col"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
     zero, right, n = F.lit(0), F.col("width") - 1, F.size("g")
     whole = F.array(row(zero, zero, zero, right, F.col("y0"), F.col("y1")))
@@ -100,14 +101,15 @@ def islands(images: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     def read(r: dict) -> dict:
         part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
         ground = px.unpack(r["colour"])
-        first, last = px.extent(part, ground)
-        keep = {k: r[k] for k in (*keys, "y0", "x0")}
-        return keep | {"rows": [{"kind": int(k), "first": int(a), "last": int(b)} for k, a, b in zip(px.line_kinds(part, ground), first, last, strict=True)]}
-
-    rows = _map(images.join(found, "image_id"), read, "; ".join(f"{k} {kinds[k]}" for k in keys) + "; y0 int; x0 int; rows array<struct<kind:int,first:int,last:int>>")
-    lines = rows.select(*keys, "x0", "y0", F.posexplode("rows").alias("i", "r")).select(*keys, (F.col("y0") + F.col("i")).alias("y"), F.col("r.kind").alias("kind"), (F.col("x0") + F.col("r.first")).alias("a"), (F.col("x0") + F.col("r.last")).alias("b"))
-    order, own = Window.partitionBy(*keys).orderBy("y"), Window.partitionBy(*keys, "kind").orderBy("y")
-    runs_of = lines.withColumn("k", F.row_number().over(order) - F.row_number().over(own)).groupBy(*keys, "kind", "k").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("a").alias("x0"), F.max("b").alias("x1")).drop("k")
+        kinds_of, (first, last) = px.line_kinds(part, ground), px.extent(part, ground)
+        starts = np.flatnonzero(np.diff(kinds_of, prepend=-1))
+        x0, x1 = r["x0"] + np.minimum.reduceat(first, starts), r["x0"] + np.maximum.reduceat(last, starts)
+        y0, y1 = r["y0"] + starts, r["y0"] + np.append(starts[1:], len(kinds_of)) - 1
+        names = ("kind", "y0", "y1", "x0", "x1")
+        return {k: r[k] for k in keys} | {"runs": [dict(zip(names, v, strict=True)) for v in np.stack([kinds_of[starts], y0, y1, x0, x1], 1).tolist()]}
+
+    rows = _map(images.join(found, "image_id"), read, "; ".join(f"{k} {kinds[k]}" for k in keys) + "; runs array<struct<kind:int,y0:int,y1:int,x0:int,x1:int>>")
+    runs_of = rows.select(*keys, F.inline("runs"))
     w = Window.partitionBy(*keys).orderBy("y0")
     tall = F.when(F.col("kind") == 1, F.col("y1") - F.col("y0") + 1).otherwise(0)
     return runs_of.withColumn("tall", tall).withColumn("above", F.coalesce(F.lag("tall").over(w), F.lit(0))).withColumn("below", F.coalesce(F.lead("tall").over(w), F.lit(0))).drop("tall")
