@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import has_caption
+from pagewright.functions.text import has_caption, typed_specs
+from pagewright.operators.match import tag_unit
 
 PAGE_WIDTH = 800  # fixed value
 
@@ -45,6 +46,23 @@ def merge_overrides(units: DataFrame, overrides: DataFrame, keys: list[str], col
     return out.drop("_there", *(f"_new_{c}" for c in columns))
 
 
+def corrected(units: DataFrame, typed: DataFrame, options: DataFrame) -> DataFrame:
+    """``units (code, pos, caption, option_tag, ...)`` after the corrections ``typed (code, pos, caption, option_tag)``,
+    each place once, null for what wasn't typed.  Captions of corrected products are matched with the sheet again, unless
+    a tag was typed for the product; ``options (code, options)`` is null where the sheet is unknown."""
+    sent = typed.groupBy("code").agg(F.max(F.coalesce(F.col("option_tag") != "", F.lit(False))).alias("_sent"))
+    rows = merge_overrides(units, typed, ["code", "pos"], ["caption", "option_tag"]).join(sent, "code", "left")
+    rows = rows.join(options.select("code", F.col("options").alias("_options")), "code", "left").withColumn("_new", tag_unit(F.col("caption"), F.col("_options")))
+    again = F.coalesce(~F.col("_sent"), F.lit(False)) & (F.col("_new.option_tag") != "")
+    return rows.withColumns({c: F.when(again, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in ("caption", "option_tag")}).select(units.columns)
+
+
+def corrected_specs(typed: Column, guessed: Column) -> Column:
+    """Measures that were typed, if any can be read, else the guessed ones."""
+    read = typed_specs(F.coalesce(typed, F.lit("")))
+    return F.when(F.size(read) > 0, read).otherwise(guessed)
+
+
 def bounding_box(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 

@@ -79,10 +79,16 @@ def convert(rows: DataFrame, sizes: DataFrame | None = None, base: str = "https:
     count = F.when(F.size("option_names") > 0, F.size("option_names")).otherwise(tags)
     return found.select(
         "code", "name", "brand", "category", lead.alias("lead"), guess_specs(lines, count).alias("specs"), c("lead_blocks").alias("intro"), "ads", "units", c("option_names").alias("options"),
-        "option_numbers", verdict.alias("verdict"), gate.adapter(F.size("pieces")).alias("adapter"),
+        "option_numbers", verdict.alias("verdict"), "ink", gate.adapter(F.size("pieces")).alias("adapter"),
     )
 
 
+def unit_rows(converted: DataFrame) -> DataFrame:
+    """A row for each unit with its product and verdict; a product without units has one row without a place."""
+    head = ["code", "adapter", "verdict.ok", "verdict.reasons", "verdict.notes", "ink", "name", "brand", "category", "lead", "ads"]
+    return converted.select(*head, F.posexplode_outer("units").alias("pos", "u")).select("*", "u.*").drop("u")
+
+
 def pages(converted: DataFrame) -> DataFrame:
     """``code, html`` of the products that passed the gate."""
     return render.pages(converted.where("verdict.ok"))

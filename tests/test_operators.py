@@ -57,6 +57,27 @@ def test_overrides_keep_empty_values(spark):
     assert {(r.code, r.pos): r.caption for r in found.collect()} == {(1, 0): "", (1, 1): "b", (2, 0): "c"}
 
 
+def test_corrections_match_tags_again(spark):
+    """New captions are matched with the sheet, unless a tag was typed for the product; others stay as they are."""
+    unit = "code string, pos int, caption string, option_tag string"
+    units = spark.createDataFrame([("a", 0, "old", ""), ("a", 1, "kept", "red"), ("b", 0, "[red] x", ""), ("c", 0, "[red] x", "")], unit)
+    typed = spark.createDataFrame([("a", 0, "[1. red] soft", None), ("b", 0, None, "blue")], unit)
+    options = spark.createDataFrame([(k, ["red", "blue"]) for k in "abc"], "code string, options array<string>")
+    found = {(r.code, r.pos): (r.caption, r.option_tag) for r in products.corrected(units, typed, options).collect()}
+    assert found == {("a", 0): ("soft", "red"), ("a", 1): ("kept", "red"), ("b", 0): ("[red] x", "blue"), ("c", 0): ("[red] x", "")}
+    specs = spark.sql("select array(named_struct('k', 'x', 'v', '1', 'u', 'g')) g, s from values ('233g'), (''), (null) t(s)")
+    assert [[x.v for x in r.got] for r in specs.select(products.corrected_specs(F.col("s"), F.col("g")).alias("got")).collect()] == [["233"], ["1"], ["1"]]
+
+
+def test_unit_rows(spark):
+    from pagewright.plans import convert
+
+    options = "cast(array() as array<struct<name:string,values:array<string>,numbers:array<string>>>) options"
+    rows = spark.sql(f"select code, 'n' name, '' brand, '' category, body, {options} from values ('a', '<div><img src=\"/u.png\">said here.</div><p><img src=\"/v.png\"></p>'), ('b', '<p>x</p>') t(code, body)")
+    found = convert.unit_rows(convert.convert(rows)).orderBy("code", "pos").collect()
+    assert [(r.code, r.pos, r.adapter) for r in found][-1] == ("b", None, "none") and [r.pos for r in found if r.code == "a"] == list(range(len(found) - 1)) and not found[-1].ok
+
+
 def test_guard(spark):
     cases = [
         ("weighs 40 g now", "weighs 41 g now", "weighs 40 g now"), ("a b c d e f", "something quite different", "a b c d e f"), ("keep", "", "keep"), ("", " new ", "new"),
