@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import byte_bpe, decontam, html_blocks, lang_gru, line_rules, near_dup, pseudo_lm, quotes, site_quality, toxic_crf
+from pagewright.llm import (
+    byte_bpe, decontam, filter_audit, hard_negatives, html_blocks, lang_gru, line_rules, near_dup, pseudo_lm, quotes, sharding, site_quality, toxic_crf,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,10 +59,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    found = [op1_quotation_links, op2_main_text, op3_language, op4_near_duplicates, op5_byte_bpe, op6_decontamination, op7_pseudo_likelihood, op8_site_quality, op9_line_rules, op10_toxicity]
+    found = [op1_quotation_links, op2_main_text, op3_language, op4_near_duplicates, op5_byte_bpe, op6_decontamination, op7_pseudo_likelihood, op8_site_quality, op9_line_rules, op10_toxicity, op11_filter_audit, op12_hard_negatives, op13_sharding]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
@@ -115,9 +129,48 @@ base AS (
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
 SELECT *, NOT base_failed AND n_words - n_removed_words >= 10 AND 2 * (n_words - n_removed_words) >= n_words AS kept FROM judged"""
 
+OP11_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+docs AS (
+  SELECT row_number() OVER () AS r, part, coalesce(good, false) AS good, coalesce(bad, false) AS bad, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e
+  FROM texts LEFT JOIN marks USING (doc_id)),
+fails AS (SELECT part, good, bad, unnest([a, b, c, d, e]) AS failed, unnest(['A', 'B', 'C', 'D', 'E']) AS f, r FROM docs),
+kinds AS (SELECT part, good, bad, m, count(*) AS n FROM (SELECT r, any_value(part) AS part, any_value(good) AS good, any_value(bad) AS bad,
+    coalesce(string_agg(f, '' ORDER BY f) FILTER (failed), '') AS m FROM fails GROUP BY r) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT o, i AS step, o[i] AS filter, o[:i - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS i)),
+judged AS (SELECT k.*, o, step, filter, contains(m, filter) AS failed, len(list_intersect(string_split(m, ''), string_split(earlier, ''))) > 0 AND earlier <> '' AND m <> '' AS gone FROM kinds k, steps),
+counted AS (
+  SELECT part, o AS filter_order, step, any_value(filter) AS filter, coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (failed AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (failed AND gone), 0) AS redundant, coalesce(sum(n) FILTER (m = filter), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (failed AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (failed AND NOT gone AND bad), 0) AS toxic_lost
+  FROM judged GROUP BY part, o, step)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted"""
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id,
+  positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op4_near_duplicates": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_line_rules": OP9_SQL}
+    found = {"op4_near_duplicates": OP4_SQL, "op6_decontamination": OP6_SQL, "op9_line_rules": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
