@@ -17,6 +17,7 @@ from pagewright.lineage import checkpointed
 from pagewright.operators import breaks, diff, gate, match, products, refine, render, whole
 from pagewright.plans import convert
 from pagewright.plans.tables import CAPTION, MEASURES, NAME, OPTION, TYPED, table
+from pagewright.plans import drawings
 from pagewright.slicer import slicing
 from pagewright.sources import html as html_source
 from pagewright.sources import xlsx
@@ -419,20 +420,25 @@ def converted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("code", F.size("ads").alias("n_ads"), F.size("units").alias("n_units"), F.array_join(F.filter(F.transform("units", lambda u: u["option_tag"]), lambda x: x != ""), ",").alias("tags"), F.array_join("verdict.reasons", ",").alias("reasons"), F.array_join(F.transform("specs", lambda s: F.concat(s["k"], F.lit("="), s["v"], s["u"])), " ").alias("specs"), "lead")
 
 
-# a drawn picture: one wide picture, then rows of two pictures of 40 rows, each with a caption of 10 rows
-_DRAWN = """u AS (SELECT s_suppkey AS image_id, s_nationkey % 2 = 0 AS below, unnest(range(0, 5 + 2 * (s_nationkey % 3))) AS unit FROM supplier),
-b AS (SELECT *, CASE WHEN unit = 0 THEN 8 WHEN unit % 2 = 1 THEN 6 ELSE 68 END AS x0, CASE WHEN unit = 0 THEN 111 WHEN unit % 2 = 1 THEN 51 ELSE 113 END AS x1, CASE WHEN unit = 0 THEN 6 ELSE 70 + 74 * ((unit - 1) // 2) END AS y0 FROM u)"""
+# a drawn picture: a wide picture over rows of two pictures of 40 rows, each with a caption of 10 rows; some pages have a
+# second wide picture and two more rows, some have rules (their pictures are a column narrower)
+_DRAWN = """p AS (SELECT s_suppkey AS image_id, s_nationkey % 2 = 0 AS below, 2 + s_nationkey % 3 AS n, CASE WHEN s_nationkey % 4 > 1 THEN 1 ELSE 0 END AS two, CASE WHEN s_nationkey % 5 = 0 THEN 1 ELSE 0 END AS ruled FROM supplier),
+u AS (SELECT *, unnest(range(0, 1 + 2 * n + 5 * two)) AS unit FROM p),
+k AS (SELECT *, unit = 0 OR unit = 1 + 2 * n AS wide, CASE WHEN unit <= 2 * n THEN unit - 1 ELSE unit - 2 END AS i FROM u),
+b AS (SELECT *, CASE WHEN wide THEN 8 WHEN i % 2 = 0 THEN 6 ELSE 68 + ruled END AS x0, CASE WHEN wide THEN 111 WHEN i % 2 = 0 THEN 51 - ruled ELSE 113 END AS x1,
+  CASE WHEN unit = 0 THEN 6 WHEN wide THEN 80 + 74 * n WHEN unit <= 2 * n THEN 70 + 74 * (i // 2) ELSE 144 + 74 * (i // 2) END AS y0 FROM k)"""
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     # few small rows become large pictures, so they are spread first, and drawn once
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
-    return checkpointed(slicing.drawn(rows))
+    return checkpointed(drawings.drawn(rows))
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS code, 1 AS n_ads, CAST(4 + 2 * (s_nationkey % 3) AS INTEGER) AS n_units, CAST(4 + 2 * (s_nationkey % 3) AS INTEGER) AS n_crops,
-'https://shop.example/' || s_suppkey || '.png#xywh=' || CASE WHEN s_nationkey % 2 = 0 THEN '6,70,46,40' ELSE '6,84,46,40' END AS first_unit,
-'https://shop.example/' || s_suppkey || '.png#xywh=' || CASE WHEN s_nationkey % 2 = 0 THEN '6,114,46,10' ELSE '6,70,46,10' END AS first_crop FROM supplier""")
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS code, 1 AS n_ads, CAST(4 + 2 * (s_nationkey % 3) + CASE WHEN s_nationkey % 4 > 1 THEN 5 ELSE 0 END AS INTEGER) AS n_units,
+CAST(4 + 2 * (s_nationkey % 3) + CASE WHEN s_nationkey % 4 > 1 THEN 4 ELSE 0 END AS INTEGER) AS n_crops,
+'https://shop.example/' || s_suppkey || '.png#xywh=' || CASE WHEN s_nationkey % 2 = 0 THEN '6,70,' ELSE '6,84,' END || CASE WHEN s_nationkey % 5 = 0 THEN '45,40' ELSE '46,40' END AS first_unit,
+'https://shop.example/' || s_suppkey || '.png#xywh=' || CASE WHEN s_nationkey % 2 = 0 THEN '6,114,' ELSE '6,70,' END || CASE WHEN s_nationkey % 5 = 0 THEN '45,10' ELSE '46,10' END AS first_crop FROM supplier""")
 def converted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch over products whose page is one drawn picture: adverts, units and captions taken out of its pixels."""
     suppliers = table(spark, sf_dir, "supplier")
@@ -445,8 +451,8 @@ def converted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_DRAWN} SELECT CAST(image_id AS BIGINT) AS image_id, CASE WHEN unit = 0 THEN 'ad' ELSE 'unit' END AS role, CAST(CASE WHEN unit = 0 THEN 0 ELSE unit - 1 END AS INTEGER) AS pos, CAST(x0 AS INTEGER) AS x0, CAST(x1 AS INTEGER) AS x1,
-CAST(CASE WHEN unit = 0 OR below THEN y0 ELSE y0 + 14 END AS INTEGER) AS y0, CAST(CASE WHEN unit = 0 THEN 39 WHEN below THEN y0 + 39 ELSE y0 + 53 END AS INTEGER) AS y1, CAST(CASE WHEN unit > 0 THEN x0 END AS INTEGER) AS cx0,
-CAST(CASE WHEN unit > 0 THEN x1 END AS INTEGER) AS cx1, CAST(CASE WHEN unit = 0 THEN NULL WHEN below THEN y0 + 44 ELSE y0 END AS INTEGER) AS cy0, CAST(CASE WHEN unit = 0 THEN NULL WHEN below THEN y0 + 53 ELSE y0 + 9 END AS INTEGER) AS cy1 FROM b""")
+CAST(CASE WHEN wide OR below THEN y0 ELSE y0 + 14 END AS INTEGER) AS y0, CAST(CASE WHEN wide THEN y0 + 33 WHEN below THEN y0 + 39 ELSE y0 + 53 END AS INTEGER) AS y1, CAST(CASE WHEN NOT wide THEN x0 END AS INTEGER) AS cx0,
+CAST(CASE WHEN NOT wide THEN x1 END AS INTEGER) AS cx1, CAST(CASE WHEN wide THEN NULL WHEN below THEN y0 + 44 ELSE y0 END AS INTEGER) AS cy0, CAST(CASE WHEN wide THEN NULL WHEN below THEN y0 + 53 ELSE y0 + 9 END AS INTEGER) AS cy1 FROM b""")
 def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adverts, units and captions of the pictures drawn for every supplier."""
     # lower blocks than the usual 40 rows count here, as the drawn advert has 34
@@ -454,8 +460,10 @@ def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.adapted(images, slicing.units(images), least_ad=20)
 
 
-@query(f"""WITH {_DRAWN} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(unit AS INTEGER) AS unit, 0 AS section, CAST(CASE WHEN unit = 0 THEN 0 ELSE (unit - 1) % 2 END AS INTEGER) AS col, CAST(x0 AS INTEGER) AS x0, CAST(x1 AS INTEGER) AS x1,
-CAST(y0 AS INTEGER) AS y0, CAST(CASE WHEN unit = 0 THEN 39 ELSE y0 + 53 END AS INTEGER) AS y1, CAST(CASE WHEN unit = 0 THEN 0 ELSE 1 END AS BIGINT) AS n_captions, below AS captions_below, CAST(1 AS DOUBLE) AS ink FROM b""")
+@query(f"""WITH {_DRAWN} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(unit AS INTEGER) AS unit, 0 AS section, CAST(CASE WHEN wide THEN 0 ELSE i % 2 END AS INTEGER) AS col, CAST(x0 AS INTEGER) AS x0, CAST(x1 AS INTEGER) AS x1,
+CAST(y0 AS INTEGER) AS y0, CAST(CASE WHEN wide THEN y0 + 33 ELSE y0 + 53 END AS INTEGER) AS y1, CAST(CASE WHEN wide THEN 0 ELSE 1 END AS BIGINT) AS n_captions, below AS captions_below,
+round(area / (area + ruled * 71 * (n + 2 * two)), 6) AS ink FROM (
+SELECT *, CAST(3536 * (1 + two) + 2 * (n + 2 * two) * (40 * (46 - ruled) + 10 * (38 - ruled)) AS DOUBLE) AS area FROM b)""")
 def sliced_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tall picture drawn for every supplier, cut into units of a picture and its caption."""
     return slicing.units(_drawn(spark, sf_dir)).drop("parts")

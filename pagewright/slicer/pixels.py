@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # Fixed values of the slicing rules.
@@ -9,6 +11,12 @@ TOLERANCE = 14
 MAX_RULE = 6
 SAMPLES, SAMPLED_SHARE, FULL_SHARE = 64, 0.90, 0.99
 MARGIN_SHARE = 0.6
+BREATH = 8  # rows of ground on both sides of a rule that parts
+MIN_PART = 8
+GUTTER_SHARE = 0.5  # of a height, for gutters and for columns
+SHORT_GUTTER = 0.2
+LINE_SHAPE = 8  # a line of text is wider than so many times its height
+TRIMS = 4
 
 
 def array_of(data: bytes, height: int, width: int) -> np.ndarray:
@@ -16,8 +24,15 @@ def array_of(data: bytes, height: int, width: int) -> np.ndarray:
 
 
 def is_ground(pixels: np.ndarray, colour) -> np.ndarray:
-    ground = np.asarray(colour, np.uint8)
-    return (np.maximum(pixels, ground) - np.minimum(pixels, ground) <= TOLERANCE).all(-1)
+    """Whether all channels are within the tolerance of a colour (or of one for each row)."""
+    middle = np.asarray(colour, np.int16)
+    low, high = np.maximum(middle - TOLERANCE, 0), np.minimum(middle + TOLERANCE, 255)
+    base, span = low.astype(np.uint8), (high - low).astype(np.uint8)
+    # bytes below the base wrap round to large ones
+    out = pixels[..., 0] - base[..., 0] <= span[..., 0]
+    for k in (1, 2):
+        out &= pixels[..., k] - base[..., k] <= span[..., k]
+    return out
 
 
 def margin_colours(pixels: np.ndarray) -> list[int | None]:
@@ -35,55 +50,249 @@ def unpack(colour: int) -> tuple[int, int, int]:
     return colour >> 16, colour >> 8 & 255, colour & 255
 
 
-def line_kinds(pixels: np.ndarray, ground) -> np.ndarray:
+def spans(mask: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of true values, ends included."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
+
+
+@lru_cache(maxsize=4096)
+def _samples(n: int) -> np.ndarray:
+    return np.unique(np.linspace(0, n - 1, min(SAMPLES, n)).astype(int))
+
+
+def _share(mask: np.ndarray) -> np.ndarray:
+    return np.count_nonzero(mask, axis=-1) / mask.shape[-1]
+
+
+def _middle(values: np.ndarray) -> np.ndarray:
+    """Median along the last axis, which is kept, of bytes; the lower whole number between two."""
+    n = values.shape[-1]
+    low, high = (n - 1) // 2, n // 2
+    part = np.partition(values, (low, high), axis=-1)
+    return ((part[..., low : low + 1].astype(np.int16) + part[..., high : high + 1]) // 2).astype(np.int16)
+
+
+def _near(values: np.ndarray) -> np.ndarray:
+    """Whether nearly all bytes along the last axis are close to their median: no line of one colour is without."""
+    return _share(np.abs(values - _middle(values)) <= TOLERANCE) >= SAMPLED_SHARE
+
+
+def line_kinds(pixels: np.ndarray, clear: np.ndarray) -> np.ndarray:
     """Of each row: 0 content, 1 ground, 2 rule (a thin run of rows of one other colour).  A row is first judged by 64
-    samples, then in full."""
-    at = np.unique(np.linspace(0, pixels.shape[1] - 1, min(SAMPLES, pixels.shape[1])).astype(int))
-    sample = pixels[:, at]
-    blank = is_ground(sample, ground).mean(1) >= SAMPLED_SHARE
-    blank[blank] = is_ground(pixels[blank], ground).mean(1) >= FULL_SHARE
-    middle = np.median(sample, axis=1).astype(np.uint8)[:, None]
-    even = ~blank & (is_ground(sample, middle).mean(1) >= SAMPLED_SHARE)
-    even[even] = is_ground(pixels[even], middle[even]).mean(1) >= FULL_SHARE
+    samples, then in full.  ``clear`` is the pixels' mask of ground."""
+    at = _samples(clear.shape[1])
+    blank = _share(clear[:, at]) >= SAMPLED_SHARE
+    blank[blank] = _share(clear[blank]) >= FULL_SHARE
+    rest = np.flatnonzero(~blank)
+    rest = rest[_near(pixels[rest[:, None], at, 0])]  # the first channel rules out most rows
+    even = np.zeros(len(clear), bool)
+    if len(rest):
+        sample = pixels[rest[:, None], at]
+        middle = _middle(np.ascontiguousarray(sample.transpose(0, 2, 1))).transpose(0, 2, 1)
+        close = _share(is_ground(sample, middle)) >= SAMPLED_SHARE
+        rest, middle = rest[close], middle[close]
+        even[rest] = _share(is_ground(pixels[rest], middle)) >= FULL_SHARE
     kinds = blank.astype(np.int8)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], even.astype(int), [0]])))
-    for a, b in zip(edges[::2], edges[1::2], strict=True):
-        if b - a <= MAX_RULE:
-            kinds[a:b] = 2
+    for a, b in spans(even) if even.any() else []:
+        if b - a < MAX_RULE:
+            kinds[a : b + 1] = 2
     return kinds
 
 
-def free_runs(pixels: np.ndarray, ground) -> tuple[np.ndarray, np.ndarray]:
-    """First and last row of the longest run of ground in each column (last < first without one)."""
-    clear = is_ground(pixels, ground)
-    run, best, end = (np.zeros(pixels.shape[1], int) for _ in range(3))
-    for y, row in enumerate(clear):
-        run = (run + 1) * row
-        better = run > best
-        best[better], end[better] = run[better], y
-    return end - best + 1, end
+def separators(kinds: np.ndarray) -> np.ndarray:
+    """Ground, and rules with room on both sides."""
+    starts = np.flatnonzero(np.diff(kinds, prepend=-1))
+    ends = np.append(starts[1:], len(kinds))
+    room = np.where(kinds[starts] == 1, ends - starts, 0)
+    roomy = np.zeros(len(starts), bool)
+    roomy[1:-1] = (kinds[starts[1:-1]] == 2) & (np.minimum(room[:-2], room[2:]) >= BREATH)
+    return (kinds == 1) | np.repeat(roomy, ends - starts)
+
+
+def joined(found: list[tuple[int, int]], least: int = MIN_PART) -> list[tuple[int, int]]:
+    """The first part below ``least`` joins its nearer neighbour (the one before on a tie), again and again; one pass does
+    it, as all parts before the first low one are high enough."""
+    done: list[tuple[int, int]] = []
+    now = None
+    for part in [*found, None]:
+        low = now is not None and now[1] - now[0] + 1 < least
+        if not low or part is None and not done:
+            done += [now] if now is not None else []
+            now = part
+        elif done and (part is None or now[0] - done[-1][1] <= part[0] - now[1]):
+            done[-1] = (done[-1][0], now[1])
+            now = part
+        else:
+            now = (now[0], part[1])
+    return done
+
+
+class Ground:
+    """Rows y0 to y1 of a picture with their mask of ground.  Rectangles are (y0, y1, x0, x1), ends included."""
+
+    def __init__(self, pixels: np.ndarray, colour: int, y0: int, y1: int):
+        self.top, self.pixels = y0, pixels[y0 : y1 + 1]
+        self.clear = is_ground(self.pixels, unpack(colour))
+        self._kinds: dict = {}
+
+    def _at(self, r) -> tuple[slice, slice]:
+        return slice(r[0] - self.top, r[1] - self.top + 1), slice(r[2], r[3] + 1)
+
+    def free(self, r) -> np.ndarray:
+        return self.clear[self._at(r)]
+
+    def kinds(self, r, upright: bool = False) -> np.ndarray:
+        """Kinds of the rows of a rectangle, or of its columns."""
+        found = self._kinds.get((*r, upright))
+        if found is None:  # trimming, cutting and measuring ask for the same rectangles
+            part, clear = self.pixels[self._at(r)], self.clear[self._at(r)]
+            found = self._kinds[(*r, upright)] = line_kinds(part.transpose(1, 0, 2), clear.T) if upright else line_kinds(part, clear)
+        return found
+
+    def trimmed(self, r):
+        """A rectangle without the ground and rules at its edges; None if nothing is left."""
+        for _ in range(TRIMS):
+            if self._framed(r):
+                break
+            rows, columns = np.flatnonzero(self.kinds(r) == 0), np.flatnonzero(self.kinds(r, True) == 0)
+            if not len(rows) or not len(columns):
+                return None
+            inner = (r[0] + int(rows[0]), r[0] + int(rows[-1]), r[2] + int(columns[0]), r[2] + int(columns[-1]))
+            if inner == tuple(r):
+                break
+            r = inner
+        return tuple(r)
+
+    def _framed(self, r) -> bool:
+        """Whether all four edges are surely content, seen by their samples' first channel."""
+        part, clear = self.pixels[self._at(r)], self.clear[self._at(r)]
+        for line, free in ((part[0], clear[0]), (part[-1], clear[-1]), (part[:, 0], clear[:, 0]), (part[:, -1], clear[:, -1])):
+            at = _samples(len(free))
+            if _share(free[at]) >= SAMPLED_SHARE or _near(line[at, 0]):
+                return False
+        return True
+
+    def rows(self, r) -> list[tuple]:
+        """A rectangle cut at ground and rules across."""
+        return [(r[0] + a, r[0] + b, r[2], r[3]) for a, b in joined(spans(~separators(self.kinds(r))))]
+
+    def columns(self, r) -> list[tuple]:
+        """A rectangle cut at upright ground and rules.  A flat one is a line of text and isn't cut; neighbours that don't
+        reach over half of the height are pieces of such a line and stay together."""
+        height = r[1] - r[0] + 1
+        if r[3] - r[2] + 1 > LINE_SHAPE * height:
+            return [r]
+        out, open_ = [], False
+        # rules across are left out, as in gutters: where they lie close, a gutter would be too rarely clear
+        keep = self.kinds(r) != 2
+        body, clear = self.pixels[self._at(r)][keep], self.clear[self._at(r)][keep]
+        for a, b in joined(spans(~separators(line_kinds(body.transpose(1, 0, 2), clear.T)))) if keep.any() else []:
+            part = (r[0], r[1], r[2] + a, r[2] + b)
+            inner = self.trimmed(part)
+            short = inner is None or inner[1] - inner[0] + 1 < max(MIN_PART, int(GUTTER_SHARE * height))
+            if short and open_:
+                part = (*out.pop()[:3], part[3])
+            out.append(part)
+            open_ = short
+        return out
+
+    def gutters(self, r, share: float = GUTTER_SHARE) -> list[tuple[int, int]]:
+        """First and last row of each gutter: columns side by side that are clear over a share of the height at least, rules
+        aside, with ink on both sides along half of their length."""
+        free = self.free(r) | (self.kinds(r) == 2)[:, None]
+        height, width = free.shape
+        floor = max(MIN_PART, int(share * height))
+        wide = longest_runs(free) >= floor
+        for a, b in spans(~wide):
+            if a > 0 and b < width - 1 and b - a < MAX_RULE:  # an upright rule doesn't part a gutter
+                wide[a : b + 1] = True
+        out = []
+        for a, b in spans(wide):
+            if a == 0 or b == width - 1 or b - a + 1 < MIN_PART:
+                continue
+            # the columns' majority has the say, so that one of them can't shorten all
+            top, end = max(spans(free[:, a : b + 1].mean(1) >= 0.5), key=lambda s: s[1] - s[0], default=(0, -1))
+            left, right = (~free[top : end + 1, :a]).any(1), (~free[top : end + 1, b + 1 :]).any(1)
+            if end - top + 1 >= floor and min(left.mean(), right.mean()) >= GUTTER_SHARE:
+                out.append((r[0] + top, r[0] + end))
+        return out
+
+    def strips(self, r, share: float = GUTTER_SHARE) -> list[tuple]:
+        """A rectangle cut across at the ends of its gutters."""
+        edges = sorted({r[0], r[1] + 1, *(y for a, b in self.gutters(r, share) for y in (a, b + 1))})
+        return [(a, b - 1, r[2], r[3]) for a, b in zip(edges, edges[1:], strict=False) if b - a >= MIN_PART]
+
+    def refined(self, r, across: bool, strip: bool = False) -> tuple[str, tuple | None, list[tuple]]:
+        """One step of taking a rectangle apart: how, its trimmed self, and the parts.  Ends of long gutters come first, then
+        columns (first in a strip that such ends have made), then ends of shorter gutters (of several grids below each
+        other none is half as high as all), then, if allowed, rows."""
+        r = self.trimmed(r)
+        if r is None:
+            return "empty", None, []
+        steps = [("strips", self.strips), ("columns", self.columns), ("strips", lambda r: self.strips(r, SHORT_GUTTER)), ("rows", self.rows)]
+        if strip:
+            steps[:2] = steps[1::-1]
+        for how, parts in steps if across else steps[:3]:
+            if len(found := parts(r)) > 1:
+                return how, r, found
+        return "plain", r, []
+
+    def bands(self, r) -> list[tuple]:
+        """The content of a cell from above, each (y0, y1, x0, x1, whether a rule with room stands before it).  Rules are
+        measured over the joint width of the two bands that they part."""
+        r = self.trimmed(r)
+        if r is None:
+            return []
+        found = [t for t in map(self.trimmed, self.rows(r)) if t] or [r]
+        ruled = [False]
+        for a, b in zip(found, found[1:], strict=False):
+            both = (a[0], b[1], min(a[2], b[2]), max(a[3], b[3]))
+            between = slice(a[1] + 1 - a[0], b[0] - a[0])
+            if self.free(both)[between].all():
+                ruled.append(False)
+                continue
+            kinds = self.kinds(both)
+            ruled.append(bool((separators(kinds) & (kinds == 2))[between].any()))
+        return [(*b, f) for b, f in zip(found, ruled, strict=True)]
+
+    def ink(self) -> np.ndarray:
+        """Mask of what isn't ground or a rule.  Rules across are measured over the width of the content, upright ones over
+        its height, and taken out to the edges of the picture, as frames stand outside of the content; a row or column on
+        either side belongs to the rule."""
+        height, width = self.clear.shape
+        inner = self.trimmed((self.top, self.top + height - 1, 0, width - 1))
+        if inner is None:
+            return np.zeros_like(self.clear)
+        wider = lambda m: m | np.append(m[1:], False) | np.append(False, m[:-1])
+        across, upright = self.kinds((self.top, self.top + height - 1, *inner[2:])) == 2, self.kinds((*inner[:2], 0, width - 1), True) == 2
+        return ~self.clear & ~wider(across)[:, None] & ~wider(upright)
+
+
+def longest_runs(free: np.ndarray) -> np.ndarray:
+    """Length of the longest run of true values in each column."""
+    row = np.arange(len(free), dtype=np.int32)[:, None]
+    return (row - np.maximum.accumulate(np.where(free, np.int32(-1), row), axis=0)).max(axis=0, initial=0)
 
 
-def extent(pixels: np.ndarray, ground) -> tuple[np.ndarray, np.ndarray]:
+def extent(clear: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last column with ink in each row (-1 without ink)."""
-    ink = ~is_ground(pixels, ground)
-    some = ink.any(1)
-    first = np.where(some, ink.argmax(1), -1)
-    last = np.where(some, pixels.shape[1] - 1 - ink[:, ::-1].argmax(1), -1)
+    some = ~clear.all(1)
+    first = np.where(some, (~clear).argmax(1), -1)
+    last = np.where(some, clear.shape[1] - 1 - (~clear[:, ::-1]).argmax(1), -1)
     return first, last
 
 
 def coverage(pixels: np.ndarray, sections: list[dict], boxes: list[dict]) -> float:
     """Share of the ink, rules aside, that lies in the boxes; 1 without ink."""
-    ink = np.zeros(pixels.shape[:2], bool)
+    total = covered = 0
     for s in sections:
-        part, ground = pixels[s["y0"] : s["y1"] + 1], unpack(s["colour"])
-        ink[s["y0"] : s["y1"] + 1] = ~is_ground(part, ground) & (line_kinds(part, ground) != 2)[:, None]
-    covered = np.zeros_like(ink)
-    for b in boxes:
-        covered[max(0, b["y0"] - 1) : b["y1"] + 2, max(0, b["x0"] - 1) : b["x1"] + 2] = True
-    total = int(ink.sum())
-    return int((ink & covered).sum()) / total if total else 1.0
+        ink = Ground(pixels, s["colour"], s["y0"], s["y1"]).ink()
+        total += int(ink.sum())
+        for b in boxes:
+            ink[max(0, b["y0"] - s["y0"]) : max(0, b["y1"] - s["y0"] + 1), b["x0"] : b["x1"] + 1] = False
+        covered -= int(ink.sum())
+    return (total + covered) / total if total else 1.0
 
 
 def chip_colour(pixels: np.ndarray, fallback: int) -> int:

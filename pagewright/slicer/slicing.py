@@ -1,8 +1,10 @@
 """Slicing tall pictures into units of a picture and its captions, as a Spark job.
 
-Pixels are only read by Arrow helpers that emit flags of rows and columns; what follows is relational: sections are a
-fold over margin colours, gutters and bands are runs, groups are natural breaks of the gaps between bands, the side of the
-captions is a vote over the whole picture, and units are picked by maxima within groups.
+The pictures are laid down once by their id, and stay where they are: what is found in them is joined to them, and small
+helpers read rows and columns of one rectangle at a time.  What follows is relational: sections are a fold over margin
+colours; cells are a work list of rectangles, refined level by level and put together again by their paths; groups are
+natural breaks of the gaps between bands and rules; the side of the captions is a vote over the whole picture, and units
+are picked by maxima within groups.
 
 ``images``: image_id long, height int, width int, data binary (RGB by rows)."""
 
@@ -21,36 +23,42 @@ from pagewright.slicer import pixels as px
 from pagewright.sources.images import png
 
 MIN_SECTION = 24
-BREATH = 8
-GUTTER_SHARE = 0.5
-MIN_BAND = 8
 LEAST_AD = 40
+MAX_DEEP = 2  # rows of rows
+MAX_LEVELS = 6  # steps of the work list
 
 
 def _map(df: DataFrame, f, schema: str) -> DataFrame:
-    """f(row) -> rows, over Arrow batches; schema names the results."""
-    names = [x.strip().split()[0] for x in schema.split(";")]
+    """f(row) -> list of rows, over Arrow batches; schema names the results.  Binary values are views of the batch."""
     step = 1 if "binary" in schema else 64
 
-    def run(batches: Iterator[pa.RecordBatch], types=None) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            heavy = [n for n, c in zip(batch.schema.names, batch.columns, strict=True) if pa.types.is_binary(c.type)]
+            light, views = batch.drop_columns(heavy), {n: batch.column(n) for n in heavy}
             for i in range(0, batch.num_rows, step):
-                # pictures are large, so one at a time is turned into Python values
-                rows = [f(r) for j in range(i, min(i + step, batch.num_rows)) for r in batch.slice(j, 1).to_pylist()]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                rows = light.slice(i, step).to_pylist()
+                for j, r in enumerate(rows):
+                    r |= {n: c[i + j].as_buffer() for n, c in views.items()}
+                yield pa.RecordBatch.from_pylist([x for r in rows for x in f(r)], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ddl = ", ".join(x.strip() for x in schema.split(";"))
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
-    assert arrow.names == names
     return df.mapInArrow(run, ddl)
 
 
+def by_id(images: DataFrame) -> DataFrame:
+    """The pictures, laid down once by their id, so that what is found in them comes to them and they stay where they are."""
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(images.select("image_id", "height", "width", "data").repartition(n, "image_id"))
+
+
 def sections(images: DataFrame) -> DataFrame:
     """``image_id, height, width, sections`` (array of y0, y1, colour): ground colours are compared with the first row of
     their run, runs under 24 rows join the one before, a short head the one after."""
-    margins = _map(images, lambda r: {"image_id": r["image_id"], "height": r["height"], "width": r["width"], "margins": px.margin_colours(px.array_of(r["data"], r["height"], r["width"]))}, "image_id long; height int; width int; margins array<int>")
+    margins = _map(images, lambda r: [{"image_id": r["image_id"], "height": r["height"], "width": r["width"], "margins": px.margin_colours(px.array_of(r["data"], r["height"], r["width"]))}], "image_id long; height int; width int; margins array<int>")
     near = " and ".join(f"abs((({{a}} div {1 << s}) & 255) - (({{b}} div {1 << s}) & 255)) <= {px.TOLERANCE}" for s in (16, 8, 0))
     fold = f"""aggregate(margins, named_struct('c', coalesce(get(filter(margins, m -> m is not null), 0), 16777215), 'y', 0, 'out', cast(array() as array<struct<y0:int,y1:int,colour:int>>)),
       (s, m) -> named_struct('c', coalesce(m, s.c), 'y', s.y + 1, 'out',
@@ -65,85 +73,125 @@ def sections(images: DataFrame) -> DataFrame:
     return margins.withColumn("found", F.expr(fold)).select("image_id", "height", "width", F.expr(absorb).alias("sections"))
 
 
+def beside(images: DataFrame, other: DataFrame) -> DataFrame:
+    """What was found in pictures, joined to them.  The plan's guess of a picture's size is a hundred bytes, so without the
+    hint it may send all pixels to all tasks; with it, the findings are hashed by id and the pictures stream past."""
+    return images.join(other.hint("shuffle_hash"), "image_id")
+
+
+def _grounds(r: dict):
+    """Yields the items of one picture, each with the ``Ground`` of its rows; neighbours share one."""
+    page, own, key = px.array_of(r["data"], r["height"], r["width"]), None, None
+    for item in sorted(r["items"], key=lambda i: (i["colour"], i["top"], i["end"])):
+        if key != (key := (item["colour"], item["top"], item["end"])):
+            own = px.Ground(page, *key)
+        yield item, own
+
+
+def _per_picture(images: DataFrame, items: DataFrame, read, schema: str) -> DataFrame:
+    """``read(item, ground)`` -> rows, for items (image_id, top, end, colour, ...) of the same rows and ground; all items of
+    a picture are read together, and only they are shuffled if the pictures lie by id."""
+    listed = items.groupBy("image_id").agg(F.collect_list(F.struct(*(c for c in items.columns if c != "image_id"))).alias("items"))
+    names = ["image_id", *(x.strip().split()[0] for x in schema.split(";"))]
+    return _map(beside(images, listed), lambda r: [dict(zip(names, (r["image_id"], *row), strict=True)) for item, own in _grounds(r) for row in read(item, own)], f"image_id long; {schema}")
+
+
+_RECT = "struct<y0:int,y1:int,x0:int,x1:int>"
+
+
 def cells(images: DataFrame, found: DataFrame) -> DataFrame:
-    """``image_id, section, cell, col, x0, x1, y0, y1, colour``: a section is cut above, between and below its gutters,
-    the runs of columns that are clear over half of its height."""
-    each = found.select("image_id", F.posexplode("sections").alias("section", "s")).select("image_id", "section", "s.*")
-
-    def read(r: dict) -> dict:
-        part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1]
-        first, last = px.free_runs(part, px.unpack(r["colour"]))
-        keep = {k: r[k] for k in ("image_id", "section", "y0", "y1", "colour", "width")}
-        wide = np.flatnonzero(last - first + 1 >= max(BREATH, GUTTER_SHARE * len(part)))
-        return keep | {"open": [{"x": x, "first": a + r["y0"], "last": b + r["y0"]} for x, a, b in zip(wide.tolist(), first[wide].tolist(), last[wide].tolist(), strict=True)]}
-
-    clear = checkpointed(_map(images.join(each, "image_id"), read, "image_id long; section int; y0 int; y1 int; colour int; width int; open array<struct<x:int,first:int,last:int>>"))
+    """``image_id, section, cell, col, cols, x0, x1, y0, y1, top, end, colour``: sections taken apart as far as columns are
+    found, cells numbered from above.  ``top`` and ``end`` are the section's rows.
+
+    The work list starts with the sections.  A rectangle is cut at the ends of its gutters, else into columns, else into
+    rows; strips and rows are looked at again, rows of rows twice at most.  Columns are cells.  Of what has none, a strip
+    is a cell, and rows are put together again: neighbours are one cell where another row of their rectangle has columns,
+    and the whole rectangle is one cell where none has."""
+    todo = found.select("image_id", F.posexplode("sections").alias("section", "s"), "width").select(
+        "image_id", "section", F.col("s.y0").alias("top"), F.col("s.y1").alias("end"), "s.colour", F.expr("cast(array() as array<int>)").alias("path"), F.lit("strips").alias("made"), F.lit(0).alias("deep"),
+        "s.y0", "s.y1", F.lit(0).alias("x0"), (F.col("width") - 1).alias("x1"))
+    keep = ("section", "top", "end", "colour", "path", "made", "deep")
+
+    def refine(item: dict, own: px.Ground) -> Iterator[tuple]:
+        how, r, parts = own.refined(tuple(item[c] for c in ("y0", "y1", "x0", "x1")), item["deep"] < MAX_DEEP, item["made"] == "strips" and bool(item["path"]))
+        if r is not None:
+            yield (*(item[c] for c in keep), how, *r, [dict(zip(("y0", "y1", "x0", "x1"), p, strict=True)) for p in parts])
+
+    schema = f"section int; top int; end int; colour int; path array<int>; made string; deep int; how string; y0 int; y1 int; x0 int; x1 int; parts array<{_RECT}>"
+    levels = []
+    while len(levels) < MAX_LEVELS:
+        levels.append(checkpointed(_per_picture(images, todo, refine, schema)))
+        again = levels[-1].where("how in ('strips', 'rows')")
+        if again.isEmpty():
+            break
+        todo = again.select("image_id", "section", "top", "end", "colour", "path", "how", "deep", F.posexplode("parts").alias("i", "p")).select(
+            "image_id", "section", "top", "end", "colour", F.concat("path", F.array("i")).alias("path"), F.col("how").alias("made"), (F.col("deep") + (F.col("how") == "rows").cast("int")).alias("deep"), "p.*")
+    nodes = levels[0]
+    for level in levels[1:]:
+        nodes = nodes.union(level)
     keys = ["image_id", "section"]
-    # open columns in a row have one difference of place and number
-    columns = clear.select(*keys, "width", F.inline("open")).withColumn("strip", F.col("x") - F.row_number().over(Window.partitionBy(*keys).orderBy("x")))
-    strips = columns.groupBy(*keys, "width", "strip").agg(F.min("x").alias("start"), F.max("x").alias("end"), F.mode("first", True).alias("top"), F.mode("last", True).alias("bottom"))
-    voted = strips.where((F.col("start") > 0) & (F.col("end") < F.col("width") - 1) & (F.col("end") - F.col("start") >= 1))
-    gutters = voted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("g"), F.max("top").alias("top"), F.min("bottom").alias("bottom"))
-    joined = clear.drop("open").join(gutters, keys, "left").withColumn("cut", F.coalesce(F.col("bottom") - F.col("top") >= BREATH, F.lit(False)))
-    row = lambda cell, col, x0, x1, y0, y1: F.struct(cell.alias("cell"), col.alias("col"), x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
-    zero, right, n = F.lit(0), F.col("width") - 1, F.size("g")
-    whole = F.array(row(zero, zero, zero, right, F.col("y0"), F.col("y1")))
-    columns_of = F.transform(F.sequence(zero, n), lambda i: row(i + 1, i, F.when(i == 0, 0).otherwise(F.get("g", i - 1)["end"] + 1), F.when(i == n, right).otherwise(F.get("g", i)["start"] - 1), F.col("top"), F.col("bottom")))
-    split = F.concat(F.array(row(zero, zero, zero, right, F.col("y0"), F.col("top") - 1)), columns_of, F.array(row(n + 2, zero, zero, right, F.col("bottom") + 1, F.col("y1"))))
-    return joined.select("image_id", "section", "colour", F.inline(F.when(F.col("cut"), split).otherwise(whole))).where("y1 >= y0 and x1 >= x0")
-
-
-def islands(images: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, kind, x0, x1, y0, y1`` of the runs of rows of one kind (content, ground, rule) in each rectangle of
-    ``found (keys, x0, x1, y0, y1, colour)``; ``above`` and ``below`` are the heights of neighbouring ground."""
-    kinds = dict(found.dtypes)
-
-    def read(r: dict) -> dict:
-        part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
-        ground = px.unpack(r["colour"])
-        kinds_of, (first, last) = px.line_kinds(part, ground), px.extent(part, ground)
-        starts = np.flatnonzero(np.diff(kinds_of, prepend=-1))
-        x0, x1 = r["x0"] + np.minimum.reduceat(first, starts), r["x0"] + np.maximum.reduceat(last, starts)
-        y0, y1 = r["y0"] + starts, r["y0"] + np.append(starts[1:], len(kinds_of)) - 1
-        names = ("kind", "y0", "y1", "x0", "x1")
-        return {k: r[k] for k in keys} | {"runs": [dict(zip(names, v, strict=True)) for v in np.stack([kinds_of[starts], y0, y1, x0, x1], 1).tolist()]}
-
-    rows = _map(images.join(found, "image_id"), read, "; ".join(f"{k} {kinds[k]}" for k in keys) + "; runs array<struct<kind:int,y0:int,y1:int,x0:int,x1:int>>")
-    runs_of = rows.select(*keys, F.inline("runs"))
-    w = Window.partitionBy(*keys).orderBy("y0")
+    # every rectangle above columns, by its path
+    above = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
+    rich = nodes.where("how = 'columns'").select(*keys, F.explode(above).alias("path")).distinct().withColumn("rich", F.lit(True))
+    parent = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.size("path") - 1))
+    seen = nodes.withColumn("parent", parent).join(rich, [*keys, "path"], "left").join(rich.select(*keys, F.col("path").alias("parent"), F.col("rich").alias("rich_parent")), [*keys, "parent"], "left")
+    seen = seen.withColumns({"rich": F.coalesce("rich", F.lit(False)), "rich_parent": F.coalesce("rich_parent", F.lit(False))})
+    columns = seen.where("how = 'columns'").select(*keys, "top", "end", "colour", F.posexplode("parts").alias("col", "p"), F.size("parts").alias("cols")).select(*keys, "top", "end", "colour", "col", "cols", "p.*")
+    poor = seen.where("not rich")
+    strips = poor.where("made = 'strips' and (rich_parent or deep = 0) and not (how = 'strips' and deep = 0)")
+    # neighbouring rows without columns under a rectangle that has some
+    last = F.element_at("path", -1)
+    rows = poor.where("made = 'rows' and rich_parent").withColumn("run", last - F.row_number().over(Window.partitionBy(*keys, "parent").orderBy(last)))
+    box = [F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")]
+    rows = rows.groupBy(*keys, "top", "end", "colour", "parent", "run").agg(*box)
+    names = [*keys, "top", "end", "colour", "col", "cols", "x0", "x1", "y0", "y1"]
+    single = strips.select(*keys, "top", "end", "colour", "x0", "x1", "y0", "y1").union(rows.select(*keys, "top", "end", "colour", "x0", "x1", "y0", "y1")).withColumns({"col": F.lit(0), "cols": F.lit(1)})
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("y0", "x0")) - 1
+    return columns.select(*names).union(single.select(*names)).withColumn("cell", number)
+
+
+def islands(images: DataFrame, found: DataFrame) -> DataFrame:
+    """``image_id, kind, x0, x1, y0, y1`` of the runs of rows of one kind (content, ground, rule) in a trimmed rectangle of
+    each picture, ``found (image_id, x0, x1, y0, y1, colour)``; ``above`` and ``below`` are the heights of neighbouring ground."""
+
+    def read(r: dict, own: px.Ground) -> Iterator[tuple]:
+        rect = own.trimmed((r["y0"], r["y1"], r["x0"], r["x1"]))
+        if rect is None:
+            return
+        kinds, (first, last) = own.kinds(rect), px.extent(own.free(rect))
+        starts = np.flatnonzero(np.diff(kinds, prepend=-1))
+        x0, x1 = rect[2] + np.minimum.reduceat(first, starts), rect[2] + np.maximum.reduceat(last, starts)
+        y0, y1 = rect[0] + starts, rect[0] + np.append(starts[1:], len(kinds)) - 1
+        yield from np.stack([kinds[starts], y0, y1, x0, x1], 1).tolist()
+
+    runs_of = _per_picture(images, found.withColumns({"top": F.col("y0"), "end": F.col("y1")}), read, "kind int; y0 int; y1 int; x0 int; x1 int")
+    w = Window.partitionBy("image_id").orderBy("y0")
     tall = F.when(F.col("kind") == 1, F.col("y1") - F.col("y0") + 1).otherwise(0)
     return runs_of.withColumn("tall", tall).withColumn("above", F.coalesce(F.lag("tall").over(w), F.lit(0))).withColumn("below", F.coalesce(F.lead("tall").over(w), F.lit(0))).drop("tall")
 
 
 def bands(images: DataFrame, found: DataFrame) -> DataFrame:
-    """``image_id, section, cell, col, x0, x1, y0, y1, gap, ruled``: runs of content rows of each cell, the distance to the
-    band above and whether a rule with room on both sides lies between.  The first run under 8 rows joins its nearer
-    neighbour (the one above on a tie), again and again; one pass does it, as all runs above the first low one are high."""
-    keys = ["image_id", "section", "cell", "col"]
-    w = Window.partitionBy(*keys).orderBy("y0")
-    around = islands(images, found, keys).withColumn("n_ruled", F.sum(((F.col("kind") == 2) & (F.least("above", "below") >= BREATH)).cast("int")).over(w))
-    run = "struct<y0:int,y1:int,x0:int,x1:int,n_ruled:bigint>"
-    union = "named_struct('y0', least({a}.y0, {b}.y0), 'y1', greatest({a}.y1, {b}.y1), 'x0', least({a}.x0, {b}.x0), 'x1', greatest({a}.x1, {b}.x1), 'n_ruled', greatest({a}.n_ruled, {b}.n_ruled))"
-    low = f"s.cur.y1 - s.cur.y0 + 1 < {MIN_BAND}"
-    up = "concat(slice(s.done, 1, size(s.done) - 1), array(" + union.format(a="element_at(s.done, -1)", b="s.cur") + "))"
-    fold = f"""aggregate(rows, named_struct('done', cast(array() as array<{run}>), 'cur', cast(null as {run})), (s, n) -> case
-      when s.cur is null then named_struct('done', s.done, 'cur', n)
-      when not ({low}) then named_struct('done', concat(s.done, array(s.cur)), 'cur', n)
-      when size(s.done) > 0 and s.cur.y0 - element_at(s.done, -1).y1 <= n.y0 - s.cur.y1 then named_struct('done', {up}, 'cur', n)
-      else named_struct('done', s.done, 'cur', {union.format(a="s.cur", b="n")}) end,
-      s -> case when s.cur is null then s.done when {low} and size(s.done) > 0 then {up} else concat(s.done, array(s.cur)) end)"""
-    rows = around.where("kind = 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y0", "y1", "x0", "x1", "n_ruled"))).alias("rows"))
-    joined = rows.select(*keys, F.inline(F.expr(fold)))
-    gap, ruled = F.col("y0") - F.lag("y1").over(w) - 1, F.col("n_ruled") > F.lag("n_ruled").over(w)
-    return joined.select(*keys, "x0", "x1", "y0", "y1", gap.alias("gap"), F.coalesce(ruled, F.lit(False)).alias("ruled"))
+    """``image_id, section, cell, col, x0, x1, y0, y1, gap, ruled``: the content of each cell cut across, parts under 8 rows
+    with their nearer neighbour; the distance to the band above, and whether a rule with room on both sides lies between."""
+    keys = ["section", "cell", "col"]
+
+    def read(r: dict, own: px.Ground) -> Iterator[tuple]:
+        for band in own.bands((r["y0"], r["y1"], r["x0"], r["x1"])):
+            yield (*(r[k] for k in keys), *band)
+
+    if "top" not in found.columns:
+        found = found.withColumns({"top": F.col("y0"), "end": F.col("y1")})
+    parts = _per_picture(images, found, read, "section int; cell int; col int; y0 int; y1 int; x0 int; x1 int; ruled boolean")
+    gap = F.col("y0") - F.lag("y1").over(Window.partitionBy("image_id", *keys).orderBy("y0")) - 1
+    return parts.select("image_id", *keys, "x0", "x1", "y0", "y1", gap.alias("gap"), "ruled")
 
 
 def advert_blocks(images: DataFrame, regions: DataFrame, least: int = LEAST_AD) -> DataFrame:
     """``image_id, block, x0, x1, y0, y1``: the area above the first unit, cut at rules with room on one side at least;
     blocks lower than ``least`` are left out.  ``regions``: image_id, x0, x1, y0, y1, colour."""
     w = Window.partitionBy("image_id").orderBy("y0")
-    cut = ((F.col("kind") == 2) & (F.greatest("above", "below") >= BREATH)).cast("int")
-    blocks = islands(images, regions, ["image_id"]).withColumn("block", F.sum(cut).over(w)).where("kind = 0").groupBy("image_id", "block")
+    cut = ((F.col("kind") == 2) & (F.greatest("above", "below") >= px.BREATH)).cast("int")
+    blocks = islands(images, regions).withColumn("block", F.sum(cut).over(w)).where("kind = 0").groupBy("image_id", "block")
     found = blocks.agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     return found.where(F.col("y1") - F.col("y0") + 1 >= least)
 
@@ -164,14 +212,17 @@ def caption_sides(groups: DataFrame, keys: list[str]) -> DataFrame:
 def units(images: DataFrame) -> DataFrame:
     """``image_id, unit, section, col, x0, x1, y0, y1, n_captions, captions_below, ink, parts`` in reading order.
     ``parts`` are the unit's bands from above (y0, y1, x0, x1)."""
+    images = by_id(images)
     found = checkpointed(sections(images))
-    keys = ["image_id", "section", "cell", "col"]
-    parts = checkpointed(bands(images, cells(images, found)))
-    cut = natural_breaks(parts, keys).drop("ratio")
-    floor = natural_breaks(parts.withColumn("h", F.col("y1") - F.col("y0") + 1), ["image_id"], "h").select("image_id", F.coalesce("threshold", F.lit(0)).alias("floor"))
+    keys, stretch = ["image_id", "section", "cell", "col"], ["image_id", "section", "cell", "col", "stretch"]
+    parts = bands(images, cells(images, found))
     w = Window.partitionBy(*keys).orderBy("y0")
+    # rules part first; breaks of the gaps are looked for between rules
+    parts = checkpointed(parts.withColumn("stretch", F.sum(F.col("ruled").cast("int")).over(w)).withColumn("gap", F.when(~F.col("ruled"), F.col("gap"))))
+    cut = natural_breaks(parts, stretch).drop("ratio")
+    floor = natural_breaks(parts.withColumn("h", F.col("y1") - F.col("y0") + 1), keys, "h").select(*keys, F.coalesce("threshold", F.lit(0)).alias("floor"))
     opens = F.coalesce((F.col("gap") > F.col("threshold")) | F.col("ruled"), F.lit(False)).cast("int")
-    grouped = parts.join(cut, keys, "left").join(floor, "image_id").withColumn("g", F.sum(opens).over(w))
+    grouped = parts.join(cut, stretch, "left").join(floor, keys).withColumn("g", F.sum(opens).over(w))
     tall, in_group = F.col("y1") - F.col("y0") + 1 > F.col("floor"), Window.partitionBy(*keys, "g")
     grouped = grouped.withColumns({"first": F.min(F.when(tall, F.col("y0"))).over(in_group), "last": F.max(F.when(tall, F.col("y1"))).over(in_group)})
     groups = grouped.groupBy(*keys, "g").agg(
@@ -193,10 +244,11 @@ def units(images: DataFrame) -> DataFrame:
         'out', concat(s.out, array(named_struct('row', if(v.y0 <= s.low, s.row, s.row + 1), 'x0', v.x0, 'y0', v.y0, 'x1', v.x1, 'y1', v.y1, 'section', v.section, 'col', v.col, 'n_captions', v.n_captions, 'parts', v.parts)))), s -> array_sort(s.out))"""
     page = checkpointed(page.withColumn("all", F.expr(fold)))
 
-    def measure(r: dict) -> dict:
-        return {"image_id": r["image_id"], "ink": px.coverage(px.array_of(r["data"], r["height"], r["width"]), r["sections"], r["all"])}
+    def measure(r: dict) -> list[dict]:
+        return [{"image_id": r["image_id"], "ink": px.coverage(px.array_of(r["data"], r["height"], r["width"]), r["sections"], r["boxes"])}]
 
-    ink = _map(images.join(found.select("image_id", "sections"), "image_id").join(page.select("image_id", F.transform("all", lambda v: F.struct(*(v[c].alias(c) for c in ("x0", "y0", "x1", "y1")))).alias("all")), "image_id"), measure, "image_id long; ink double")
+    boxes = page.select("image_id", F.flatten(F.transform("all", lambda v: v["parts"])).alias("boxes"))
+    ink = _map(beside(images, found.select("image_id", "sections").join(boxes, "image_id")), measure, "image_id long; ink double")
     out = page.select("image_id", "captions_below", F.posexplode("all").alias("unit", "v")).join(ink, "image_id")
     return out.select("image_id", "unit", "v.section", "v.col", "v.x0", "v.x1", "v.y0", "v.y1", "v.n_captions", "captions_below", F.round("ink", 6).alias("ink"), "v.parts")
 
@@ -204,38 +256,38 @@ def units(images: DataFrame) -> DataFrame:
 def colours(images: DataFrame, boxes: DataFrame, fallback: int = 0x3F8F9B) -> DataFrame:
     """``image_id, unit, chip, plate, light``: an accent, the ground round the rectangle, and whether that is light."""
 
-    def read(r: dict) -> dict:
+    def read(r: dict) -> list[dict]:
         part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
         plate = px.plate_colour(part)
         red, green, blue = px.unpack(plate)
-        return {"image_id": r["image_id"], "unit": r["unit"], "chip": px.chip_colour(part, fallback), "plate": plate, "light": 0.299 * red + 0.587 * green + 0.114 * blue > 170}
+        return [{"image_id": r["image_id"], "unit": r["unit"], "chip": px.chip_colour(part, fallback), "plate": plate, "light": 0.299 * red + 0.587 * green + 0.114 * blue > 170}]
 
-    return _map(images.join(boxes, "image_id"), read, "image_id long; unit int; chip int; plate int; light boolean")
+    return _map(beside(images, boxes), read, "image_id long; unit int; chip int; plate int; light boolean")
 
 
 def crops(images: DataFrame, boxes: DataFrame, scale: int = 1) -> DataFrame:
     """``image_id, unit, png``: the rectangles ``boxes (image_id, unit, x0, y0, x1, y1)`` as PNG files, each pixel
     ``scale`` times as wide and high (captions are easier to read at 3)."""
 
-    def cut(r: dict) -> dict:
+    def cut(r: dict) -> list[dict]:
         part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
-        return {"image_id": r["image_id"], "unit": r["unit"], "png": png(part.repeat(scale, 0).repeat(scale, 1))}
+        return [{"image_id": r["image_id"], "unit": r["unit"], "png": png(part.repeat(scale, 0).repeat(scale, 1))}]
 
-    return _map(images.join(boxes.select("image_id", "unit", "x0", "y0", "x1", "y1"), "image_id"), cut, "image_id long; unit int; png binary")
+    return _map(beside(images, boxes.select("image_id", "unit", "x0", "y0", "x1", "y1")), cut, "image_id long; unit int; png binary")
 
 
 def contact_sheets(images: DataFrame, found: DataFrame) -> DataFrame:
     """``image_id, png``: every picture with its units framed in red."""
     boxes = found.groupBy("image_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
 
-    def draw(r: dict) -> dict:
+    def draw(r: dict) -> list[dict]:
         page = px.array_of(r["data"], r["height"], r["width"]).copy()
         for b in r["boxes"]:
             page[b["y0"] : b["y1"] + 1, [b["x0"], b["x1"]]] = (220, 30, 30)
             page[[b["y0"], b["y1"]], b["x0"] : b["x1"] + 1] = (220, 30, 30)
-        return {"image_id": r["image_id"], "png": png(page)}
+        return [{"image_id": r["image_id"], "png": png(page)}]
 
-    return _map(images.join(boxes, "image_id"), draw, "image_id long; png binary")
+    return _map(beside(images, boxes), draw, "image_id long; png binary")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -244,46 +296,14 @@ def report(found: DataFrame) -> DataFrame:
     return found.groupBy("image_id", "ink").agg(F.array_sort(F.collect_list(unit)).alias("units")).select("image_id", F.to_json(F.struct("image_id", "ink", "units")).alias("json"))
 
 
-def grid_picture(rows: int, width: int = 120, seed: int = 0, above: bool = False) -> np.ndarray:
-    """Two columns of pictures with captions below (or above) them, under one wide picture, on white."""
-    rng = np.random.default_rng(seed)
-    page = np.full((70 + rows * 74, width, 3), 255, np.uint8)
-
-    def picture(y0: int, y1: int, x0: int, x1: int) -> None:
-        page[y0:y1, x0:x1] = rng.integers(0, 200, (y1 - y0, x1 - x0, 3))
-
-    picture(6, 40, 8, width - 8)
-    half = width // 2
-    for i in range(rows):
-        top = 70 + i * 74
-        for x0, x1 in ((6, half - 8), (half + 8, width - 6)):
-            at = top + 14 * above
-            picture(at, at + 40, x0, x1)
-            at = top + 44 * (not above)
-            picture(at, at + 10, x0 + 4, x1 - 4)
-    return page
-
-
-def drawn(keys: DataFrame) -> DataFrame:
-    """Pictures for rows (id, n): ``grid_picture`` with 2 + n % 3 rows, captions above if n is odd."""
-    id_col, n_col = keys.columns
-
-    def draw(r: dict) -> dict:
-        page = grid_picture(2 + r["n"] % 3, seed=r["image_id"], above=r["n"] % 2 == 1)
-        return {"image_id": r["image_id"], "height": page.shape[0], "width": page.shape[1], "data": page.tobytes()}
-
-    named = keys.select(F.col(id_col).cast("long").alias("image_id"), F.col(n_col).cast("int").alias("n"))
-    return _map(named, draw, "image_id long; height int; width int; data binary")
-
-
 def from_image_source(found: DataFrame) -> DataFrame:
     """Pictures of Spark's image source (column ``image``, BGR) in the shape used here; ``image_id`` hashes the origin."""
 
-    def turn(r: dict) -> dict:
+    def turn(r: dict) -> list[dict]:
         i = r["image"]
         bgr = np.frombuffer(i["data"], np.uint8).reshape(i["height"], i["width"], i["nChannels"])
         if i["nChannels"] == 1:
             bgr = np.repeat(bgr, 3, 2)
-        return {"image_id": r["image_id"], "height": i["height"], "width": i["width"], "data": np.ascontiguousarray(bgr[:, :, 2::-1]).tobytes()}
+        return [{"image_id": r["image_id"], "height": i["height"], "width": i["width"], "data": np.ascontiguousarray(bgr[:, :, 2::-1]).tobytes()}]
 
     return _map(found.select(F.xxhash64("image.origin").alias("image_id"), "image"), turn, "image_id long; height int; width int; data binary")

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagewright.operators import breaks, diff, gate, products, refine, render
+from pagewright.plans import drawings
 from pagewright.slicer import slicing
 from pagewright.sources import html as html_source
 from pagewright.sources import images, runs, xlsx
@@ -188,7 +189,7 @@ def test_workbook_with_shuffled_and_repeated_headers(spark):
 
 
 def test_slicing_finds_every_cell(spark):
-    pages = [slicing.grid_picture(n, seed=n) for n in (2, 4)]
+    pages = [drawings.grid_picture(n, seed=n) for n in (2, 4)]
     df = spark.createDataFrame([(i, p.shape[0], p.shape[1], bytearray(p.tobytes())) for i, p in enumerate(pages)], "image_id long, height int, width int, data binary")
     found = slicing.units(df).orderBy("image_id", "unit").collect()
     for i, n in enumerate((2, 4)):
@@ -311,7 +312,7 @@ def test_data_uri(spark):
 
 
 def test_image_source_round_trip(spark, tmp_path):
-    page = slicing.grid_picture(2)
+    page = drawings.grid_picture(2)
     (tmp_path / "a.png").write_bytes(images.png(page))
     got = slicing.from_image_source(images.staged(spark, str(tmp_path)).select("image")).first()
     assert np.array_equal(np.frombuffer(got.data, np.uint8).reshape(page.shape), page)
