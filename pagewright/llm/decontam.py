@@ -99,35 +99,61 @@ class ItemIndex:
                 found.update((doc, int(m)) for m in members[lo[k] : hi[k]])
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.8) -> DataFrame:
-    """``doc_id, item_id, n_shared, n_item, containment`` of every document that holds at least ``share`` of an item's
-    distinct shingles."""
-    spark = docs.sparkSession
+def _slices(items: DataFrame, item_col: str, item_text_col: str) -> Iterator[ItemIndex]:
+    """Indexes of the items, ``SLICE_BYTES`` of text each."""
     wanted = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-size // SLICE_BYTES))
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` long, n_shared long, n_item long, containment double"
-    out = []
     for k in range(slices):
         part = wanted if slices == 1 else wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == k)
-        sent = spark.sparkContext.broadcast(ItemIndex([(r.item, r.text) for r in part.collect()]))
+        yield ItemIndex([(r.item, r.text) for r in part.collect()])
+
+
+def _verified(index: ItemIndex, many: list[str | None], share: float) -> list[tuple[int, int, int, int]]:
+    """(document, item, shared, size) of the items that stand in the texts, by exact containment."""
+    shingles, out = [shingles_of(t) for t in many], []
+    for doc, item in sorted(index.candidates(shingles)):
+        need = index.sets[item]
+        n = int(np.isin(need, shingles[doc]).sum())
+        if n >= share * len(need) - 1e-9:
+            out.append((doc, index.ids[item], n, len(need)))
+    return out
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.8) -> DataFrame:
+    """``doc_id, item_id, n_shared, n_item, containment`` of every document that holds at least ``share`` of an item's
+    distinct shingles."""
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` long, n_shared long, n_item long, containment double"
+    out = []
+    for index in _slices(items, item_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
             for batch in batches:
                 for start in range(0, batch.num_rows, 500):
-                    ids = batch.column(0).slice(start, 500)
-                    shingles = [shingles_of(t) for t in texts(batch.column(1).slice(start, 500))]
-                    rows, at = [], []
-                    for doc, item in sorted(index.candidates(shingles)):
-                        need = index.sets[item]
-                        n = int(np.isin(need, shingles[doc]).sum())
-                        if n >= share * len(need) - 1e-9:
-                            rows.append((index.ids[item], n, len(need), n / len(need)))
-                            at.append(doc)
-                    columns = list(zip(*rows, strict=True)) or [[]] * 4
+                    found = _verified(sent.value, texts(batch.column(1).slice(start, 500)), share)
+                    columns = list(zip(*((item, n, size, n / size) for _, item, n, size in found), strict=True)) or [[]] * 4
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[id_col, item_col, "n_shared", "n_item", "containment"])
+                    ids = batch.column(0).slice(start, 500).take(pa.array([x[0] for x in found], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[id_col, item_col, "n_shared", "n_item", "containment"])
 
         out.append(docs.select(id_col, text_col).mapInArrow(run, schema))
     return reduce(DataFrame.union, out)
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that hold no item.  Each is judged where it is read and moves nowhere; slices of the items follow
+    each other in one scan."""
+    at = docs.columns.index(text_col)
+    for index in _slices(items, item_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    held = {x[0] for x in _verified(sent.value, texts(part.column(at)), share)}
+                    yield part.filter(pa.array([i not in held for i in range(part.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

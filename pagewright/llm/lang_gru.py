@@ -209,3 +209,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     kind = docs.schema[id_col].dataType.simpleString()
     tagged = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
     return tagged.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score")
+
+
+def known_language(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Tagger | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with that score at least; each is judged where it is read and moves
+    nowhere."""
+    model = model or fit(sample(docs, id_col, text_col, lang_col))
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                label, score = predict(sent.value, texts(part.column(at)))
+                yield part.filter(pa.array([x != "und" and s >= min_score for x, s in zip(label, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -24,7 +24,7 @@ result; other columns are not read.
 
 Plan: no bucket, class, cluster or component is gathered in one task: minima and counts are pre-aggregated, joins are
 plain equi-joins that adaptive execution splits, blocks are bounded.  Full sets are written once for the classes that
-need them and move by pair in step 1 and by block of a cluster in step 3.  The work of step 3 on a cluster is its members
+need them (a filter of their ids is tested in the scan, so no other text moves) and move by pair in step 1 and by block of a cluster in step 3.  The work of step 3 on a cluster is its members
 outside the largest component times all its members.  Steps' tables are written below ``spark.checkpoint.dir`` and
 deleted once read, but for those that the result itself reads.
 """
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.lineage import Scratch
-from pagewright.llm.common import mix64, shingles_of, texts
+from pagewright.llm.common import IdFilter, mix64, shingles_of, texts
 
 COORDS = 128
 ROWS = 5
@@ -48,7 +48,6 @@ BANDS = COORDS // ROWS
 SIGMAS = 4.6  # deviations that the sketch test lies below the mean of a pair right at the limit
 BLOCK = 256
 SALTS = 64  # parts that the members of one star are dealt to
-SENT_IDS = 250_000  # ids that may be sent to the tasks, about 20 MB
 _ROUND_SALTS = mix64(np.arange(1, 2 * COORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -101,12 +100,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``id, component`` of the ids in ``edges (a, b)``: each round maps an id to its least neighbour and contracts."""
+    """``id, component`` of the ids in ``edges (a, b)``: each round maps an id to its least neighbour and contracts.  Least is
+    meant by a hash of the id and the round, so that a chain in the order of its ids doesn't take a round for each."""
     rounds = []
     edges = scratch.keep(edges.where("a <> b").distinct())
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = scratch.keep(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("id"), F.least("a", "p").alias("parent")))
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(len(rounds)))  # noqa: B023, E731
+        first = F.least(F.struct(rank("a").alias("r"), F.col("a").alias("x")), F.struct(rank("p").alias("r"), F.col("p").alias("x")))["x"]
+        parent = scratch.keep(both.groupBy("a").agg(F.min_by("b", rank("b")).alias("p")).select(F.col("a").alias("id"), first.alias("parent")))
         rounds.append(parent)
         left = parent.select(F.col("id").alias("a"), F.col("parent").alias("pa"))
         right = parent.select(F.col("id").alias("b"), F.col("parent").alias("pb"))
@@ -279,19 +281,20 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """``cls, found`` of the classes ``needed (cls, id, set_key)``, from the texts of ``docs (id, text)``.  Up to ``SENT_IDS``
-    ids are sent to the texts; beyond, both are shuffled by id."""
+    """``cls, found`` of the classes ``needed (cls, id, set_key)``, a written table, from the texts of ``docs (id, text)``.  A
+    filter of the ids is tested in the scan, so sets are made and moved of the rows that it lets through alone."""
+    sent = docs.sparkSession.sparkContext.broadcast(IdFilter.of(needed.select("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingles_of(text)).tobytes() for text in texts(batch.column(2))]
-            own = pa.array([xxhash.xxh3_128_digest(f) == key for f, key in zip(found, texts(batch.column(1)), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["cls", "found"]).filter(own)
+            batch = batch.filter(pa.array(sent.value.may_hold(batch.column(0))))
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                found = [np.unique(shingles_of(text)).tobytes() for text in texts(part.column(1))]
+                keys = pa.array(map(xxhash.xxh3_128_digest, found), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(found, pa.binary())], names=["id", "set_key", "found"])
 
-    if needed.count() <= SENT_IDS:
-        needed = F.broadcast(needed)
-    rows = docs.join(needed, "id").select("cls", "set_key", "text").mapInArrow(run, "cls long, found binary")
-    return rows.groupBy("cls").agg(F.first("found").alias("found"))
+    rows = docs.mapInArrow(run, "id long, set_key binary, found binary")
+    return rows.join(needed.hint("shuffle_hash"), ["id", "set_key"]).select("cls", "found").groupBy("cls").agg(F.first("found").alias("found"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -321,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = same.join(same.groupBy("id").agg(F.min("cls").alias("a")), "id").where("a <> cls").select("a", F.col("cls").alias("b"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        needed = keep(coords.select("cls", "id", "set_key").join(ids, "cls", "left_semi"))  # its size decides how texts meet it
+        needed = keep(coords.select("cls", "id", "set_key").join(ids, "cls", "left_semi"))
         return keep(_sets(texts_of, needed))
 
     paired = keep(star.select(F.col("a").alias("cls")).union(star.select("b")).distinct())
