@@ -4,8 +4,8 @@ Quality rules remove lines that at least ``line_rules.LINE_DOCS`` distinct docum
 recognisable language; one document of each near-duplicate group stays; documents that hold a benchmark item go; what
 is left is encoded.  All stages but the last return the columns of ``documents``.
 
-Defined cases: a null text fails the rules; rows with one id are one document to the stages that reject by id (language,
-near-duplicates, contamination), and a row without an id cannot be rejected by them; columns beyond those of
+Defined cases: a null text fails the rules; rows with one id are one document to the near-duplicates' stage, which
+rejects by id, and a row without an id cannot be rejected by it; columns beyond those of
 ``documents`` are handed on up to the last stage; empty tables give empty results.
 """
 
@@ -16,8 +16,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.lineage import Scratch, shared_folder
+from pagewright.lineage import Scratch, remove, shared_folder
 from pagewright.llm import byte_bpe, decontam, lang_gru, line_rules, near_dup
+from pagewright.llm.common import without_ids
 
 MIN_LANGUAGE_SCORE = 0.5
 NEAR_PERCENT = 80  # of the union of two documents' shingles of five words
@@ -31,24 +32,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.select(*(values.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
-def _only(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``rejected``, a written table: by its size the optimizer sends it or joins by shuffle."""
-    ids = Scratch(docs.sparkSession).keep(rejected.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = lang_gru.identify(docs)
-    return _only(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_LANGUAGE_SCORE)))
+    return lang_gru.known_language(docs, MIN_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept"))
+    judged = near_dup.near_duplicates(docs, percent=NEAR_PERCENT)
+    return without_ids(docs, Scratch(spark).keep(judged.where("not kept").select("doc_id").distinct()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _only(docs, decontam.contamination(docs, items).select("doc_id").distinct())
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +60,14 @@ ORACLE_SQL = None  # the language model is not expressible in SQL; tests hold ea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the stages' tables lie below ``spark.checkpoint.dir``."""
-    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; the stages' tables lie below ``spark.checkpoint.dir``, and each is deleted once the next
+    one is written."""
+    top, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{top}/{name}"
     return docs
