@@ -72,8 +72,8 @@ def texts(column) -> list[str | None]:
 
 class IdFilter:
     """A Bloom filter of ids of one size, 4 MB, whatever their number: a row that it passes over surely isn't meant, so
-    only rows that it lets through have to move.  Half a million ids let through one other id in ten million, four million one
-    in 50, and the share grows smoothly from there; nothing depends on it but what is moved."""
+    only rows that it lets through have to move.  Half a million ids let through one other id in 90,000, four million one in
+    50, and the share grows smoothly from there; nothing depends on it but what is moved."""
 
     CHUNKS, BITS, HASHES = 64, 1 << 19, 4
 
