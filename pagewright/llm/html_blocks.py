@@ -5,11 +5,15 @@ forms, scripts, styles and reader comments count as empty, and link text adds no
 summed over sliding windows of ``WINDOW`` lines; a region starts where the sum surges above ``SURGE`` and ends at the
 dive, where a whole window is empty.  All regions are kept.
 
-Articles that a page marks weigh its lines, if the distribution bears them out: if their own lines surge, or are half of
-the page's text, a line inside counts ``SURGE`` more, so that it surges by itself, and a line outside counts nothing.
-Otherwise (a marked teaser, say) the marks are passed over.  Without marks, text that lies in the same element as the
-regions, or in an element between them and the body, is kept with them, however short and far off it is.  If no window
-of a page surges, every line with text counts.
+A name (class, id or role) stands for one of these only if all of its words do, or say nothing but place and shape
+(``site-header``, ``ad-box-2``; not ``share-price`` or ``menu-of-the-day``).  Paragraphs, headings and quotations of a
+marked article are never left out by name unless it is an advert's.
+
+Where a page marks articles, lines outside them count nothing, if the distribution bears the marks out: if their own lines
+surge, or are half of the page's text.  Otherwise (a marked teaser, say) the marks are passed over.  A marked article into
+which a region reaches is kept whole, others go.  Without marks, text that lies in the same element as the regions, or in an
+element between them and the body, is kept with them, however short and far off it is.  If no window of a page surges,
+every line with text counts.
 
 Defined cases: null and empty html give ''; cut-off pages, unclosed elements and pages without a text line are read as
 far as they go; pages of any length are read whole; repeated rows give repeated results; an empty table gives an empty
@@ -48,6 +52,14 @@ _NOISE_WORDS = frozenset(
     "comment comments commentlist disqus replies reply share sharing social related recommended breadcrumb breadcrumbs pagination pager "
     "toolbar widget copyright complementary contentinfo alert skip".split()
 )
+_PLAIN_WORDS = frozenset(
+    "site page global main primary secondary top bottom left right upper lower fixed sticky mobile desktop inner outer list box bar block "
+    "container wrap wrapper section area zone slot unit row col column group panel content body text title items item links link buttons "
+    "button icons icon input field user reader readers google posts post articles stories story thread".split()
+)
+_ADVERT_WORDS = frozenset("ad ads adv advert adverts advertisement adbox adsense sponsor sponsored promo promotion".split())
+_ROOT_WORDS = frozenset("comment comments ad ads advert advertisement sponsored related reply".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre q figure figcaption dl dt dd".split())
 _ROOTS = frozenset("html body article main".split())
 
 
@@ -58,15 +70,22 @@ def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
         return False
     words: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        low = value.lower()
+        if name == "hidden" or name == "aria-hidden" and low == "true" or name == "style" and re.search(r"display\s*:\s*none", low):
             return True
         if name in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z0-9]+", value))
-    if tag in _ROOTS or inside and "header" in words:
-        words -= {"header", "sidebar", "nav", "menu", "widget"}
-        return bool(words & {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "related", "reply"})
-    return bool(words & _NOISE_WORDS)
+            for one in value.split():
+                found = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", one).lower()))
+                if found <= _NOISE_WORDS | _PLAIN_WORDS:
+                    words |= found & _NOISE_WORDS
+    if tag in _ROOTS:
+        return bool(words & _ROOT_WORDS)
+    if inside:
+        words.discard("header")
+        if tag in _PROSE:
+            words &= _ADVERT_WORDS
+    return bool(words)
 
 
 class Line(NamedTuple):
@@ -173,7 +192,7 @@ def weighed(lines: list[Line]) -> tuple[list[int], frozenset[int]]:
     inside = [n if x.element in marked else 0 for x, n in zip(lines, plain, strict=True)]
     if not marked or not (regions(inside, SURGE) or 2 * sum(inside) >= sum(plain)):
         return plain, frozenset()
-    return [n + SURGE + 1 if x.element in marked and not x.noise else 0 for x, n in zip(lines, plain, strict=True)], marked
+    return inside, marked
 
 
 def main_text(page: str | None) -> str:
@@ -181,7 +200,10 @@ def main_text(page: str | None) -> str:
     lengths, marked = weighed(lines)
     found = regions(lengths, SURGE) or regions([0 if x.noise else len(x.text) for x in lines], 0)
     keep = {i for first, dive in found for i in range(first, dive) if not lines[i].noise and (not marked or lines[i].element in marked)}
-    if keep and not marked:
+    if marked:
+        whole = {lines[i].element for i in keep}
+        keep = {i for i, x in enumerate(lines) if x.element in whole and not x.noise}
+    elif keep:
         paths = [lines[i].path for i in keep]
         shared = next((k for k in range(min(map(len, paths)), 0, -1) if len({x[:k] for x in paths}) == 1), 0)
         near, owners = paths[0][:shared], set(paths)
