@@ -13,7 +13,7 @@ own words in.)
 
 Two full passes gather from the corpus: exact counts of the distinct words, with the slots' profiles of neighbours, and
 the network itself.  The network starts as the table of class shares, so it can only gain from contexts; every task
-trains a copy in numpy (Adagrad) over all its documents, on every ``STRIDE``-th position, and the copies are averaged by
+trains a copy in numpy (Adagrad) over all its documents, on every position, and the copies are averaged by
 their numbers of words.  The average depends a little on how documents fall into tasks.  The counts are a table that
 grows with the corpus and stays distributed: its most frequent words, at most ``sent_words``, are sent to the tasks, all
 others are joined to the documents' words.  Those are all rarer than the words sent, so no key of the join is hot.  Of
@@ -43,7 +43,6 @@ SENT_WORDS = 1 << 19
 SIDE = 2
 HIDDEN = 16
 BATCH = 2048
-STRIDE = 2
 RATE = 0.2
 ALPHA = 0.1
 LEAST = 20  # occurrences of a word that the network knows
@@ -265,7 +264,7 @@ def fit(docs: DataFrame, words: Words, text_col: str = "text") -> np.ndarray:
                 coded = [codes(lead, classes, hash_words(words_of(t))) for t in texts(batch.column(0).slice(begin, 200))]
                 if any(len(c[0]) for c in coded):
                     wanted = np.concatenate([c[0] for c in coded])
-                    train(own, squares, windows([c[1] for c in coded])[::STRIDE], wanted[::STRIDE])
+                    train(own, squares, windows([c[1] for c in coded]), wanted)
                     n += len(wanted)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([(own.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["total", "n"])
