@@ -38,8 +38,8 @@ def query(sql: str | None = None):
 
 def _event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    last = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return events.withColumn("gap", F.timestamp_diff("SECOND", last, F.col("ts")))
+    found = breaks.previous(events, ["user_id"], ["ts", "event_id"], "ts", "last", bucket=F.date_trunc("day", "ts"))
+    return found.withColumn("gap", F.timestamp_diff("SECOND", "last", "ts")).drop("last")
 
 
 _GAPS = """g AS (SELECT user_id, event_id, ts, CAST(floor(date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) / 1e6) AS BIGINT) AS gap FROM events),
@@ -52,14 +52,14 @@ u AS (SELECT user_id, CASE WHEN ratio >= 2 THEN lo END AS threshold, coalesce(ra
 FROM g JOIN u USING (user_id) GROUP BY user_id, threshold, ratio""")
 def natural_break_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = _event_gaps(spark, sf_dir)
-    found = breaks.natural_breaks(gaps, ["user_id"])
+    found = breaks.natural_breaks(gaps, ["user_id"], bucket=breaks.span_of(F.col("gap")))
     counted = gaps.select("user_id", "gap").join(found, "user_id", "left").groupBy("user_id", "threshold", F.coalesce("ratio", F.lit(1.0)).alias("ratio"))
     return counted.agg((F.lit(1) + F.count_if(F.col("gap") > F.col("threshold"))).alias("n_groups")).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(f"""WITH {_GAPS} SELECT user_id, event_id, sum(CASE WHEN gap > threshold THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS group_no FROM g JOIN u USING (user_id)""")
 def break_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = breaks.group_by_breaks(_event_gaps(spark, sf_dir), ["user_id"], ["ts", "event_id"], bucket=F.date_trunc("day", "ts"))
+    grouped = breaks.group_by_breaks(_event_gaps(spark, sf_dir), ["user_id"], ["ts", "event_id"], bucket=F.date_trunc("day", "ts"), gap_bucket=breaks.span_of(F.col("gap")))
     return grouped.select("user_id", "event_id", "group_no")
 
 
@@ -68,7 +68,7 @@ def break_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROUP BY user_id, event_type, k""")
 def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return breaks.value_runs(events, ["user_id"], ["event_id"], "event_type", "event_id")
+    return breaks.value_runs(events, ["user_id"], ["event_id"], "event_type", "event_id", bucket=breaks.span_of(F.col("event_id")))
 
 
 @query("""SELECT conv_id, turn, coalesce(turn < first, true) AS is_ad FROM conversations LEFT JOIN (SELECT conv_id, min(turn) AS first FROM conversations WHERE role = 'assistant' GROUP BY conv_id) USING (conv_id)""")
