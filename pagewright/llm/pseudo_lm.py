@@ -96,12 +96,12 @@ def forward(flat: np.ndarray, window: np.ndarray) -> tuple[list[np.ndarray], np.
         a += found[k] * places[k]
     a += bias
     h = np.tanh(a, out=a)
-    p = h @ out
-    p += out_bias
-    p -= p.max(1, keepdims=True)
+    p = out.T @ h.T  # a row for each class: sums and maxima over rows are vectorised
+    p += out_bias[:, None]
+    p -= p.max(0)
     np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
-    return found, h, p
+    p /= p.sum(0)
+    return found, h, p.T
 
 
 def gradients(flat: np.ndarray, window: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -114,21 +114,22 @@ def gradients(flat: np.ndarray, window: np.ndarray, wanted: np.ndarray) -> np.nd
     grad = np.empty_like(flat)
     g_vectors, g_places, g_bias, g_out, g_out_bias = _parts(grad)
     at = window.T.ravel()
-    back = (da[None] * places[:, None]).reshape(-1, HIDDEN).T
+    da_columns, place_columns = da.T.astype(np.float64), places.T.astype(np.float64)  # what bincount adds up in
     for j in range(HIDDEN):
-        g_vectors[:, j] = np.bincount(at, back[j], SLOTS + 2)
+        g_vectors[:, j] = np.bincount(at, np.multiply.outer(place_columns[j], da_columns[j]).ravel(), SLOTS + 2)
     for k in range(2 * SIDE):
         g_places[k] = np.einsum("nh,nh->h", da, found[k])
-    g_bias[:], g_out[:], g_out_bias[:] = da.sum(0), h.T @ d, d.sum(0)
+    g_bias[:], g_out[:], g_out_bias[:] = np.ones(len(da), da.dtype) @ da, h.T @ d, d.sum(0)
     return grad
 
 
 def train(flat: np.ndarray, squares: np.ndarray, window: np.ndarray, wanted: np.ndarray, rate: float = RATE) -> None:
     """One pass of Adagrad steps over the words, in place."""
+    held = np.empty_like(flat)
     for i in range(0, len(wanted), BATCH):
         g = gradients(flat, window[i : i + BATCH], wanted[i : i + BATCH])
-        squares += g * g
-        g /= np.sqrt(squares)
+        squares += np.multiply(g, g, out=held)
+        g /= np.sqrt(squares, out=held)
         g *= rate
         flat -= g
 
