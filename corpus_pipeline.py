@@ -1,6 +1,7 @@
 """A corpus in five stages, each written as Parquet and read again as the next one's documents.
 
-Quality rules remove lines that at least ``line_rules.LINE_DOCS`` distinct documents hold and reject failing documents; language ID rejects documents without a
+Quality rules remove lines that at least ``line_rules.LINE_DOCS`` distinct documents hold, near copies counted once, and
+reject failing documents; language ID rejects documents without a
 recognisable language; one document of each near-duplicate group stays; documents that hold a benchmark item go; what
 is left is encoded.  All stages but the last return the columns of ``documents``.
 
@@ -27,7 +28,7 @@ NEAR_PERCENT = 80  # of the union of two documents' shingles of five words
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # other columns travel inside a struct, so their names can't meet those of the rule counts
     packed = docs.select("text", "source", F.struct(*(c for c in docs.columns if c != "text")).alias("row"))
-    judged = line_rules.apply_line_rules(packed, min_docs=line_rules.LINE_DOCS, share=0.0, all_docs=line_rules.LINE_DOCS).where("kept")
+    judged = line_rules.apply_line_rules(packed, **line_rules.LIMITS).where("kept")
     values = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_removed_lines") > 0, F.length("clean_text").cast("long")).otherwise(F.col("row.n_chars"))}
     return judged.select(*(values.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 

@@ -51,7 +51,7 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    judged = line_rules.apply_line_rules(docs, min_docs=line_rules.LINE_DOCS, share=0.0, all_docs=line_rules.LINE_DOCS, clean_col=None)
+    judged = line_rules.apply_line_rules(docs, **line_rules.LIMITS, clean_col=None)
     return judged.drop("text", "source")
 
 
@@ -109,13 +109,28 @@ m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE 5 * n_shared >= 4 * n_item"""
 
 OP9_SQL = rf"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 words AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS w FROM docs),
 lines AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs),
 norm AS (SELECT r, host, text, line, i, regexp_extract_all({_LOWER.replace("text", "line")}, '{_WORD}') AS w FROM lines WHERE regexp_matches(line, '{_WORD}')),
-freq AS (
+suspect AS MATERIALIZED (
   SELECT host, k FROM (SELECT host, array_to_string(w, ' ') AS k, count(DISTINCT text) AS n FROM norm GROUP BY ALL) WHERE n >= 8
   UNION SELECT h.host, k FROM (SELECT array_to_string(w, ' ') AS k, count(DISTINCT text) AS n FROM norm GROUP BY ALL), (SELECT DISTINCT host FROM docs) h WHERE n >= 8),
+covered AS MATERIALIZED (
+  SELECT text, row_number() OVER () AS t FROM (
+    SELECT DISTINCT norm.text FROM norm JOIN words USING (r) JOIN suspect ON norm.host = suspect.host AND array_to_string(norm.w, ' ') = k
+    GROUP BY r, norm.text, words.w HAVING 4 * sum(len(norm.w)) >= len(words.w))),
+sh AS MATERIALIZED ({_shingled("covered", "t")}),
+size AS (SELECT t, count(*) AS n FROM sh GROUP BY t),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.t AS a, y.t AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.t <> y.t GROUP BY 1, 2)
+  JOIN size p ON p.t = a JOIN size q ON q.t = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(t, g) AS (SELECT t, t FROM covered UNION SELECT l.b, reach.g FROM reach JOIN links l ON l.a = reach.t),
+voter AS (SELECT text, min(g)::VARCHAR AS vote FROM reach JOIN covered USING (t) GROUP BY text),
+votes AS MATERIALIZED (SELECT host, array_to_string(w, ' ') AS k, coalesce(vote, text || chr(10) || 'by text') AS vote FROM norm LEFT JOIN voter USING (text)),
+freq AS (
+  SELECT host, k FROM (SELECT host, k, count(DISTINCT vote) AS n FROM votes GROUP BY ALL) WHERE n >= 8
+  UNION SELECT h.host, k FROM (SELECT k, count(DISTINCT vote) AS n FROM votes GROUP BY ALL), (SELECT DISTINCT host FROM docs) h WHERE n >= 8),
 gone AS (SELECT r, count(*) AS n_removed_lines, sum(len(w)) AS n_removed_words FROM norm JOIN freq ON norm.host = freq.host AND array_to_string(w, ' ') = k GROUP BY r),
 dup AS (SELECT r, sum(n - 1) AS n_dup_lines FROM (SELECT r, line, count(*) AS n FROM norm GROUP BY r, line) GROUP BY r),
 win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM words)),

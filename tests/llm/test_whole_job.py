@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pagewright.llm import line_rules, near_dup, pseudo_lm, quotes, site_quality, toxic_crf
 from pagewright.llm.common import hash_words, words_of
+from pagewright.llm.queries import OP9_SQL
 from tests.conftest import DATA
 
 
@@ -190,3 +191,82 @@ def test_spans_behind_letters_that_grow_in_lower_case(spark):
         row = {x.doc_id: x for x in toxic_crf.tag(docs, crf).join(docs, "doc_id").collect()}[1]
         assert row.predicted == 1 and "IDIOT" in row.text[row.spans[0].start : row.spans[-1].end].split()
     assert sum(len(t.encode()) for t, _ in toxic_crf.labelled(docs, labels, fit_bytes=4000)) <= 4000
+
+
+def _near_copies(seed: int):
+    """Documents of five groups of near copies over three hosts, some of one page line in common, and loners with short texts."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for g, n in enumerate((7, 9, 14, 30, 60)):
+        base = [[word() for _ in range(12)] for _ in range(10)]
+        for _ in range(n):
+            lines = [list(x) for x in base]
+            lines[r.randrange(10)][r.randrange(12)] = word()  # 6 % of a text's shingles: two copies are 88 % alike or more
+            rows.append(("\n".join(" ".join(x) for x in lines) + ("\nread all of this on the page" if g % 2 else ""), f"h{r.randrange(3)}"))
+    rows += [(" ".join(word() for _ in range(r.randrange(9, 40))) + "\nshort and common line here", f"h{r.randrange(3)}") for _ in range(20)]
+    rows += [rows[0]] * 3 + [(None, "h0"), ("", None), ("short and common line here", None)]
+    r.shuffle(rows)
+    return [(i, *row) for i, row in enumerate(rows)]
+
+
+def _plain_votes(rows, percent):
+    """Removed lines of each document, by comparing all pairs of covered texts."""
+    norm = lambda line: " ".join(line.lower().split())
+    lines = lambda t: [norm(x) for x in (t or "").split("\n")]
+
+    def above(vote):
+        held = {}
+        for _, text, host in rows:
+            for k in set(lines(text)) - {""}:
+                held.setdefault((host or "", k), set()).add(vote(text))
+                held.setdefault((None, k), set()).add(vote(text))
+        return {key for key, votes in held.items() if len(votes) >= 8}
+
+    gone = lambda found, host, text: [k for k in lines(text) if k and ((host or "", k) in found or (None, k) in found)]
+    first = above(lambda t: t)
+    covered = {t for _, t, h in rows if t and 4 * sum(len(k.split()) for k in gone(first, h, t)) >= len(t.split()) and gone(first, h, t)}
+    sets = {t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for t in covered for w in [t.lower().split()]}
+    group = {t: t for t in covered}
+    for a in covered:
+        for b in covered:
+            if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                old = group[a]
+                for t in covered:
+                    if group[t] == old:
+                        group[t] = group[b]
+    last = above(lambda t: ("group", group[t]) if t in group else t)
+    return first, {i: len(gone(last, h, t)) for i, t, h in rows}
+
+
+def test_near_copies_count_once_for_a_line(spark):
+    """Groups of near copies stay with all their lines, lines of unlike documents go; keys sent and joined agree with all pairs."""
+    rows = _near_copies(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, plain = _plain_votes(rows, line_rules.GROUP_PERCENT)
+    for n in (500_000, -1):
+        found = {r.doc_id: r for r in line_rules.apply_line_rules(docs, **line_rules.LIMITS, broadcast_lines=n).collect()}
+        assert {i: r.n_removed_lines for i, r in found.items()} == plain
+        assert all(found[i].kept for i, t, _ in rows if t and t.count("\n") >= 9)
+    assert len(first) > 40 and 0 < sum(map(bool, plain.values())) < 40
+    alone = {r.doc_id: r.kept for r in line_rules.apply_line_rules(docs, share=0.0, all_docs=8).collect()}
+    assert sum(not alone[i] for i, t, _ in rows if t and t.count("\n") >= 9) > 100
+
+
+def test_near_copies_in_empty_tables_and_without_frequent_lines(spark):
+    schema = "doc_id long, text string, source string, text_key string"
+    for rows in ([], [(1, None, None, "x"), (None, "one two three four five six seven eight nine ten", "h", "y")]):
+        found = line_rules.apply_line_rules(spark.createDataFrame(rows, schema), **line_rules.LIMITS).collect()
+        assert [(r.n_removed_lines, r.text_key) for r in sorted(found, key=lambda r: r.text_key)] == [(0, "x"), (0, "y")][: len(rows)]
+
+
+def test_rules_agree_with_their_sql_on_near_copies(spark):
+    import duckdb
+
+    rows = _near_copies(8)
+    found = line_rules.apply_line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), **line_rules.LIMITS, clean_col=None).drop("text", "source")
+    c = duckdb.connect()
+    c.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    c.executemany("insert into documents values (?, ?, ?)", rows)
+    right = c.execute(f"select {', '.join(found.columns)} from ({OP9_SQL})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(right)
