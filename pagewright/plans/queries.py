@@ -16,7 +16,7 @@ from pagewright.functions import text as t
 from pagewright.lineage import checkpointed
 from pagewright.operators import breaks, diff, gate, match, products, refine, render, whole
 from pagewright.plans import convert
-from pagewright.plans.tables import CAPTION, MEASURES, NAME, OPTION, TYPED, table
+from pagewright.plans.tables import CAPTION, MEASURES, NAME, OPTION, TYPED, spread, table
 from pagewright.plans import drawings
 from pagewright.slicer import slicing
 from pagewright.sources import html as html_source
@@ -391,7 +391,7 @@ def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts_as_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = lambda i, cap, tag: f"named_struct('url', concat('u{i}-', cast(p_partkey as string), '.png'), 'caption', {cap}, 'caption_crop', '', 'option_tag', {tag}, 'width', p_size * {i})"
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr(
         "cast(p_partkey as string) as code", f"{NAME} as name", "p_brand as brand", "p_type as category", f"concat(p_name, '. ', {CAPTION}) as lead",
         "array(named_struct('k', '무게', 'v', cast(p_size as string), 'u', 'g')) as specs", "array(named_struct('text', p_name, 'strong', true), named_struct('text', concat('Made by ', p_brand, ' & co'), 'strong', false)) as intro",
         "array(named_struct('url', 'ad1.png', 'width', p_size * 9), named_struct('url', 'ad2.png', 'width', p_size)) as ads",

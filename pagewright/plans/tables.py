@@ -9,6 +9,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, each: int = 2500) -> DataFrame:
+    """``rows`` dealt by a key over tasks of about ``each``.  A table of few bytes comes in few splits however many rows it
+    has; where much is made of each row, these would be few long tasks."""
+    n = rows.count()
+    return rows.repartition(max(1, min(n, rows.sparkSession.sparkContext.defaultParallelism), n // each), key)
+
+
 #: Valid in both engines: a product's caption, name, option cell, typed specification and description.
 CAPTION = "concat('[', cast(p_size % 7 + 1 as varchar(10)), '. ', p_brand, '] ', p_name, ' is made of ', lower(p_type), ' parts. It weighs ', cast(p_size * 7 as varchar(10)), 'g in its box and lasts')"
 NAME = "concat('[', p_type, '][', p_brand, '] ', p_name, case when p_size % 3 = 0 then concat('(', upper(p_name), ' X)') else '' end, case when p_size % 2 = 0 then ' - Maker (AB-12)' else ' (AB-12)(NPR)' end)"
