@@ -353,7 +353,7 @@ _PIECES = "concat('<div>', p_brand, ' intro<br>for ', p_name, '</div><p>배송 n
 
 @query("""SELECT p_partkey, 'https://shop.example/files/goodsm/' || p_partkey || '.jpg|https://shop.example/n/c.png' AS urls, p_type || ' one|' || p_name || ' two' AS captions, 1 AS n_dropped, 1 AS n_broken, p_brand || ' intro' || chr(10) || 'for ' || p_name AS lead FROM part""")
 def product_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "part").select("p_partkey", F.expr(_PIECES).alias("html"))
+    pages = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.expr(_PIECES).alias("html"))
     found = html_source.bodies(pages, base="https://shop.example/")
     join = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), "|")
     return found.select("p_partkey", join("pieces", "url").alias("urls"), join("pieces", "caption").alias("captions"), F.size("dropped").alias("n_dropped"), F.size("broken").alias("n_broken"), join("lead_blocks", "text").alias("lead"))

@@ -21,7 +21,7 @@ def test_tasks_grow_with_rows(spark):
     assert spread(rows.limit(0), "k").count() == 0 and sorted(r.k for r in spread(rows, "k", 100).collect()) == list(range(1000))
 
 
-@pytest.mark.parametrize("name", ["page_parts", "rendered_pages"])
+@pytest.mark.parametrize("name", ["page_parts", "rendered_pages", "product_bodies"])
 def test_nothing_is_made_of_rows_before_they_are_dealt(spark, name):
     plan = plan_of(q.queries()[name](spark, DATA))
     at = next(i for i, line in enumerate(plan) if line.startswith("RepartitionByExpression"))
