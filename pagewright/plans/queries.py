@@ -414,7 +414,7 @@ CASE WHEN p_size % 4 = 0 THEN 'NO_BODY_IMAGE' WHEN p_size % 4 = 1 THEN 'PANEL_GE
 def converted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch over every part: adverts before the first caption, units with tags, and the gate's reasons."""
     body = "case when p_size % 4 = 0 then concat('<p>', p_name, ' is typed here</p>') else concat('<p>', p_name, ' is typed here</p><div><img src=\"/ad.png\"></div><ul><li><img src=\"/u1.png\">[1. ', p_brand, '] a caption.</li><li><img src=\"/u2.png\">more text.</li>', case when p_size % 4 = 1 then '<li><img src=\"/lost.png\"></li>' else '' end, '</ul>') end"
-    rows = table(spark, sf_dir, "part").selectExpr("cast(p_partkey as string) as code", "p_name as name", "p_brand as brand", "p_type as category", f"{body} as body", "array(named_struct('name', 'kind', 'values', array(p_brand, 'other'), 'numbers', array('7', ''))) as options")
+    rows = spread(table(spark, sf_dir, "part"), "p_partkey").selectExpr("cast(p_partkey as string) as code", "p_name as name", "p_brand as brand", "p_type as category", f"{body} as body", "array(named_struct('name', 'kind', 'values', array(p_brand, 'other'), 'numbers', array('7', ''))) as options")
     sizes = spark.createDataFrame([(f"https://shop.example/{n}.png", 300, h) for n, h in (("ad", 100), ("u1", 200), ("u2", 10))], "url string, width int, height int")
     made = convert.convert(rows, sizes, "https://shop.example/")
     return made.select("code", F.size("ads").alias("n_ads"), F.size("units").alias("n_units"), F.array_join(F.filter(F.transform("units", lambda u: u["option_tag"]), lambda x: x != ""), ",").alias("tags"), F.array_join("verdict.reasons", ",").alias("reasons"), F.array_join(F.transform("specs", lambda s: F.concat(s["k"], F.lit("="), s["v"], s["u"])), " ").alias("specs"), "lead")
