@@ -383,7 +383,7 @@ def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows = [(r["p_partkey"], r["p_name"], r["p_brand"], f"size=1. {r['p_type']},2) XL", f"about {r['p_name']}") for r in batch.slice(start, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([f"book-{rows[0][0]}"]), pa.array([_workbook(rows)], pa.binary())], names=["path", "content"])
 
-    books = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type").mapInArrow(write, "path string, content binary")
+    books = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", "p_name", "p_brand", "p_type").mapInArrow(write, "path string, content binary")
     axis = F.get("options", F.lit(0))
     found = xlsx.products(xlsx.cells(books))
     return found.select("code", "name", "brand", F.concat(axis["name"], F.lit("="), F.array_join(axis["values"], "|")).alias("options"), "body")

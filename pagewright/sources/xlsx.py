@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import norm_header, parse_option, strip
+from pagewright.functions.text import bind, norm_header, parse_option, strip
 from pagewright.lineage import checkpointed
 
 # The header texts by which a field is found, the earlier first.
@@ -31,6 +31,7 @@ FIELDS = {
 OPTIONS = ["옵션1", "옵션2", "옵션3", "옵션"]
 REQUIRED = ["code", "name", "body"]
 HEADER_ROWS = 10
+SENT = 200_000  # columns of workbooks that are sent to all tasks; more are joined
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -112,15 +113,17 @@ def missing_fields(found: DataFrame, columns: DataFrame) -> DataFrame:
 def products(found: DataFrame) -> DataFrame:
     """A row for each product with a code or a name: ``path, row``, the fields as strings and ``options``."""
     found = checkpointed(found)  # read several times below
-    columns = header_columns(found)
+    columns = checkpointed(header_columns(found))
     heads = columns.select("path", "header_row").distinct()
-    option_heads = found.join(heads, "path").where(F.col("row") == F.col("header_row")).where(norm_header(F.col("value")).isin([h for h in OPTIONS]))
-    body = found.join(heads, "path").where("row > header_row")
-    fields = body.join(columns.select("path", "field", "col"), ["path", "col"]).groupBy("path", "row").agg(*(F.coalesce(F.max(F.when(F.col("field") == f, strip(F.col("value")))), F.lit("")).alias(f) for f in FIELDS))
-    axes = body.join(option_heads.select("path", "col"), ["path", "col"]).withColumn("axis", parse_option(F.col("value"))).where("axis is not null")
-    options = axes.groupBy("path", "row").agg(F.array_sort(F.collect_list(F.struct("col", "axis"))).alias("axes")).select("path", "row", F.transform("axes", lambda a: a["axis"]).alias("options"))
-    none = F.expr("cast(array() as array<struct<name:string,values:array<string>,numbers:array<string>>>)")
-    return fields.join(options, ["path", "row"], "left").withColumn("options", F.coalesce("options", none)).where("code <> '' or name <> ''")
+    axes = found.where(norm_header(F.col("value")).isin(OPTIONS)).join(heads, "path").where("row = header_row").select("path", "header_row", F.lit(None).cast("string").alias("field"), "col")
+    # small, and ready before the cells are read: a broadcast that is planned while they are waits for all their tasks
+    marks = checkpointed(columns.select("path", "header_row", "field", "col").union(axes))
+    body = found.join(F.broadcast(marks) if marks.count() <= SENT else marks, ["path", "col"]).where("row > header_row")
+    c = F.col
+    axis = F.when(c("field").isNull(), bind(parse_option(c("value")), lambda a: F.when(a.isNotNull(), F.struct(c("col").alias("col"), a.alias("axis")))))
+    fields = [F.coalesce(F.max(F.when(c("field") == f, strip(c("value")))), F.lit("")).alias(f) for f in FIELDS]
+    rows = body.withColumn("axis", axis).groupBy("path", "row").agg(*fields, F.array_sort(F.collect_list("axis")).alias("axes"))
+    return rows.select("path", "row", *FIELDS, F.transform("axes", lambda a: a["axis"]).alias("options")).where("code <> '' or name <> ''")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pagewright.operators import render
 from pagewright.plans import queries as q
 from pagewright.plans.tables import spread
+from pagewright.sources import xlsx
 from tests.conftest import DATA
 
 
@@ -31,3 +32,16 @@ def test_nothing_is_made_of_rows_before_they_are_dealt(spark, name):
 
 def test_pages_are_written_without_a_shuffle_of_their_parts(spark):
     assert not [x for x in plan_of(render.pages(q._parts_as_products(spark, DATA))) if x.startswith(("Aggregate", "Join"))]
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_workbooks_take_their_columns_from_a_table_that_is_ready(spark, monkeypatch, sent):
+    """Cells meet the columns without a shuffle of their own while the columns are few; both ways give the same rows."""
+    monkeypatch.setattr(xlsx, "SENT", sent)
+    grid = [["상품코드", "상품명", "상세설명", "옵션1", "옵션2"], ["1", "a", "x", "size=S,L", "hue=1. red"], ["", "", "y", "k=v", ""], ["2", "b", "", "", "z"]]
+    cells = [(f"b{n}", i, j, v) for n in range(3) for i, line in enumerate(grid) for j, v in enumerate(line) if v]
+    found = xlsx.products(spark.createDataFrame(cells, "path string, row int, col int, value string"))
+    assert sum(line.startswith("Join") for line in plan_of(found)) == 1
+    assert ("strategy=broadcast" in "".join(plan_of(found))) == (sent > 0)
+    rows = sorted((r.path, r.code, r.body, [(o.name, list(o["values"])) for o in r.options]) for r in found.collect())
+    assert rows == sorted((f"b{n}", *x) for n in range(3) for x in [("1", "x", [("size", ["S", "L"]), ("hue", ["red"])]), ("2", "", [("", ["z"])])])
