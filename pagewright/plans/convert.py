@@ -16,12 +16,16 @@ from pagewright.sources import html
 UNITS = "array<struct<url:string,caption:string,caption_crop:string,option_tag:string,width:int,height:int>>"
 
 
-def taken_apart(images: DataFrame, least_ad: int = slicing.LEAST_AD) -> DataFrame:
+def taken_apart(images: DataFrame | slicing.Pictures, least_ad: int = slicing.LEAST_AD) -> DataFrame:
     """``picture, ads, units, ink`` of tall pictures ``images (url, image_id, height, width, data)``, each once.  A part
     is named by the picture's URL and its rectangle (``#xywh=``), which ``slicing.crops`` cuts out."""
-    pixels = images.select("image_id", "height", "width", "data")
+    if isinstance(images, slicing.Pictures):
+        pixels = images = slicing.by_id(images)
+        urls = images.rows.select("image_id", "url")
+    else:
+        pixels, urls = images.select("image_id", "height", "width", "data"), images.select("image_id", "url")
     slices = checkpointed(slicing.units(pixels))
-    boxes = whole.adapted(pixels, slices, least_ad).join(images.select("image_id", "url"), "image_id")
+    boxes = whole.adapted(pixels, slices, least_ad).join(urls, "image_id")
     size = lambda a, b: F.col(b) - F.col(a) + 1
     part = lambda k: F.concat("url", F.lit("#xywh="), F.concat_ws(",", f"{k}x0", f"{k}y0", size(f"{k}x0", f"{k}x1"), size(f"{k}y0", f"{k}y1")))
     crop = F.when(F.col("cx0").isNotNull(), part("c")).otherwise("")
@@ -34,12 +38,12 @@ def taken_apart(images: DataFrame, least_ad: int = slicing.LEAST_AD) -> DataFram
     return found.select("picture", ads.alias("cut_ads"), units.alias("cut_units"), "ink")
 
 
-def convert(rows: DataFrame, sizes: DataFrame | None = None, base: str = "https://localhost/", images: DataFrame | None = None, least_ad: int = slicing.LEAST_AD) -> DataFrame:
+def convert(rows: DataFrame, sizes: DataFrame | None = None, base: str = "https://localhost/", images: DataFrame | slicing.Pictures | None = None, least_ad: int = slicing.LEAST_AD) -> DataFrame:
     """``rows`` (code, name, brand, category, body, options) with ads, units, specs, lead, intro and verdict.
 
     ``sizes`` (url, width, height) are the pictures that could be read: pieces without one are reported as missing, and
     only the others decide where the adverts end.  ``images`` (url, image_id, height, width, data; each URL and id once)
-    holds pixels: a product of one picture that is among them is taken apart by slicing.  The pre-gate runs on the sheet alone, before pictures are joined."""
+    holds pixels, or handles of them: a product of one picture that is among them is taken apart by slicing.  The pre-gate runs on the sheet alone, before pictures are joined."""
     c = F.col
     flat = lambda name: F.flatten(F.transform("options", lambda o: o[name]))
     found = html.bodies(rows, "body", base).withColumns({"option_names": flat("values"), "option_numbers": flat("numbers")})
@@ -67,7 +71,11 @@ def convert(rows: DataFrame, sizes: DataFrame | None = None, base: str = "https:
         found = found.withColumn("ink", F.lit(None).cast("double"))
     else:
         found = found.withColumn("picture", F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))["url"]))
-        own = checkpointed(images.join(found.select(c("picture").alias("url")).distinct(), "url", "left_semi"))
+        wanted = found.select(c("picture").alias("url")).distinct()
+        if isinstance(images, slicing.Pictures):
+            own = slicing.Pictures(images.rows.join(wanted, "url", "left_semi"), images.read)
+        else:
+            own = checkpointed(images.join(wanted, "url", "left_semi"))
         cut = c("cut_units").isNotNull()
         found = found.join(taken_apart(own, least_ad), "picture", "left").withColumns({"ads": F.when(cut, c("cut_ads")).otherwise(c("ads")), "units": F.when(cut, c("cut_units")).otherwise(c("units"))})
     post = gate.post_check(c("units"), F.size("ads"), c("ink"), F.size("option_names"))

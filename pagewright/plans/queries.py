@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as t
-from pagewright.lineage import checkpointed
 from pagewright.operators import breaks, diff, gate, match, products, refine, render, whole
 from pagewright.plans import convert
 from pagewright.plans.tables import CAPTION, MEASURES, NAME, OPTION, TYPED, spread, table
@@ -429,10 +428,8 @@ b AS (SELECT *, CASE WHEN wide THEN 8 WHEN i % 2 = 0 THEN 6 ELSE 68 + ruled END
   CASE WHEN unit = 0 THEN 6 WHEN wide THEN 80 + 74 * n WHEN unit <= 2 * n THEN 70 + 74 * (i // 2) ELSE 144 + 74 * (i // 2) END AS y0 FROM k)"""
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # few small rows become large pictures, so they are spread first, and drawn once
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
-    return checkpointed(drawings.drawn(rows))
+def _drawn(spark: SparkSession, sf_dir: str) -> slicing.Pictures:
+    return drawings.drawn(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"))
 
 
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS code, 1 AS n_ads, CAST(4 + 2 * (s_nationkey % 3) + CASE WHEN s_nationkey % 4 > 1 THEN 5 ELSE 0 END AS INTEGER) AS n_units,
@@ -444,8 +441,9 @@ def converted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     body = "concat('<p>', s_name, '</p><img src=\"/', s_suppkey, '.png\">')"
     rows = suppliers.selectExpr("cast(s_suppkey as string) as code", "s_name as name", "'' as brand", "'' as category", f"{body} as body", "cast(array() as array<struct<name:string,values:array<string>,numbers:array<string>>>) as options")
-    images = _drawn(spark, sf_dir).withColumn("url", F.concat(F.lit("https://shop.example/"), "image_id", F.lit(".png")))
-    made = convert.convert(rows, images.select("url", "width", "height"), "https://shop.example/", images, least_ad=20)
+    images = _drawn(spark, sf_dir)
+    images = slicing.Pictures(images.rows.withColumn("url", F.concat(F.lit("https://shop.example/"), "image_id", F.lit(".png"))), images.read)
+    made = convert.convert(rows, images.rows.select("url", "width", "height"), "https://shop.example/", images, least_ad=20)
     crops = F.filter(F.transform("units", lambda u: u["caption_crop"]), lambda u: u != "")
     return made.select("code", F.size("ads").alias("n_ads"), F.size("units").alias("n_units"), F.size(crops).alias("n_crops"), F.get("units", F.lit(0))["url"].alias("first_unit"), F.get(crops, F.lit(0)).alias("first_crop"))
 

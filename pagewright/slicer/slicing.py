@@ -6,11 +6,13 @@ colours; cells are a work list of rectangles, refined level by level and put tog
 natural breaks of the gaps between bands and rules; the side of the captions is a vote over the whole picture, and units
 are picked by maxima within groups.
 
-``images``: image_id long, height int, width int, data binary (RGB by rows)."""
+``images``: image_id long, height int, width int, data binary (RGB by rows); or ``Pictures``, handles whose pixels each step
+reads anew in its tasks, so that none are shuffled or written."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,25 @@ MIN_SECTION = 24
 LEAST_AD = 40
 MAX_DEEP = 2  # rows of rows
 MAX_LEVELS = 6  # steps of the work list
+PICTURES_A_TASK = 250
+
+
+@dataclass(frozen=True)
+class Pictures:
+    """Pictures that can be read again: ``rows`` (image_id, height, width and what else ``read`` needs) hold no pixels, and
+    ``read(row)`` gives a row's array (height, width, 3).  ``tasks``: how many tasks read them, once laid out by ``by_id``."""
+
+    rows: DataFrame
+    read: Callable[[dict], np.ndarray]
+    tasks: int | None = None
+
+
+def _stored(r: dict) -> np.ndarray:
+    return px.array_of(r["data"], r["height"], r["width"])
+
+
+def _handles(images: DataFrame | Pictures) -> Pictures:
+    return images if isinstance(images, Pictures) else Pictures(images, _stored)
 
 
 def _map(df: DataFrame, f, schema: str) -> DataFrame:
@@ -49,16 +70,26 @@ def _map(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def by_id(images: DataFrame) -> DataFrame:
-    """The pictures, laid down once by their id, so that what is found in them comes to them and they stay where they are."""
+def by_id(images: DataFrame | Pictures) -> DataFrame | Pictures:
+    """The pictures, laid down once by their id, so that what is found in them comes to them and they stay where they are.
+    Of ``Pictures`` only the handles are, over tasks that grow with their number."""
+    if isinstance(images, Pictures):
+        if images.tasks:
+            return images
+        rows = checkpointed(images.rows)
+        n = rows.count()
+        tasks = max(1, min(n, rows.sparkSession.sparkContext.defaultParallelism), n // PICTURES_A_TASK)
+        return Pictures(checkpointed(rows.repartition(tasks, "image_id")), images.read, tasks)
     n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return checkpointed(images.select("image_id", "height", "width", "data").repartition(n, "image_id"))
 
 
-def sections(images: DataFrame) -> DataFrame:
+def sections(images: DataFrame | Pictures) -> DataFrame:
     """``image_id, height, width, sections`` (array of y0, y1, colour): ground colours are compared with the first row of
     their run, runs under 24 rows join the one before, a short head the one after."""
-    margins = _map(images, lambda r: [{"image_id": r["image_id"], "height": r["height"], "width": r["width"], "margins": px.margin_colours(px.array_of(r["data"], r["height"], r["width"]))}], "image_id long; height int; width int; margins array<int>")
+    images = _handles(images)
+    read = images.read
+    margins = _map(images.rows, lambda r: [{"image_id": r["image_id"], "height": r["height"], "width": r["width"], "margins": px.margin_colours(read(r))}], "image_id long; height int; width int; margins array<int>")
     near = " and ".join(f"abs((({{a}} div {1 << s}) & 255) - (({{b}} div {1 << s}) & 255)) <= {px.TOLERANCE}" for s in (16, 8, 0))
     fold = f"""aggregate(margins, named_struct('c', coalesce(get(filter(margins, m -> m is not null), 0), 16777215), 'y', 0, 'out', cast(array() as array<struct<y0:int,y1:int,colour:int>>)),
       (s, m) -> named_struct('c', coalesce(m, s.c), 'y', s.y + 1, 'out',
@@ -73,33 +104,36 @@ def sections(images: DataFrame) -> DataFrame:
     return margins.withColumn("found", F.expr(fold)).select("image_id", "height", "width", F.expr(absorb).alias("sections"))
 
 
-def beside(images: DataFrame, other: DataFrame) -> DataFrame:
+def beside(images: DataFrame | Pictures, other: DataFrame) -> DataFrame:
     """What was found in pictures, joined to them.  The plan's guess of a picture's size is a hundred bytes, so without the
     hint it may send all pixels to all tasks; with it, the findings are hashed by id and the pictures stream past."""
-    return images.join(other.hint("shuffle_hash"), "image_id")
+    if isinstance(images, Pictures) and images.tasks:  # few bytes, but heavy work: the planner may not put them into few tasks
+        return images.rows.join(other, "image_id").repartition(images.tasks, "image_id")
+    return _handles(images).rows.join(other.hint("shuffle_hash"), "image_id")
 
 
-def _grounds(r: dict):
+def _grounds(r: dict, read: Callable[[dict], np.ndarray]):
     """Yields the items of one picture, each with the ``Ground`` of its rows; neighbours share one."""
-    page, own, key = px.array_of(r["data"], r["height"], r["width"]), None, None
+    page, own, key = read(r), None, None
     for item in sorted(r["items"], key=lambda i: (i["colour"], i["top"], i["end"])):
         if key != (key := (item["colour"], item["top"], item["end"])):
             own = px.Ground(page, *key)
         yield item, own
 
 
-def _per_picture(images: DataFrame, items: DataFrame, read, schema: str) -> DataFrame:
-    """``read(item, ground)`` -> rows, for items (image_id, top, end, colour, ...) of the same rows and ground; all items of
+def _per_picture(images: DataFrame | Pictures, items: DataFrame, look, schema: str) -> DataFrame:
+    """``look(item, ground)`` -> rows, for items (image_id, top, end, colour, ...) of the same rows and ground; all items of
     a picture are read together, and only they are shuffled if the pictures lie by id."""
     listed = items.groupBy("image_id").agg(F.collect_list(F.struct(*(c for c in items.columns if c != "image_id"))).alias("items"))
     names = ["image_id", *(x.strip().split()[0] for x in schema.split(";"))]
-    return _map(beside(images, listed), lambda r: [dict(zip(names, (r["image_id"], *row), strict=True)) for item, own in _grounds(r) for row in read(item, own)], f"image_id long; {schema}")
+    read = _handles(images).read
+    return _map(beside(images, listed), lambda r: [dict(zip(names, (r["image_id"], *row), strict=True)) for item, own in _grounds(r, read) for row in look(item, own)], f"image_id long; {schema}")
 
 
 _RECT = "struct<y0:int,y1:int,x0:int,x1:int>"
 
 
-def cells(images: DataFrame, found: DataFrame) -> DataFrame:
+def cells(images: DataFrame | Pictures, found: DataFrame) -> DataFrame:
     """``image_id, section, cell, col, cols, x0, x1, y0, y1, top, end, colour``: sections taken apart as far as columns are
     found, cells numbered from above.  ``top`` and ``end`` are the section's rows.
 
@@ -150,7 +184,7 @@ def cells(images: DataFrame, found: DataFrame) -> DataFrame:
     return columns.select(*names).union(single.select(*names)).withColumn("cell", number)
 
 
-def islands(images: DataFrame, found: DataFrame) -> DataFrame:
+def islands(images: DataFrame | Pictures, found: DataFrame) -> DataFrame:
     """``image_id, kind, x0, x1, y0, y1`` of the runs of rows of one kind (content, ground, rule) in a trimmed rectangle of
     each picture, ``found (image_id, x0, x1, y0, y1, colour)``; ``above`` and ``below`` are the heights of neighbouring ground."""
 
@@ -170,7 +204,7 @@ def islands(images: DataFrame, found: DataFrame) -> DataFrame:
     return runs_of.withColumn("tall", tall).withColumn("above", F.coalesce(F.lag("tall").over(w), F.lit(0))).withColumn("below", F.coalesce(F.lead("tall").over(w), F.lit(0))).drop("tall")
 
 
-def bands(images: DataFrame, found: DataFrame) -> DataFrame:
+def bands(images: DataFrame | Pictures, found: DataFrame) -> DataFrame:
     """``image_id, section, cell, col, x0, x1, y0, y1, gap, ruled``: the content of each cell cut across, parts under 8 rows
     with their nearer neighbour; the distance to the band above, and whether a rule with room on both sides lies between."""
     keys = ["section", "cell", "col"]
@@ -186,7 +220,7 @@ def bands(images: DataFrame, found: DataFrame) -> DataFrame:
     return parts.select("image_id", *keys, "x0", "x1", "y0", "y1", gap.alias("gap"), "ruled")
 
 
-def advert_blocks(images: DataFrame, regions: DataFrame, least: int = LEAST_AD) -> DataFrame:
+def advert_blocks(images: DataFrame | Pictures, regions: DataFrame, least: int = LEAST_AD) -> DataFrame:
     """``image_id, block, x0, x1, y0, y1``: the area above the first unit, cut at rules with room on one side at least;
     blocks lower than ``least`` are left out.  ``regions``: image_id, x0, x1, y0, y1, colour."""
     w = Window.partitionBy("image_id").orderBy("y0")
@@ -209,7 +243,7 @@ def caption_sides(groups: DataFrame, keys: list[str]) -> DataFrame:
     return votes.select("image_id", F.when(F.col("a") != 0, F.col("a") > 0).when(F.col("b") != 0, F.col("b") > 0).otherwise(F.col("c") >= 0).alias("captions_below"))
 
 
-def units(images: DataFrame) -> DataFrame:
+def units(images: DataFrame | Pictures) -> DataFrame:
     """``image_id, unit, section, col, x0, x1, y0, y1, n_captions, captions_below, ink, parts`` in reading order.
     ``parts`` are the unit's bands from above (y0, y1, x0, x1)."""
     images = by_id(images)
@@ -244,8 +278,10 @@ def units(images: DataFrame) -> DataFrame:
         'out', concat(s.out, array(named_struct('row', if(v.y0 <= s.low, s.row, s.row + 1), 'x0', v.x0, 'y0', v.y0, 'x1', v.x1, 'y1', v.y1, 'section', v.section, 'col', v.col, 'n_captions', v.n_captions, 'parts', v.parts)))), s -> array_sort(s.out))"""
     page = checkpointed(page.withColumn("all", F.expr(fold)))
 
+    read = _handles(images).read
+
     def measure(r: dict) -> list[dict]:
-        return [{"image_id": r["image_id"], "ink": px.coverage(px.array_of(r["data"], r["height"], r["width"]), r["sections"], r["boxes"])}]
+        return [{"image_id": r["image_id"], "ink": px.coverage(read(r), r["sections"], r["boxes"])}]
 
     boxes = page.select("image_id", F.flatten(F.transform("all", lambda v: v["parts"])).alias("boxes"))
     ink = _map(beside(images, found.select("image_id", "sections").join(boxes, "image_id")), measure, "image_id long; ink double")
@@ -253,11 +289,13 @@ def units(images: DataFrame) -> DataFrame:
     return out.select("image_id", "unit", "v.section", "v.col", "v.x0", "v.x1", "v.y0", "v.y1", "v.n_captions", "captions_below", F.round("ink", 6).alias("ink"), "v.parts")
 
 
-def colours(images: DataFrame, boxes: DataFrame, fallback: int = 0x3F8F9B) -> DataFrame:
+def colours(images: DataFrame | Pictures, boxes: DataFrame, fallback: int = 0x3F8F9B) -> DataFrame:
     """``image_id, unit, chip, plate, light``: an accent, the ground round the rectangle, and whether that is light."""
 
+    pixels = _handles(images).read
+
     def read(r: dict) -> list[dict]:
-        part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
+        part = pixels(r)[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
         plate = px.plate_colour(part)
         red, green, blue = px.unpack(plate)
         return [{"image_id": r["image_id"], "unit": r["unit"], "chip": px.chip_colour(part, fallback), "plate": plate, "light": 0.299 * red + 0.587 * green + 0.114 * blue > 170}]
@@ -265,23 +303,27 @@ def colours(images: DataFrame, boxes: DataFrame, fallback: int = 0x3F8F9B) -> Da
     return _map(beside(images, boxes), read, "image_id long; unit int; chip int; plate int; light boolean")
 
 
-def crops(images: DataFrame, boxes: DataFrame, scale: int = 1) -> DataFrame:
+def crops(images: DataFrame | Pictures, boxes: DataFrame, scale: int = 1) -> DataFrame:
     """``image_id, unit, png``: the rectangles ``boxes (image_id, unit, x0, y0, x1, y1)`` as PNG files, each pixel
     ``scale`` times as wide and high (captions are easier to read at 3)."""
 
+    read = _handles(images).read
+
     def cut(r: dict) -> list[dict]:
-        part = px.array_of(r["data"], r["height"], r["width"])[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
+        part = read(r)[r["y0"] : r["y1"] + 1, r["x0"] : r["x1"] + 1]
         return [{"image_id": r["image_id"], "unit": r["unit"], "png": png(part.repeat(scale, 0).repeat(scale, 1))}]
 
     return _map(beside(images, boxes.select("image_id", "unit", "x0", "y0", "x1", "y1")), cut, "image_id long; unit int; png binary")
 
 
-def contact_sheets(images: DataFrame, found: DataFrame) -> DataFrame:
+def contact_sheets(images: DataFrame | Pictures, found: DataFrame) -> DataFrame:
     """``image_id, png``: every picture with its units framed in red."""
     boxes = found.groupBy("image_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
 
+    read = _handles(images).read
+
     def draw(r: dict) -> list[dict]:
-        page = px.array_of(r["data"], r["height"], r["width"]).copy()
+        page = read(r).copy()
         for b in r["boxes"]:
             page[b["y0"] : b["y1"] + 1, [b["x0"], b["x1"]]] = (220, 30, 30)
             page[[b["y0"], b["y1"]], b["x0"] : b["x1"] + 1] = (220, 30, 30)

@@ -5,8 +5,10 @@ import re
 import pytest
 
 from pagewright.operators import render
+from pagewright.plans import drawings
 from pagewright.plans import queries as q
 from pagewright.plans.tables import spread
+from pagewright.slicer import slicing
 from pagewright.sources import xlsx
 from tests.conftest import DATA
 
@@ -34,6 +36,18 @@ def test_pages_are_written_without_a_shuffle_of_their_parts(spark):
     assert not [x for x in plan_of(render.pages(q._parts_as_products(spark, DATA))) if x.startswith(("Aggregate", "Join"))]
 
 
+def test_handles_give_what_stored_pixels_give(spark):
+    keys = spark.createDataFrame([(i, i) for i in range(6)], "k long, n int")
+    handles = drawings.drawn(keys)
+    drawn = [(r.image_id, r.height, r.width, handles.read(r.asDict())) for r in handles.rows.collect()]
+    assert all(p.shape == (h, w, 3) for _, h, w, p in drawn)
+    stored = spark.createDataFrame([(i, h, w, bytearray(p.tobytes())) for i, h, w, p in drawn], "image_id long, height int, width int, data binary")
+    rows = lambda images: sorted(map(repr, slicing.units(images).collect()))
+    assert rows(handles) == rows(stored)
+    laid = slicing.by_id(handles)
+    assert "data" not in laid.rows.columns and slicing.by_id(laid) is laid
+
+
 @pytest.mark.parametrize("sent", [200_000, 0])
 def test_workbooks_take_their_columns_from_a_table_that_is_ready(spark, monkeypatch, sent):
     """Cells meet the columns without a shuffle of their own while the columns are few; both ways give the same rows."""
