@@ -104,11 +104,13 @@ def merged_rows(units: DataFrame) -> DataFrame:
     return grouped.groupBy("image_id", "_g").agg(F.min("unit").alias("unit"), *every).drop("_g")
 
 
-def adapted(images: DataFrame, slices: DataFrame, least_ad: int = slicing.LEAST_AD) -> DataFrame:
+def adapted(images: DataFrame | slicing.Pictures, slices: DataFrame, least_ad: int = slicing.LEAST_AD) -> DataFrame:
     """``image_id, role, pos, x0, y0, x1, y1, cx0, cy0, cx1, cy1``: from the first slice with a caption on, slices are units
     (``unit``) with the box of their captions; what stands above is cut at its rules into adverts (``ad``).  A picture
     without captions, or of which fewer than half of the units have one, is all adverts.
     ``slices``: as ``slicing.units`` gives them."""
+    if isinstance(images, slicing.Pictures):
+        images = slicing.by_id(images)
     cut = checkpointed(split_parts(slices.select("image_id", "unit", *EDGES, "parts")))
     first = cut.where(F.size("caps") > 0).groupBy("image_id").agg(F.min_by("y0", "unit").alias("first"))
     rows = merged_rows(_placed(cut.join(first, "image_id").where("y0 >= first")))

@@ -454,7 +454,7 @@ CAST(CASE WHEN NOT wide THEN x1 END AS INTEGER) AS cx1, CAST(CASE WHEN wide THEN
 def whole_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adverts, units and captions of the pictures drawn for every supplier."""
     # lower blocks than the usual 40 rows count here, as the drawn advert has 34
-    images = _drawn(spark, sf_dir)
+    images = slicing.by_id(_drawn(spark, sf_dir))
     return whole.adapted(images, slicing.units(images), least_ad=20)
 
 
