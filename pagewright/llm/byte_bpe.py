@@ -4,6 +4,9 @@
 the two back.  A list whose neighbours are all stable is the encoding of its bytes, so a join only re-encodes a window
 round the border and widens it until the pairs at its edges are stable.  Decoding joins byte strings up a tree.
 
+Texts come in slices of ``SLICE_BYTES``: each distinct chunk between spaces is looked at once in a slice, and the short
+pieces of those that are new are merged side by side, a merge of each in a step.
+
 Defined cases: a null text is encoded as the empty text, with no ids; texts of any length are encoded whole; an empty
 table gives an empty result; repeated rows give repeated results; columns other than id and text are not read.
 """
@@ -13,62 +16,58 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import texts
-
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LEAF_BYTES = 16  # merged directly, a choice of speed: the tree down to bytes gives the same ids in 2.3 x the time
 NEVER = 1 << 40
-WIDE_SPACE = re.compile(r" \s|\s ")
-_CACHE_PIECES = 200_000  # about 40 MB each for pieces and for chunks
+SLICE_BYTES = 8 << 20
+BLOCK = 4096  # strings that are merged side by side
+_CACHE_BYTES = 2 << 20  # of chunks, about 200,000; with their ids 40 MB, and as much for the older ones; a slice's come on top
 _CACHE_PAIRS = 200_000  # about 30 MB
 _LOADED: dict[tuple[str, str], Ranks] = {}
 
 
-class _Spaced(dict):
-    """Chunk behind a single space -> packed ids of the space and the chunk.
-
-    In the public pattern only white space or the start of a match can be a space, so where neither neighbour of a
-    space is white space a match starts at the space, and what stands between two such spaces is split by itself.
-    """
-
-    def __init__(self, table: Ranks):
-        super().__init__()
-        self.table = table
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each part, one part after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= _CACHE_PIECES:
-            self.clear()
-        pieces = self.table.split(" " + chunk)
-        packed = self.table.packed(pieces[0]) if len(pieces) == 1 else b"".join(map(self.table.__getitem__, pieces))
-        if len(chunk) <= 32:
-            self[chunk] = packed
-        return packed
 
-
-class Ranks(dict):
-    """Piece of text -> packed ids, filled as pieces come and emptied when full."""
+class Ranks:
+    """The tables of a rank file, and what was encoded lately."""
 
     def __init__(self, path: str, pattern: str, leaf: int = LEAF_BYTES):
-        super().__init__()
         self.leaf = leaf
         with open(path, "rb") as lines:
             self.id_of = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = [b""] * (max(self.id_of.values()) + 1)
         for token, number in self.id_of.items():
             self.bytes_of[number] = token
+        self.token_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.token_sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        # ids of neighbours that merge, as one sorted number, and what they become
+        get = self.id_of.get
+        pairs = {a << 32 | b: n for token, n in self.id_of.items() for i in range(1, len(token)) if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None}
+        self.pairs = np.array([-1, *sorted(pairs)])
+        self.merges = np.array([0, *map(pairs.__getitem__, self.pairs[1:].tolist())])
+        self.byte_ids = np.array([self.id_of[bytes([i])] for i in range(256)])
+        self.byte_pairs = self._become(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         self.split = regex.compile(pattern).findall
-        self.spaced = _Spaced(self) if pattern == public_tokenizers.PATTERN else None
+        self.spaced = pattern == public_tokenizers.PATTERN
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0  # bytes of chunks
         self.stable: dict[tuple[int, int], bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -88,6 +87,52 @@ class Ranks(dict):
                 costs[i - 1] = get(parts[i - 1] + parts[i], NEVER)
         return [self.id_of[p] for p in parts]
 
+    def _become(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs of ids merge into, NEVER if they don't."""
+        keys = left << 32 | right
+        at = np.searchsorted(self.pairs, keys, "right") - 1
+        return np.where(self.pairs[at] == keys, self.merges[at], NEVER)
+
+    def merged_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of strings: ``merged`` of them all, the first of the lowest merges of each in a step."""
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        out = [b""] * len(pieces)
+        for i in range(0, len(order), BLOCK):
+            block = order[i : i + BLOCK]
+            for k, packed in zip(block, self._merged_block([pieces[k] for k in block]), strict=True):
+                out[k] = packed
+        return out
+
+    def _merged_block(self, pieces: list[bytes]) -> list[bytes]:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(sizes.max()) + 1  # the last column stays empty
+        there = np.arange(width) < sizes[:, None]
+        data = np.zeros((len(pieces), width), np.int64)
+        data[there] = np.frombuffer(b"".join(pieces), np.uint8)
+        parts = np.where(there, self.byte_ids[data], -1)
+        costs = np.where(there[:, 1:], self.byte_pairs[data[:, :-1] << 8 | data[:, 1:]], NEVER)
+        done, rows = np.full((len(pieces), width), -1), np.arange(len(pieces))
+        while True:
+            own, at = np.arange(len(rows)), costs.argmin(1)
+            best = costs[own, at]
+            live = best != NEVER
+            if not live.all():
+                done[rows[~live], : parts.shape[1]] = parts[~live]
+                rows, parts, costs, at, best, own = rows[live], parts[live], costs[live], at[live], best[live], own[: live.sum()]
+            if not len(rows):
+                break
+            kept = np.arange(parts.shape[1] - 1) <= at[:, None]
+            parts = np.where(kept, parts[:, :-1], parts[:, 1:])
+            costs = np.where(kept[:, :-1], costs[:, :-1], costs[:, 1:])
+            parts[own, at] = best
+            right = parts[own, at + 1]
+            costs[own, at] = np.where(right >= 0, self._become(best, right), NEVER)
+            left = own[at > 0]
+            costs[left, at[left] - 1] = self._become(parts[left, at[left] - 1], best[left])
+        held = done >= 0
+        packed, ends = done[held].astype("<u4").tobytes(), (4 * np.cumsum(held.sum(1))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _merged_long(self, data: bytes) -> list[int]:
         size = len(data)
         ends, before = list(range(1, size + 1)), list(range(-1, size))  # of the part that starts at i: its end, the start before
@@ -153,23 +198,79 @@ class Ranks(dict):
         ids = self.encode_bytes(piece.encode("utf-8", "replace"))
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHE_PIECES:
-            self.clear()
-        packed = self.packed(piece)
-        if len(piece) <= 64:  # longer pieces hardly come back
-            self[piece] = packed
-        return packed
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
+        """Packed ids of lists of pieces; each distinct piece is encoded once, short ones side by side, long ones up the tree."""
+        known = dict.fromkeys(piece for pieces in split for piece in pieces)
+        short = []
+        for piece in known:
+            data = piece.encode("utf-8", "replace")
+            if len(data) <= self.leaf and data not in self.id_of:
+                short.append((piece, data))
+            else:
+                known[piece] = self.packed(piece)
+        known.update(zip([p for p, _ in short], self.merged_many([d for _, d in short]), strict=True))
+        return [known[pieces[0]] if len(pieces) == 1 else b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+    def _chunks(self, chunks: list[str], size: int) -> list[bytes]:
+        """Packed ids of distinct chunks of ``size`` bytes in all, each with a space before it.
+
+        In the public pattern only white space or the start of a match can be a space, so where neither neighbour of a
+        space is white space a match starts at the space, and what stands between two such spaces is split by itself.
+        Letters alone are one match.
+        """
+        now, before = self.chunks.get, self.older.get
+        out = [now(chunk) or before(chunk) for chunk in chunks]
+        new = [i for i, packed in enumerate(out) if packed is None]
+        split = [[" " + chunk] if chunk.isalpha() else self.split(" " + chunk) for chunk in map(chunks.__getitem__, new)]
+        for i, packed in zip(new, self._joined(split), strict=True):
+            out[i] = packed
+        if self.held > _CACHE_BYTES:  # what isn't asked for again goes at the next time
+            self.chunks, self.older, self.held = {}, self.chunks, 0
+        if size <= SLICE_BYTES:
+            self.held += size * len(new) // max(1, len(chunks))
+            self.chunks.update(zip(chunks, out, strict=True))
+        return out
+
+    def encode_many(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the whole texts of a string array, one text after the other, and how many each has.  Nulls are empty."""
+        column = column.fill_null("")
+        n = len(column)
+        if not self.spaced:
+            packs = self._joined(list(map(self.split, column.to_pylist())))
+            return np.frombuffer(b"".join(packs), "<u4"), np.fromiter((len(p) // 4 for p in packs), np.int64, n)
+        listed = pc.split_pattern(column, " ")
+        starts = listed.offsets.to_numpy()[:-1]
+        spaced = np.ones(len(listed.values), bool)
+        spaced[starts] = False
+        coded = listed.values.filter(pa.array(spaced)).dictionary_encode()
+        chunks, heads = coded.dictionary, listed.values.take(pa.array(starts)).to_pylist()
+        codes = np.empty(len(spaced), np.int64)
+        codes[spaced] = coded.indices.to_numpy()
+        codes[starts] = len(chunks) + np.arange(n)
+        # a text with white space beside a space is split as a whole and stands in its head's place
+        wide = pc.or_(pc.equal(chunks, ""), pc.not_equal(pc.utf8_trim_whitespace(chunks), chunks)).to_numpy(zero_copy_only=False)
+        ends_wide = np.concatenate([wide, np.fromiter((h[-1:].isspace() for h in heads), bool, n)])
+        whole = np.logical_or.reduceat(ends_wide[codes], starts) if n else np.zeros(0, bool)
+        for i in np.flatnonzero(whole).tolist():
+            heads[i] = column[i].as_py()
+        known = chunks.filter(pa.array(~wide))
+        packs = [b""] * len(chunks)
+        for i, packed in zip(np.flatnonzero(~wide).tolist(), self._chunks(known.to_numpy(zero_copy_only=False).tolist(), known.nbytes), strict=True):
+            packs[i] = packed
+        packs += self._joined(list(map(self.split, heads)))
+        sizes = np.fromiter(map(len, packs), np.int64, len(packs)) // 4
+        own = sizes[codes]
+        own[spaced & np.repeat(whole, np.diff(starts, append=len(codes)))] = 0
+        first = np.cumsum(sizes) - sizes
+        return np.frombuffer(b"".join(packs), "<u4")[_ragged(first[codes], own)], np.add.reduceat(own, starts) if n else own
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        if self.spaced is None or WIDE_SPACE.search(text):
-            return b"".join(map(self.__getitem__, self.split(text)))
-        head, *rest = text.split(" ")
-        return b"".join(map(self.__getitem__, self.split(head))) + b"".join(map(self.spaced.__getitem__, rest))
+        return self.encode_many(pa.array([text], pa.string()))[0].tobytes()
 
-    def decode(self, ids: list[int], leaf: int = 8192) -> bytes:
-        level = [b"".join(map(self.bytes_of.__getitem__, ids[i : i + leaf])) for i in range(0, len(ids), leaf)]
+    def decode(self, ids: list[int] | np.ndarray, leaf: int = 8192) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        level = [self.token_bytes[_ragged(self.token_starts[part], self.token_sizes[part])].tobytes() for part in (ids[i : i + leaf] for i in range(0, len(ids), leaf))]
         while len(level) > 1:
             level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
         return level[0] if level else b""
@@ -182,25 +283,28 @@ def ranks(path: str, pattern: str = public_tokenizers.PATTERN) -> Ranks:
     return _LOADED[path, pattern]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in slices of about ``SLICE_BYTES`` of text; a longer text comes with the rest of a slice at most."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
+    starts = np.flatnonzero(np.diff(ends // SLICE_BYTES, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Per row: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if wanted, ``token_ids``."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks(path, pattern)
-        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
-            counts, hashes, decoded, packs = [], [], [], []
-            for text in texts(batch.column(1)):
-                packed = table.encode(text or "")
-                counts.append(len(packed) // 4)
-                hashes.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(table.decode(np.frombuffer(packed, "<u4").tolist())).hexdigest())
-                if with_ids:
-                    packs.append(packed)
+        for batch in (part for whole in batches for part in _slices(whole)):
+            ids, counts = table.encode_many(batch.column(1))
+            ends = np.cumsum(counts)
+            rows = [ids[a:b] for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            hashes, decoded = ([hashlib.sha256(data).hexdigest() for data in made] for made in (rows, map(table.decode, rows)))
             out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packs), "<u4").astype(np.int32))))
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
 
     kind = docs.schema[id_col].dataType.simpleString()

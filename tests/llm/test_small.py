@@ -2,10 +2,13 @@
 
 import base64
 import random
+import sys
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 import tiktoken
 
 from pagewright.llm import byte_bpe, decontam, html_blocks, lang_gru, line_rules, near_dup, pseudo_lm, quotes, toxic_crf
@@ -25,6 +28,42 @@ def test_bpe_equals_the_library():
         assert own.decode(np.frombuffer(packed, "<u4").tolist(), leaf=3) == text.encode()
 
 
+def test_new_words_are_merged_side_by_side(monkeypatch):
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    own, r, calls = byte_bpe.Ranks(path, public_tokenizers.PATTERN), random.Random(4), []
+    alone = byte_bpe.Ranks.merged
+    monkeypatch.setattr(byte_bpe.Ranks, "merged", lambda self, data: calls.append(data) or alone(self, data))
+    word = lambda: "".join(r.choice("etaoinéß日") for _ in range(r.randrange(1, 7)))
+    text = " ".join(word() + r.choice(["", "", ".", "1"]) for _ in range(5000))
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    assert len(calls) < 500  # of long pieces only
+
+
+def test_texts_in_slices_with_a_full_cache_and_all_white_space(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(byte_bpe, "_CACHE_BYTES", 500)
+    path = public_tokenizers.path(byte_bpe.VOCABULARY)
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    own, r = byte_bpe.Ranks(path, public_tokenizers.PATTERN), random.Random(5)
+    letters = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha())
+    assert regex.fullmatch(r"\p{L}+", letters)  # so letters alone are one match
+    spaces = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() or regex.match(r"\s", c)]
+    given = [None, "", " ", "a ", " a", "x" * 9000, *(f"a{c} b{c}" for c in spaces), *(f"a {c}b" for c in spaces), *(f"{c}a b" for c in spaces)]
+    given += [" ".join("".join(r.choice("abcdeé.'s\n1") for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(60))) for _ in range(300)]
+    batch = pa.record_batch([pa.array(range(len(given))), pa.array(given, pa.string())], names=["doc_id", "text"])
+    slices = list(byte_bpe._slices(batch))
+    assert len(slices) > 5 and sum(s.num_rows for s in slices) == len(given)
+    found = []
+    for ids, counts in (own.encode_many(s.column(1)) for s in slices):
+        ends = np.cumsum(counts).tolist()
+        found += [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
+    assert found == [library.encode_ordinary(text or "") for text in given]
+    assert len(own.chunks) + len(own.older) < 1500
+
+
 def test_a_join_of_halves_is_the_encoding_of_the_whole():
     own, r = byte_bpe.ranks(public_tokenizers.path(byte_bpe.VOCABULARY)), random.Random(2)
     for _ in range(400):
