@@ -108,7 +108,8 @@ def beside(images: DataFrame | Pictures, other: DataFrame) -> DataFrame:
     """What was found in pictures, joined to them.  The plan's guess of a picture's size is a hundred bytes, so without the
     hint it may send all pixels to all tasks; with it, the findings are hashed by id and the pictures stream past."""
     if isinstance(images, Pictures) and images.tasks:  # few bytes, but heavy work: the planner may not put them into few tasks
-        return images.rows.join(other, "image_id").repartition(images.tasks, "image_id")
+        # by the id itself it would be taken for the join's own shuffle if their numbers are equal, and be merged by size
+        return images.rows.join(other, "image_id").repartition(images.tasks, F.xxhash64("image_id"))
     return _handles(images).rows.join(other.hint("shuffle_hash"), "image_id")
 
 

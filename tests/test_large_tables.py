@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.operators import render
 from pagewright.plans import drawings
@@ -59,3 +60,11 @@ def test_workbooks_take_their_columns_from_a_table_that_is_ready(spark, monkeypa
     assert ("strategy=broadcast" in "".join(plan_of(found))) == (sent > 0)
     rows = sorted((r.path, r.code, r.body, [(o.name, list(o["values"])) for o in r.options]) for r in found.collect())
     assert rows == sorted((f"b{n}", *x) for n in range(3) for x in [("1", "x", [("size", ["S", "L"]), ("hue", ["red"])]), ("2", "", [("", ["z"])])])
+
+
+def test_pictures_are_read_by_their_tasks_where_a_shuffle_has_as_many_partitions(spark):
+    images = slicing.by_id(drawings.drawn(spark.range(0, 400, 1, 4).selectExpr("id", "cast(id % 25 as int) n")))
+    assert images.tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = images.rows.select("image_id", "height").groupBy("image_id").agg(F.collect_list("height").alias("items"))
+    looked = slicing.beside(images, items.hint("merge")).mapInArrow(lambda batches: (b.select(["image_id"]) for b in batches), "image_id long")
+    assert looked.rdd.getNumPartitions() == images.tasks and looked.count() == 400
