@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pagewright.lineage import Scratch
 from pagewright.llm import decontam, lang_gru, near_dup
-from pagewright.llm.common import IdFilter, without_ids
+from pagewright.llm.common import BATCH_BYTES, BATCH_LIMIT, IdFilter, without_ids
 from tests.conftest import DATA
 
 
@@ -90,3 +90,24 @@ def test_stages_are_deleted_once_read(spark):
     from pathlib import Path
 
     assert [p.name for p in Path(path).parents[1].iterdir()] == ["byte_bpe"]
+
+
+def test_stages_hand_long_texts_to_python_in_small_batches(spark):
+    """A batch isn't 10,000 rows of any length: an executor and its workers hold several of them."""
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    try:
+        for stage in (corpus_pipeline.encoding, corpus_pipeline.decontamination):
+            spark.conf.unset(BATCH_LIMIT)
+            stage(spark, docs, DATA)
+            sizes = [r.size for r in docs.mapInArrow(size, "size long").collect()]
+            assert sum(sizes) > 30_000_000 and max(sizes) < BATCH_BYTES + 100_000
+        spark.conf.set(BATCH_LIMIT, "1m")
+        corpus_pipeline.encoding(spark, docs, DATA)
+        assert spark.conf.get(BATCH_LIMIT) == "1m"
+    finally:
+        spark.conf.unset(BATCH_LIMIT)
