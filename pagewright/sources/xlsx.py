@@ -92,16 +92,28 @@ def _candidates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "field string, priority int, name string").select("field", "priority", norm_header(F.col("name")).alias("header"))
 
 
+def header_marks(found: DataFrame) -> DataFrame:
+    """``path, header_row, field, col``: what ``header_columns`` gives, and a row without a field for each column of options.
+
+    The cells meet no other table here: their size is guessed from the table that they are made of, however small that is,
+    so that a join by size could send all of them through the driver."""
+    nth = F.dense_rank().over(Window.partitionBy("path").orderBy("row"))
+    first = found.withColumn("nth", nth).where(F.col("nth") <= HEADER_ROWS)  # limited in the tasks before the cells move
+    texts = first.groupBy("path", "row", norm_header(F.col("value")).alias("header")).agg(F.max("col").alias("col"), F.collect_set("col").alias("cols"))
+    known = texts.join(F.broadcast(_candidates(found.sparkSession)), "header", "left")
+    axes = F.flatten(F.collect_list(F.when(F.col("header").isin(OPTIONS), F.col("cols"))))
+    per = known.groupBy("path", "row", "field").agg(F.min_by("col", "priority").alias("col"), axes.alias("axes"))
+    mark = lambda field, col: F.struct(field.cast("string").alias("field"), col.alias("col"))
+    marks = F.when(F.col("field").isNull(), F.transform("axes", lambda col: mark(F.lit(None), col))).otherwise(F.array(mark(F.col("field"), F.col("col"))))
+    rows = per.groupBy("path", "row").agg(F.count("field").alias("hits"), F.flatten(F.collect_list(marks)).alias("marks"))
+    best = rows.groupBy("path").agg(F.max_by(F.struct("hits", "row", "marks"), F.struct("hits", -F.col("row"))).alias("best")).where("best.hits > 0")
+    return best.select("path", F.col("best.row").alias("header_row"), F.inline("best.marks"))
+
+
 def header_columns(found: DataFrame) -> DataFrame:
     """``path, header_row, field, col``: of the first ten non-empty rows the one with most known fields (the earliest on
     a tie); of equal headers the last column; of several headers of a field the first candidate."""
-    spark = found.sparkSession
-    used = found.select("path", "row").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("row"))).where(F.col("nth") <= HEADER_ROWS)
-    texts = found.join(used, ["path", "row"]).groupBy("path", "row", "nth", norm_header(F.col("value")).alias("header")).agg(F.max("col").alias("col"))
-    known = texts.join(F.broadcast(_candidates(spark)), "header", "left")
-    per = known.groupBy("path", "row", "nth", "field").agg(F.min_by("col", "priority").alias("col"))
-    best = per.groupBy("path", "row", "nth").agg(F.count("field").alias("hits")).groupBy("path").agg(F.max_by("row", F.struct("hits", -F.col("nth"))).alias("header_row"))
-    return per.where("field is not null").join(best, "path").where("row = header_row").select("path", "header_row", "field", "col")
+    return header_marks(found).where("field is not null")
 
 
 def missing_fields(found: DataFrame, columns: DataFrame) -> DataFrame:
@@ -113,12 +125,10 @@ def missing_fields(found: DataFrame, columns: DataFrame) -> DataFrame:
 def products(found: DataFrame) -> DataFrame:
     """A row for each product with a code or a name: ``path, row``, the fields as strings and ``options``."""
     found = checkpointed(found)  # read several times below
-    columns = checkpointed(header_columns(found))
-    heads = columns.select("path", "header_row").distinct()
-    axes = found.where(norm_header(F.col("value")).isin(OPTIONS)).join(heads, "path").where("row = header_row").select("path", "header_row", F.lit(None).cast("string").alias("field"), "col")
     # small, and ready before the cells are read: a broadcast that is planned while they are waits for all their tasks
-    marks = checkpointed(columns.select("path", "header_row", "field", "col").union(axes))
-    body = found.join(F.broadcast(marks) if marks.count() <= SENT else marks, ["path", "col"]).where("row > header_row")
+    marks = checkpointed(header_marks(found))
+    # beyond the limit neither side may be sent, whatever size the planner guesses
+    body = found.join(F.broadcast(marks) if marks.count() <= SENT else marks.hint("merge"), ["path", "col"]).where("row > header_row")
     c = F.col
     axis = F.when(c("field").isNull(), bind(parse_option(c("value")), lambda a: F.when(a.isNotNull(), F.struct(c("col").alias("col"), a.alias("axis")))))
     fields = [F.coalesce(F.max(F.when(c("field") == f, strip(c("value")))), F.lit("")).alias(f) for f in FIELDS]

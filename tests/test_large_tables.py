@@ -2,9 +2,11 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.lineage import checkpointed
 from pagewright.operators import render
 from pagewright.plans import drawings
 from pagewright.plans import queries as q
@@ -62,6 +64,31 @@ def test_workbooks_take_their_columns_from_a_table_that_is_ready(spark, monkeypa
     assert rows == sorted((f"b{n}", *x) for n in range(3) for x in [("1", "x", [("size", ["S", "L"]), ("hue", ["red"])]), ("2", "", [("", ["z"])])])
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_cells_are_not_sent_through_the_driver(spark, monkeypatch, sent):
+    """Cells of many books, made of a table of a few bytes: the planner guesses them small, so nothing may be sent by its guess."""
+    steps = []
+    monkeypatch.setattr(xlsx, "SENT", sent)
+    monkeypatch.setattr(xlsx, "checkpointed", lambda df: steps.append(df) or checkpointed(df))
+    lines = [["report"], ["상품코드", "상품명", "상세설명", "옵션1", "옵션1"], *([f"{i}", f"n{i}", "b" * 50, "size=S,L", "hue=red"] for i in range(30))]
+
+    def write(batches):
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                path, row, col, value = zip(*((f"b{n}", i, j, v) for i, line in enumerate(lines) for j, v in enumerate(line)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(value)], names=["path", "row", "col", "value"])
+
+    found = xlsx.products(spark.range(0, 20, 1, 2).mapInArrow(write, "path string, row int, col int, value string"))
+    planned = [step._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1] for step in [*steps, found]]
+    assert [x.count("BroadcastExchange") for x in planned] == ["".join(plan_of(step)).count("strategy=broadcast") for step in [*steps, found]]
+    marks = steps[1]
+    assert "WindowGroupLimit" in planned[1]
+    assert sorted(tuple(r) for r in marks.where("path = 'b7'").collect() if r.field) == [("b7", 1, "body", 2), ("b7", 1, "code", 0), ("b7", 1, "name", 1)]
+    assert sorted(r.col for r in marks.where("path = 'b7' and field is null").collect()) == [3, 4]
+    rows = sorted((r.path, r.code, r.name, [(o.name, list(o["values"])) for o in r.options]) for r in found.collect())
+    assert rows == sorted((f"b{n}", f"{i}", f"n{i}", [("size", ["S", "L"]), ("hue", ["red"])]) for n in range(20) for i in range(30))
+
+
 def test_pictures_are_read_by_their_tasks_where_a_shuffle_has_as_many_partitions(spark):
     images = slicing.by_id(drawings.drawn(spark.range(0, 400, 1, 4).selectExpr("id", "cast(id % 25 as int) n")))
     assert images.tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
