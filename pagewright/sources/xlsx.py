@@ -1,4 +1,4 @@
-"""Workbooks as DataFrames: the cells of the first sheet are read in the tasks, all else is joins and grouping."""
+"""Workbooks as DataFrames: the cells of the first sheet are read in the tasks, all else is windows, joins and grouping."""
 
 from __future__ import annotations
 
